@@ -88,5 +88,14 @@ def in_system_dir(parent) -> Column:
     return F.lower(_col(parent)).rlike(SKIP_RE)
 
 
+def under_system_dir(path) -> Column:
+    """Same test as ``in_system_dir(parent_of(path))`` without computing the parent.
+
+    The skipped substrings hold no '/', so one lies inside the parent exactly
+    when a '/' follows it in the path.
+    """
+    return F.lower(_col(path)).rlike("(?s)(?:" + SKIP_RE + ").*/")
+
+
 def in_common_folder(parent_name) -> Column:
     return F.lower(_col(parent_name)).rlike(COMMON_RE)

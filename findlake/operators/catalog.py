@@ -36,15 +36,19 @@ def expand_ancestors(listing: DataFrame, stride: int = 100) -> DataFrame:
     root) is never an item. A folder's ordinal is ``stride * key + depth``
     where ``key = min(ordinal below it) div stride`` and ``depth`` is its part
     count, so a parent sorts before its children and before its first file.
-    The aggregation is partial (map-side), so a common folder costs one row per
-    map partition in the shuffle, not one per item below it.
+    Rows are first reduced to distinct parent folders and only those are
+    exploded; both aggregations are partial (map-side), so a common folder
+    costs one row per map partition in the shuffle, not one per item below it.
     """
     parts = F.split("path", "/")
-    ancestors = (listing
-                 .where(F.size(parts) > 2)
-                 .select("ordinal", parts.alias("parts"))
-                 .select("ordinal", F.explode(F.sequence(F.lit(2), F.size("parts") - 1)).alias("depth"),
-                         "parts")
+    # Collapse rows to their distinct parent folders first (partial aggregation
+    # map-side), so only distinct folders - not every file - are exploded.
+    parents = (listing.select("ordinal", parts.alias("parts"))
+               .where(F.size("parts") > 2)
+               .select("ordinal", F.array_join(F.slice("parts", 1, F.size("parts") - 1), "/").alias("parent"))
+               .groupBy("parent").agg(F.min("ordinal").alias("ordinal")))
+    ancestors = (parents.select("ordinal", F.split("parent", "/").alias("parts"))
+                 .select("ordinal", "parts", F.explode(F.sequence(F.lit(2), F.size("parts"))).alias("depth"))
                  .select("ordinal", "depth",
                          F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("path")))
     folders = (ancestors.groupBy("path")
@@ -92,10 +96,14 @@ def dedup_first_wins(items: DataFrame, key: str = "path_key",
 
 
 def build_catalog(listing: DataFrame, stride: int = 100) -> DataFrame:
-    """Listing -> catalog: normalise, add folders, derive columns, skip, de-duplicate."""
+    """Listing -> catalog: normalise, add folders, skip, de-duplicate, derive columns.
+
+    Only ``ordinal, path, is_dir`` travel through the de-duplication shuffle;
+    the derived columns are computed once, for the surviving rows.
+    """
     items = expand_ancestors(normalise_listing(listing), stride)
-    items = skip_system_dirs(with_item_columns(items))
-    return dedup_first_wins(items).select(*CATALOG_COLUMNS)
+    kept = items.where(~P.under_system_dir("path")).withColumn("path_key", X.case_fold("path"))
+    return with_item_columns(dedup_first_wins(kept).select("ordinal", "path", "is_dir")).select(*CATALOG_COLUMNS)
 
 
 def with_tokens(catalog: DataFrame) -> DataFrame:

@@ -26,6 +26,10 @@ def get_session(master: str | None = None, app: str = "findlake",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # Local mode runs everything in the driver JVM; only takes effect
+            # when this call starts the JVM.
+            builder = builder.config("spark.driver.memory", "12g")
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
