@@ -219,7 +219,8 @@ def create_files(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
                     F.max(F.when(F.col("depth") == F.col("_tdepth") - 1,
                                  F.col("exists_dir").cast("int"))).alias("_parent"),
                     F.max(F.when(F.col("depth") == F.col("_tdepth") - 1, 1).otherwise(0)).alias("_has_parent_row")))
-    parent_ok = (F.col("_parent") == 1) | (F.col("_has_parent_row") == 0) | F.col("make_parents")
+    parent_ok = ((F.coalesce(F.col("_parent"), F.lit(0)) == 1) | (F.col("_has_parent_row") == 0)
+                 | F.col("make_parents"))
     status = (F.when((F.col("_file_above") == 1) | (F.col("_target") == 1), F.lit("conflict"))
               .when(~parent_ok, F.lit("missing"))
               .when(F.col("_target") == 0, F.lit("overwritten"))

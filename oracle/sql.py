@@ -151,6 +151,70 @@ def _prefix_hits(n: int) -> str:
       FROM catalog c JOIN qw ON starts_with(c.name_lc, qw.q) WHERE qw.q <> '') p WHERE prn <= {n}"""
 
 
+
+def _plan_reason(expr: str) -> str:
+    parts = rf"string_split(replace({expr}, '\', '/'), '/')"
+    return (f"coalesce({_unsafe(expr)}, CASE WHEN regexp_matches({expr}, '^[/\\\\]') THEN 'absolute' "
+            f"WHEN list_contains({parts}, '.') OR list_contains({parts}, '..') THEN 'dot_part' END)")
+
+
+def _create_sql(p: str, man: str, cat: str) -> str:
+    """CTEs ``{p}_folders(change_id, path, role, status)`` and ``{p}_files(change_id, path, content, status)``."""
+    target = _norm("location || '/' || name")
+    return f""",
+{p}_fr AS (SELECT change_id, {_plan_reason('name')} AS reason, {target} AS target FROM {man} WHERE kind = 'folder'),
+{p}_fa AS (SELECT r.change_id, g.d AS depth, array_to_string(r.s[1:g.d], '/') AS anc_path
+  FROM (SELECT change_id, string_split(target, '/') AS s FROM {p}_fr WHERE reason IS NULL) r, generate_series(2, len(r.s)) g(d)),
+{p}_fj AS (SELECT a.*, c.is_dir AS exists_dir FROM {p}_fa a LEFT JOIN {cat} c ON c.path_key = lower(a.anc_path)),
+{p}_fv AS (SELECT change_id, max(CASE WHEN exists_dir = false THEN 1 ELSE 0 END) AS fiw, max(depth) AS td
+  FROM {p}_fj GROUP BY change_id),
+{p}_folders AS (
+  SELECT j.change_id, j.anc_path AS path, CASE WHEN j.depth = v.td THEN 'target' ELSE 'ancestor' END AS role,
+    CASE WHEN v.fiw = 1 THEN 'conflict' WHEN j.exists_dir THEN 'kept' ELSE 'created' END AS status
+  FROM {p}_fj j JOIN {p}_fv v ON v.change_id = j.change_id
+  WHERE j.depth = v.td OR (j.exists_dir IS NULL AND v.fiw <> 1)
+  UNION ALL SELECT change_id, target, 'target', 'invalid_name' FROM {p}_fr WHERE reason IS NOT NULL),
+{p}_gr AS (SELECT change_id, coalesce(content, '') AS content, make_parents, {_plan_reason('name')} AS reason,
+  {target} AS target FROM {man} WHERE kind = 'file'),
+{p}_ga AS (SELECT r.change_id, g.d AS depth, len(r.s) AS td, array_to_string(r.s[1:g.d], '/') AS anc_path
+  FROM (SELECT change_id, string_split(target, '/') AS s FROM {p}_gr WHERE reason IS NULL) r, generate_series(2, len(r.s)) g(d)),
+{p}_gj AS (SELECT a.*, c.is_dir AS exists_dir FROM {p}_ga a LEFT JOIN {cat} c ON c.path_key = lower(a.anc_path)),
+{p}_gv AS (SELECT change_id,
+    max(CASE WHEN depth < td AND exists_dir = false THEN 1 ELSE 0 END) AS file_above,
+    max(CASE WHEN depth = td THEN CAST(exists_dir AS INT) END) AS tgt,
+    max(CASE WHEN depth = td - 1 THEN CAST(exists_dir AS INT) END) AS par,
+    max(CASE WHEN depth = td - 1 THEN 1 ELSE 0 END) AS has_par
+  FROM {p}_gj GROUP BY change_id),
+{p}_files AS (
+  SELECT r.change_id, r.target AS path, r.content,
+    CASE WHEN v.file_above = 1 OR v.tgt = 1 THEN 'conflict'
+         WHEN NOT (coalesce(v.par, 0) = 1 OR v.has_par = 0 OR r.make_parents) THEN 'missing'
+         WHEN v.tgt = 0 THEN 'overwritten' ELSE 'created' END AS status
+  FROM {p}_gr r JOIN {p}_gv v ON v.change_id = r.change_id WHERE r.reason IS NULL
+  UNION ALL SELECT change_id, target, content, 'invalid_name' FROM {p}_gr WHERE reason IS NOT NULL)"""
+
+
+_MANIFEST = r""",
+man AS (
+  SELECT o AS change_id,
+    CASE WHEN o % 7 IN (0, 1) THEN par WHEN o % 7 = 5 THEN p || '_nodir' WHEN o % 7 = 6 THEN p ELSE par END AS location,
+    CASE WHEN o % 7 IN (0, 1) THEN nm WHEN o % 7 = 2 THEN 'new_' || nm || '/inner' WHEN o % 7 = 3 THEN nm || '.new'
+         WHEN o % 7 = 4 THEN nm || '*' WHEN o % 7 = 5 THEN 'note.txt' ELSE 'sub' END AS name,
+    CASE WHEN o % 7 IN (0, 2, 6) THEN 'folder' ELSE 'file' END AS kind,
+    CASE WHEN o % 7 = 3 THEN 'about ' || nm ELSE '' END AS content,
+    o % 7 <> 5 AS make_parents
+  FROM (SELECT ordinal AS o, path AS p, parent AS par, name AS nm FROM catalog))"""
+
+_NESTED = rf""",
+nest AS (SELECT ordinal AS cid, path AS loc, name AS nm, ordinal % 4 = 0 AS bad FROM catalog WHERE is_dir),
+nman AS (
+  SELECT cid * 1000000 AS change_id, loc AS location, 'bundle' AS name, 'folder' AS kind, NULL AS content, true AS make_parents FROM nest
+  UNION ALL SELECT cid * 1000000 + 1, {_norm("loc || '/bundle'")}, 'readme.txt', 'file', nm, false FROM nest
+  UNION ALL SELECT cid * 1000000 + 2, {_norm("loc || '/bundle'")}, CASE WHEN bad THEN nm || '?' ELSE nm END, 'file', '', false FROM nest
+  UNION ALL SELECT cid * 1000000 + 1000, {_norm("loc || '/bundle'")}, 'sub', 'folder', NULL, true FROM nest
+  UNION ALL SELECT cid * 1000000 + 1001, {_norm(_norm("loc || '/bundle'") + " || '/sub'")}, 'a.txt', 'file', 'x', false FROM nest)"""
+
+
 _FOLDER = "📁 Folder"
 _FILE = "📄 File"
 
@@ -267,3 +331,22 @@ ORACLE_SQL: dict[str, str] = {
     "status_summary": _with("SELECT status, CAST(count(*) AS BIGINT) AS n FROM rplan GROUP BY status"),
     "stream_catalog_ingest": _with("SELECT path_key FROM catalog"),
 }
+
+_C1 = _MANIFEST + _create_sql("m", "man", "catalog")
+_C2 = (_NESTED + _create_sql("n1", "nman", "catalog")
+       + """,
+nview AS (SELECT path_key, is_dir FROM catalog
+  UNION ALL SELECT lower(path), true FROM n1_folders WHERE status IN ('created', 'kept'))"""
+       + _create_sql("n2", "nman", "nview"))
+
+ORACLE_SQL.update({
+    "create_folders": "WITH " + _BASE + _C1 + "\nSELECT change_id, path, role, status FROM m_folders",
+    "create_files": "WITH " + _BASE + _C1 + "\nSELECT change_id, path, status FROM m_files",
+    "write_created_files": "WITH " + _BASE + _C1 + "\nSELECT path, content FROM m_files WHERE status IN ('created', 'overwritten')",
+    "created_counts": "WITH " + _BASE + _C1 + f"""
+SELECT {_parent('path')} AS folder, CAST(count(*) FILTER (WHERE status IN ('created', 'overwritten')) AS BIGINT) AS created
+FROM m_files GROUP BY 1""",
+    "create_folder_with_files": "WITH " + _BASE + _C2 + """
+SELECT change_id, path, 'folder' AS kind, status FROM n1_folders
+UNION ALL SELECT change_id, path, 'file' AS kind, status FROM n2_files""",
+})
