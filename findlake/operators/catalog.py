@@ -117,16 +117,26 @@ def already_indexed(new_items: DataFrame, catalog: DataFrame) -> DataFrame:
     return new_items.join(keys, "path_key", "left_anti")
 
 
-def scope_to_roots(catalog: DataFrame, roots: DataFrame) -> DataFrame:
+def scope_to_roots(catalog: DataFrame, roots: DataFrame, max_broadcast: int = 10_000) -> DataFrame:
     """Items strictly below each root; an item below two roots appears twice.
 
-    ``roots(root, root_key)`` is a user-supplied list (a handful of rows) and
-    is broadcast; the catalog streams through the join. The root itself is
-    not an item of its own walk.
+    ``roots(root, root_key)`` is normally a handful of rows: after a checked
+    count it is broadcast and the catalog streams through a ``startswith``
+    join. A long roots list uses an equi-join instead: each item's proper
+    ancestor keys are exploded (bounded by path depth) and matched exactly.
+    The root itself is not an item of its own walk.
     """
     r = roots.select("root", F.regexp_replace(F.lower("root_key"), "/+$", "").alias("root_prefix"))
-    cond = F.col("path_key").startswith(F.concat(F.col("root_prefix"), F.lit("/")))
-    return catalog.join(F.broadcast(r), cond, "inner").drop("root_prefix")
+    n = r.count()
+    if n <= max_broadcast:
+        cond = F.col("path_key").startswith(F.concat(F.col("root_prefix"), F.lit("/")))
+        return catalog.join(F.broadcast(r), cond, "inner").drop("root_prefix")
+    parts = F.split("path_key", "/")
+    anc = (catalog.withColumn("_parts", parts)
+           .withColumn("_d", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_parts") - 1, F.lit(1)))))
+           .where(F.col("_d") < F.size("_parts"))
+           .withColumn("root_prefix", F.array_join(F.slice("_parts", 1, F.col("_d")), "/")))
+    return anc.join(r, "root_prefix", "inner").drop("root_prefix", "_parts", "_d")
 
 
 def available_drives(catalog: DataFrame) -> DataFrame:

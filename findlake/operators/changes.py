@@ -281,10 +281,11 @@ def create_folder_with_files(catalog: DataFrame, nested: DataFrame) -> DataFrame
 def resolve_location(requests: DataFrame, locations: DataFrame) -> DataFrame:
     """Named location (label) -> path; unknown labels fall back to the request's custom path.
 
-    ``locations(label, path)`` is a handful of rows and is broadcast.
+    ``locations(label, path)`` is a handful of rows; it is an equi-join, so
+    the planner broadcasts it from its size (and never has to).
     """
     locs = locations.select(F.lower("label").alias("_label"), F.col("path").alias("_loc_path"))
-    return (requests.join(F.broadcast(locs), F.lower(requests["label"]) == F.col("_label"), "left")
+    return (requests.join(locs, F.lower(requests["label"]) == F.col("_label"), "left")
             .withColumn("location", P.normalise_path(F.coalesce("_loc_path", "custom")))
             .drop("_label", "_loc_path"))
 

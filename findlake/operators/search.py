@@ -135,6 +135,20 @@ def probe_grams(cat: DataFrame, qn: DataFrame) -> DataFrame:
     return rarest.unionByName(short)
 
 
+def _substring_equi(items: DataFrame, cat: DataFrame, qn: DataFrame) -> DataFrame:
+    """Pairs where ``name_lc`` contains ``q``, found by equi-joining on one probe gram per query.
+
+    Probe lengths are ``min(length(q), 3)``, so the lengths table has at most
+    three rows and is broadcast by construction.
+    """
+    probes = probe_grams(cat, qn).join(qn, "query_id")
+    lengths = probes.select(F.length("gram").alias("n")).distinct()
+    item_grams = (items.join(F.broadcast(lengths), F.col("n") <= F.length("name_lc"))
+                  .select(*items.columns, F.explode(_grams(F.col("name_lc"), F.col("n"))).alias("gram")))
+    return (item_grams.join(probes, "gram", "inner").drop("gram")
+            .where(F.col("name_lc").contains(F.col("q"))))
+
+
 def hits_indexed(cat: DataFrame, qn: DataFrame) -> DataFrame:
     """Same pairs as ``hits_scan`` with equi-joins only, for batches too large to broadcast.
 
@@ -148,12 +162,7 @@ def hits_indexed(cat: DataFrame, qn: DataFrame) -> DataFrame:
     Hot grams and words are split by AQE's skew-join handling.
     """
     items = searchable(cat)
-    probes = probe_grams(cat, qn).join(qn, "query_id")
-    lengths = probes.select(F.length("gram").alias("n")).distinct()
-    item_grams = (items.join(F.broadcast(lengths), F.col("n") <= F.length("name_lc"))
-                  .select(*HIT_COLUMNS, F.explode(_grams(F.col("name_lc"), F.col("n"))).alias("gram")))
-    by_substring = (item_grams.join(probes, "gram", "inner").drop("gram")
-                    .where(F.col("name_lc").contains(F.col("q"))))
+    by_substring = _substring_equi(items, cat, qn)
     words = qn.select("query_id", F.explode("q_words").alias("word")).distinct()
     item_words = items.select(*HIT_COLUMNS, F.explode(F.array_distinct("tokens")).alias("word"))
     by_word = (item_words.join(words, "word", "inner").drop("word")
@@ -173,15 +182,32 @@ def exact_match(cat: DataFrame, qn: DataFrame) -> DataFrame:
             .select("query_id", "ordinal", "path"))
 
 
+def prefix_pairs(cat: DataFrame, qn: DataFrame, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+    """(query, item) pairs where the name starts with a non-empty query.
+
+    Small batches: ``startswith`` against the broadcast batch. Large batches:
+    each name is cut at every distinct query length (at most the longest
+    query's length, a bounded broadcast table) and equi-joined on the cut.
+    """
+    qs = qn.where(F.col("q") != "")
+    items = searchable(cat)
+    batch, small = checked_broadcast(qs, max_broadcast)
+    if small:
+        return (items.join(batch, F.col("name_lc").startswith(F.col("q")), "inner")
+                .select("query_id", "ordinal", "path"))
+    lengths = qs.select(F.length("q").alias("n")).distinct()
+    cut = (items.join(F.broadcast(lengths), F.col("n") <= F.length("name_lc"))
+           .select("ordinal", "path", F.expr("substring(name_lc, 1, n)").alias("q")))
+    return cut.join(qs.select("query_id", "q"), "q", "inner").select("query_id", "ordinal", "path")
+
+
 def prefix_match(cat: DataFrame, qn: DataFrame, n: int) -> DataFrame:
     """Strategy 2: the first ``n`` items (by arrival) whose name starts with the query.
 
     An empty prefix finds nothing. The cut is a skew-safe top-n by ordinal.
     """
-    pairs = (searchable(cat).join(F.broadcast(qn.where(F.col("q") != "")),
-                                  F.col("name_lc").startswith(F.col("q")), "inner")
-             .select("query_id", "ordinal", "path"))
-    return top_n_per_group(pairs, ["query_id"], [F.col("ordinal")], n, rank_col="prefix_rank")
+    return top_n_per_group(prefix_pairs(cat, qn), ["query_id"], [F.col("ordinal")], n,
+                           rank_col="prefix_rank")
 
 
 def word_match(cat: DataFrame, qn: DataFrame) -> DataFrame:
@@ -193,10 +219,17 @@ def word_match(cat: DataFrame, qn: DataFrame) -> DataFrame:
             .dropDuplicates(["query_id", "ordinal"]))
 
 
-def substring_match(cat: DataFrame, qn: DataFrame) -> DataFrame:
-    """Strategy 4: the query occurs anywhere in the lower-cased name."""
-    return (searchable(cat).join(F.broadcast(qn), F.col("name_lc").contains(F.col("q")), "inner")
-            .select("query_id", "ordinal", "path"))
+def substring_match(cat: DataFrame, qn: DataFrame, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+    """Strategy 4: the query occurs anywhere in the lower-cased name.
+
+    Small batches: ``contains`` against the broadcast batch (one catalog
+    pass). Large batches: gram-blocked equi-join (see ``hits_indexed``).
+    """
+    batch, small = checked_broadcast(qn, max_broadcast)
+    if small:
+        return (searchable(cat).join(batch, F.col("name_lc").contains(F.col("q")), "inner")
+                .select("query_id", "ordinal", "path"))
+    return _substring_equi(searchable(cat), cat, qn).select("query_id", "ordinal", "path")
 
 
 # ---------------------------------------------------------------------------
@@ -206,13 +239,14 @@ def substring_match(cat: DataFrame, qn: DataFrame) -> DataFrame:
 def with_membership(hits: DataFrame, k: int) -> DataFrame:
     """Flag strategy 1-3 members: exact, word, or among the first ``2k`` prefix hits.
 
-    The prefix cut is a skew-safe top-n; its result has at most
-    ``n_queries * 2k`` rows, a bound proven by construction, and is broadcast.
+    The prefix cut is a skew-safe top-n with at most ``n_queries * 2k`` rows;
+    no broadcast is forced, so AQE broadcasts it from its measured size and
+    falls back to a shuffle join for very large query batches.
     """
     first_prefix = (top_n_per_group(hits.where("is_prefix").select("query_id", "ordinal"),
                                     ["query_id"], [F.col("ordinal")], 2 * k)
                     .select("query_id", "ordinal", F.lit(True).alias("in_prefix_cut")))
-    return (hits.join(F.broadcast(first_prefix), ["query_id", "ordinal"], "left")
+    return (hits.join(first_prefix, ["query_id", "ordinal"], "left")
             .withColumn("is_member", F.col("is_exact") | F.col("is_word")
                         | F.coalesce(F.col("in_prefix_cut"), F.lit(False)))
             .drop("in_prefix_cut"))
@@ -233,7 +267,7 @@ def fallback_union(hits: DataFrame, k: int) -> DataFrame:
     """Strategies 1-3, plus every substring hit for queries with fewer than ``k`` of them."""
     members = with_membership(hits, k)
     counts = member_counts(members)
-    return (members.join(F.broadcast(counts), "query_id", "left")
+    return (members.join(counts, "query_id", "left")
             .withColumn("n_members", F.coalesce("n_members", F.lit(0)))
             .where(F.col("is_member") | (F.col("n_members") < k)))
 

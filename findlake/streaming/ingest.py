@@ -11,7 +11,9 @@ catalog already has. Two forms:
   anti-joins the batch with the catalog *table* on shared storage; the table
   is the state. Each batch writes its own folder ``batch=<id>`` with mode
   overwrite, so a batch replayed after a failure rewrites the same rows
-  (idempotent), and batches read only the folders of earlier batches.
+  (idempotent), and batches read only the folders of earlier batches. Rows
+  are partitioned by a hash bucket of ``path_key``, and a batch reads only
+  the buckets its own keys fall in.
 """
 
 from __future__ import annotations
@@ -39,16 +41,24 @@ def ingest_with_state(spark: SparkSession, source_dir: str) -> DataFrame:
     return _items(stream).dropDuplicates(["path_key"])
 
 
-def _batch_writer(catalog_dir: str):
+def _batch_writer(catalog_dir: str, key_buckets: int):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = dedup_first_wins(_items(batch))
+        new = (dedup_first_wins(_items(batch))
+               .withColumn("key_bucket", F.pmod(F.xxhash64("path_key"), F.lit(key_buckets))))
         if _has_parquet(spark, catalog_dir):
-            known = (spark.read.parquet(catalog_dir).where(F.col("batch") < batch_id)
-                     .select("path_key"))
-            new = new.join(known, "path_key", "left_anti")
-        (new.select(*CATALOG_COLUMNS)
-         .write.mode("overwrite").parquet(os.path.join(catalog_dir, f"batch={batch_id}")))
+            # Only the key buckets present in this micro-batch can hold a
+            # duplicate: at most ``key_buckets`` small ints come back to the
+            # driver and become a partition filter, so the anti-join reads
+            # those partitions of earlier batches, not the whole catalog.
+            buckets = [r[0] for r in new.select("key_bucket").distinct().collect()]
+            known = (spark.read.parquet(catalog_dir)
+                     .where((F.col("batch") < batch_id) & F.col("key_bucket").isin(buckets))
+                     .select("key_bucket", "path_key"))
+            new = new.join(known, ["key_bucket", "path_key"], "left_anti")
+        (new.select(*CATALOG_COLUMNS, "key_bucket")
+         .write.mode("overwrite").partitionBy("key_bucket")
+         .parquet(os.path.join(catalog_dir, f"batch={batch_id}")))
     return write
 
 
@@ -62,11 +72,11 @@ def _has_parquet(spark: SparkSession, path: str) -> bool:
 
 
 def ingest_foreach_batch(spark: SparkSession, source_dir: str, catalog_dir: str, checkpoint: str,
-                         files_per_batch: int = 1) -> None:
+                         files_per_batch: int = 1, key_buckets: int = 64) -> None:
     """Run the stream until the source folder is drained (``availableNow``)."""
     stream = (spark.readStream.schema(LISTING_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
               .parquet(source_dir))
-    query = (stream.writeStream.foreachBatch(_batch_writer(catalog_dir))
+    query = (stream.writeStream.foreachBatch(_batch_writer(catalog_dir, key_buckets))
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
 
