@@ -59,7 +59,9 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
             .where(~X.is_blank("raw"))
             .select(F.col("query_id").cast("bigint").alias("query_id"), "raw",
                     X.normalise_query("raw").alias("q"))
-            .withColumn("q_words", X.tokenise_query("q")))
+            .withColumn("q_words", X.tokenise_query("q"))
+            # The query is its own single word: a word hit is then a substring hit too.
+            .withColumn("single_word", (F.size("q_words") == 1) & (F.element_at("q_words", 1) == F.col("q"))))
 
 
 def searchable(catalog: DataFrame) -> DataFrame:
@@ -69,27 +71,44 @@ def searchable(catalog: DataFrame) -> DataFrame:
     return cat.select(*HIT_COLUMNS)
 
 
+def item_points(name_lc="name_lc", parent_name="parent_name") -> Column:
+    """Query-independent part of the score: short-name and common-folder bonuses."""
+    name_lc, parent_name = (F.col(c) if isinstance(c, str) else c for c in (name_lc, parent_name))
+    short = F.greatest(F.lit(0), F.lit(SHORT_NAME_BONUS) - F.length(name_lc))
+    common = F.when(P.in_common_folder(parent_name), COMMON_FOLDER_POINTS).otherwise(0)
+    return short + common
+
+
 def relevance_score(name_lc="name_lc", q="q", parent_name="parent_name") -> Column:
     """Integer score of (item, query); see the module docstring."""
     name_lc, q, parent_name = (F.col(c) if isinstance(c, str) else c
                                for c in (name_lc, q, parent_name))
-    match = (F.when(name_lc == q, EXACT_POINTS)
-             .when(name_lc.startswith(q), PREFIX_POINTS)
-             .when(name_lc.contains(q), CONTAINS_POINTS)
-             .otherwise(0))
-    short = F.greatest(F.lit(0), F.lit(SHORT_NAME_BONUS) - F.length(name_lc))
-    common = F.when(P.in_common_folder(parent_name), COMMON_FOLDER_POINTS).otherwise(0)
-    return (match + short + common).cast("bigint")
+    return (match_points(name_lc, q) + item_points(name_lc, parent_name)).cast("bigint")
+
+
+def match_points(name_lc, q) -> Column:
+    return (F.when(name_lc == q, EXACT_POINTS)
+            .when(name_lc.startswith(q), PREFIX_POINTS)
+            .when(name_lc.contains(q), CONTAINS_POINTS)
+            .otherwise(0))
+
+
+def word_hit() -> Column:
+    """Any query word equals an indexed word of the name."""
+    return F.when(F.col("single_word"), F.array_contains("tokens", F.col("q"))) \
+        .otherwise(F.arrays_overlap("tokens", "q_words"))
 
 
 def with_match_flags(pairs: DataFrame) -> DataFrame:
     """Add ``is_exact, is_prefix, is_word, is_contains, score`` to (item, query) pairs."""
+    points = F.col("_item_points") if "_item_points" in pairs.columns else item_points()
     return (pairs
             .withColumn("is_exact", F.col("name_lc") == F.col("q"))
             .withColumn("is_prefix", F.col("name_lc").startswith(F.col("q")))
             .withColumn("is_contains", F.col("name_lc").contains(F.col("q")))
-            .withColumn("is_word", F.arrays_overlap("tokens", "q_words"))
-            .withColumn("score", relevance_score()))
+            .withColumn("is_word", word_hit())
+            .withColumn("score", (match_points(F.col("name_lc"), F.col("q")) + points).cast("bigint"))
+            .drop("_item_points"))
 
 
 # ---------------------------------------------------------------------------
@@ -104,8 +123,11 @@ def hits_scan(cat: DataFrame, qn: DataFrame) -> DataFrame:
     read once, with no shuffle. Exact and prefix hits are subsets of substring
     hits, so this one condition finds every candidate of every strategy.
     """
-    cond = F.col("name_lc").contains(F.col("q")) | F.arrays_overlap("tokens", "q_words")
-    return with_match_flags(searchable(cat).join(F.broadcast(qn), cond, "inner"))
+    # Name words are substrings of the name, so for a query that is its own
+    # single word the substring test already covers the word test.
+    cond = F.col("name_lc").contains(F.col("q")) | (~F.col("single_word") & F.arrays_overlap("tokens", "q_words"))
+    items = searchable(cat).withColumn("_item_points", item_points())
+    return with_match_flags(items.join(F.broadcast(qn), cond, "inner"))
 
 
 def _grams(col: Column, n: Column) -> Column:
