@@ -42,8 +42,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     reps = int(os.environ.get("BENCH_REPS", "8"))
-    spark = get_session(f"local[{cpus}]", app="findlake-bench", shuffle_partitions=cpus,
-                        extra={"spark.driver.memory": "16g"})
+    spark = get_session(f"local[{cpus}]", app="findlake-bench", shuffle_partitions=cpus)
     out = os.path.join(checkpoint_dir(spark), "bench-" + uuid.uuid4().hex)
     cat_path = os.path.join(out, "catalog")
 
