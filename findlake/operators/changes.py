@@ -24,10 +24,6 @@ CREATE_STATUSES = ("created", "kept", "overwritten", "conflict", "missing", "inv
 RENAME_STATUSES = ("unchanged", "invalid_name", "exists", "missing", "ok")
 
 
-def _key(c) -> Column:
-    return F.lower(P.normalise_path(c))
-
-
 def _join_path(parent, name) -> Column:
     parent = F.col(parent) if isinstance(parent, str) else parent
     name = F.col(name) if isinstance(name, str) else name

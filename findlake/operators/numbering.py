@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from findlake.session import checkpoint_dir
+
 _POS_BITS = 33
 
 
@@ -36,6 +38,7 @@ def sequential_number(df: DataFrame, group_cols: list[str], order_cols: list[str
     # Both uses below must see the same range partitions. Re-running the range
     # exchange can sample different bounds (shuffle read order varies), so the
     # numbered rows are cut from their lineage into the shared checkpoint folder.
+    checkpoint_dir(df.sparkSession)
     staged = staged.checkpoint(eager=True)
     spans = staged.groupBy(*group_cols, "_part").agg(F.count(F.lit(1)).alias("_cnt"),
                                                       F.min("_pos").alias("_first"))

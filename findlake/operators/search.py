@@ -39,6 +39,8 @@ DISPLAY_LIMIT = 20         # rows shown per result page
 
 # Largest query batch that is broadcast; larger batches use shuffle joins.
 MAX_BROADCAST_QUERIES = 100_000
+# Largest batch whose query strings become literal scan filters.
+PUSHDOWN_LITERALS = 64
 
 HIT_COLUMNS = ["ordinal", "path", "name", "name_lc", "parent", "parent_name", "is_dir", "tokens"]
 
@@ -198,9 +200,34 @@ def hits_indexed(cat: DataFrame, qn: DataFrame) -> DataFrame:
 # Individual strategies (each usable on its own).
 # ---------------------------------------------------------------------------
 
+def _literal_filter(qs: DataFrame, pred, max_literals: int = PUSHDOWN_LITERALS) -> Column:
+    """OR of literal predicates over a tiny batch's query strings, or TRUE.
+
+    Literal ``=`` / ``startswith`` on the stored ``name_lc`` reach the Parquet
+    scan as ``In`` / ``StringStartsWith`` filters; catalog files are sorted by
+    ``name_lc``, so row-group statistics skip most of the data. Only batches
+    of at most ``max_literals`` queries (a counted bound) are turned into
+    literals; the join above still decides the exact pairs.
+    """
+    if qs.count() > max_literals:
+        return F.lit(True)
+    values = sorted({r.q for r in qs.select("q").distinct().collect()})
+    if not values:
+        return F.lit(False)
+    cond = None
+    for v in values:
+        c = pred(F.lit(v))
+        cond = c if cond is None else (cond | c)
+    return cond
+
+
 def exact_match(cat: DataFrame, qn: DataFrame) -> DataFrame:
-    """Strategy 1: lower-cased name equals the query (equi-join on ``name_lc``)."""
-    return (searchable(cat).join(qn, F.col("name_lc") == F.col("q"), "inner")
+    """Strategy 1: lower-cased name equals the query (equi-join on ``name_lc``).
+
+    Tiny batches also push ``name_lc IN (...)`` into the scan.
+    """
+    items = searchable(cat).where(_literal_filter(qn, lambda q: F.col("name_lc") == q))
+    return (items.join(qn, F.col("name_lc") == F.col("q"), "inner")
             .select("query_id", "ordinal", "path"))
 
 
@@ -215,6 +242,7 @@ def prefix_pairs(cat: DataFrame, qn: DataFrame, max_broadcast: int = MAX_BROADCA
     items = searchable(cat)
     batch, small = checked_broadcast(qs, max_broadcast)
     if small:
+        items = items.where(_literal_filter(qs, lambda q: F.col("name_lc").startswith(q)))
         return (items.join(batch, F.col("name_lc").startswith(F.col("q")), "inner")
                 .select("query_id", "ordinal", "path"))
     lengths = qs.select(F.length("q").alias("n")).distinct()

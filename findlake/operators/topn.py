@@ -28,8 +28,7 @@ def default_salt_buckets(df: DataFrame) -> int:
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], order: list[Column], n: int,
-                    unique_col: str = "ordinal", salt_buckets: int | None = None,
-                    rank_col: str = "rank") -> DataFrame:
+                    salt_buckets: int | None = None, rank_col: str = "rank") -> DataFrame:
     """Rows ranked ``1..n`` within each group by ``order`` (row_number semantics)."""
     buckets = default_salt_buckets(df) if salt_buckets is None else salt_buckets
     staged = df

@@ -37,8 +37,7 @@ def candidate_hits(catalog: DataFrame, queries: DataFrame, plan: str = "auto",
     """Prepared queries joined with the catalog by the chosen physical form."""
     qn = S.prepare_queries(queries)
     if plan == "auto":
-        qn_sized, small = S.checked_broadcast(qn, max_broadcast)
-        plan = "scan" if small else "indexed"
+        plan = "scan" if qn.count() <= max_broadcast else "indexed"
     if plan == "scan":
         return S.hits_scan(catalog, qn)
     if plan == "indexed":

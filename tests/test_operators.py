@@ -123,3 +123,25 @@ def test_rank_results_matches_window(spark, small_catalog):
     expected = cands.select("query_id", "ordinal", F.row_number().over(w).cast("bigint").alias("rank"))
     got = S.rank_results(cands, bucket_bits=3).select("query_id", "ordinal", "rank")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_tree_listing_source(spark, tmp_path):
+    from findlake.sources.tree import list_tree
+    root = tmp_path / "test_root"
+    (root / "folder1").mkdir(parents=True)
+    for rel in ("doc1.txt", "image.jpg", "folder1/doc2.pdf"):
+        (root / rel).write_text("content")
+    cat = C.build_catalog(list_tree(spark, str(root)))
+    roots = spark.createDataFrame([(str(root),)], "root string").selectExpr("root", "root AS root_key")
+    below = {r.path[len(str(root)) + 1:]: r.is_dir for r in C.scope_to_roots(cat, roots).collect()}
+    assert below == {"doc1.txt": False, "image.jpg": False, "folder1": True, "folder1/doc2.pdf": False}
+
+
+def test_autocomplete_pushes_prefix_filter(spark, tmp_path):
+    from findlake.plans.search import autocomplete
+    from findlake.sources import tables as TB
+    path = str(tmp_path / "cat")
+    TB.write_catalog(C.with_tokens(C.build_catalog(FX.fixture_listing(spark, SF_SMALL))), path)
+    df = autocomplete(TB.read_catalog(spark, path), FX.query_batch(spark, ["blue", "doc"]), 20)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(name_lc,blue)" in plan
