@@ -33,11 +33,15 @@ RESULT_COLUMNS = ["query_id", "rank", "path", "name", "item_type", "parent", "sc
 
 
 def candidate_hits(catalog: DataFrame, queries: DataFrame, plan: str = "auto",
-                   max_broadcast: int = S.MAX_BROADCAST_QUERIES) -> DataFrame:
-    """Prepared queries joined with the catalog by the chosen physical form."""
+                   scan_max_queries: int = S.SCAN_PLAN_MAX_QUERIES) -> DataFrame:
+    """Prepared queries joined with the catalog by the chosen physical form.
+
+    ``auto`` counts the batch (a size check on a small input) and picks the
+    broadcast scan up to ``scan_max_queries`` queries, equi-joins beyond.
+    """
     qn = S.prepare_queries(queries)
     if plan == "auto":
-        plan = "scan" if qn.count() <= max_broadcast else "indexed"
+        plan = "scan" if qn.count() <= scan_max_queries else "indexed"
     if plan == "scan":
         return S.hits_scan(catalog, qn)
     if plan == "indexed":
