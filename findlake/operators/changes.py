@@ -30,6 +30,25 @@ def _join_path(parent, name) -> Column:
     return P.normalise_path(F.concat(parent, F.lit("/"), name))
 
 
+# Largest change batch that is broadcast against the catalog (rows, counted).
+MAX_BROADCAST_CHANGES = 1_000_000
+
+
+def _lookup(requests: DataFrame, catalog_side: DataFrame, key: str,
+            max_broadcast: int = MAX_BROADCAST_CHANGES) -> DataFrame:
+    """``requests LEFT JOIN catalog_side USING (key)``, without shuffling the catalog when possible.
+
+    A change batch is usually tiny next to the catalog. After a counted size
+    check it is broadcast and the join is written as a RIGHT OUTER join, so
+    the catalog streams through a ``BroadcastHashJoin`` and is never
+    shuffled; larger batches use a plain shuffle join. ``catalog_side`` must
+    be unique on ``key`` (catalog rows are unique on ``path_key``).
+    """
+    if requests.count() <= max_broadcast:
+        return catalog_side.join(F.broadcast(requests), key, "right")
+    return requests.join(catalog_side, key, "left")
+
+
 def _first_wins(rows: DataFrame, key: str, status: str) -> DataFrame:
     """Rows whose ``key`` was already claimed by a lower ``change_id`` get ``status``."""
     first = rows.groupBy(key).agg(F.min("change_id").alias("_first_id"))
@@ -54,11 +73,11 @@ def rename_plan(catalog: DataFrame, renames: DataFrame) -> DataFrame:
     taken = catalog.select(F.col("path_key").alias("tgt_key")).withColumn("_taken", F.lit(True))
     req = (renames.select(F.col("change_id").cast("bigint").alias("change_id"),
                           P.normalise_path("path").alias("path"), "new_name")
-           .withColumn("src_key", F.lower("path"))
-           .join(items, "src_key", "left")
+           .withColumn("src_key", F.lower("path")))
+    req = (_lookup(req, items, "src_key")
            .withColumn("new_path", _join_path(F.coalesce("item_parent", P.parent_of("path")), "new_name"))
-           .withColumn("tgt_key", F.lower("new_path"))
-           .join(taken, "tgt_key", "left"))
+           .withColumn("tgt_key", F.lower("new_path")))
+    req = _lookup(req, taken, "tgt_key")
     bad_name = (~X.is_safe_name("new_name")) | F.col("new_name").rlike(r"[/\\]")
     status = (F.when(F.col("new_name") == P.name_of("path"), F.lit("unchanged"))
               .when(bad_name, F.lit("invalid_name"))
@@ -96,6 +115,8 @@ def apply_renames(catalog: DataFrame, plan: DataFrame) -> DataFrame:
     """
     ok = (plan.where(F.col("status") == "ok")
           .select(F.lower("path").alias("anc_key"), F.col("new_name").alias("new_part")))
+    if ok.count() <= MAX_BROADCAST_CHANGES:
+        ok = F.broadcast(ok)  # the exploded catalog then never leaves the map side
     parts = F.split("path", "/")
     anc = (catalog.select("ordinal", F.posexplode(parts).alias("pos", "part"), parts.alias("parts"))
            .select("ordinal", "pos",
@@ -170,7 +191,7 @@ def create_folders(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
         F.lit("invalid_name").alias("status"))
     valid = req.where(F.col("reason").isNull())
     existing = catalog.select(F.col("path_key").alias("anc_key"), F.col("is_dir").alias("exists_dir"))
-    anc = _ancestor_rows(valid).join(existing, "anc_key", "left")
+    anc = _lookup(_ancestor_rows(valid), existing, "anc_key")
     verdict = (anc.groupBy("change_id")
                .agg(F.max(F.when(F.col("exists_dir") == F.lit(False), 1).otherwise(0)).alias("_file_in_way"),
                     F.max("depth").alias("_target_depth")))
@@ -205,7 +226,7 @@ def create_files(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
         "change_id", F.col("target").alias("path"), "content", F.lit("invalid_name").alias("status"))
     valid = req.where(F.col("reason").isNull())
     existing = catalog.select(F.col("path_key").alias("anc_key"), F.col("is_dir").alias("exists_dir"))
-    anc = _ancestor_rows(valid).join(existing, "anc_key", "left")
+    anc = _lookup(_ancestor_rows(valid), existing, "anc_key")
     depth = F.size(F.split("target", "/"))
     verdict = (anc.join(valid.select("change_id", depth.alias("_tdepth")), "change_id")
                .groupBy("change_id")
