@@ -34,8 +34,11 @@ def _join_path(parent, name) -> Column:
 MAX_BROADCAST_CHANGES = 1_000_000
 
 
-def _lookup(requests: DataFrame, catalog_side: DataFrame, key: str,
-            max_broadcast: int = MAX_BROADCAST_CHANGES) -> DataFrame:
+def _is_small(requests: DataFrame, max_broadcast: int = MAX_BROADCAST_CHANGES) -> bool:
+    return requests.count() <= max_broadcast
+
+
+def _lookup(requests: DataFrame, catalog_side: DataFrame, key: str, small: bool | None = None) -> DataFrame:
     """``requests LEFT JOIN catalog_side USING (key)``, without shuffling the catalog when possible.
 
     A change batch is usually tiny next to the catalog. After a counted size
@@ -44,7 +47,7 @@ def _lookup(requests: DataFrame, catalog_side: DataFrame, key: str,
     shuffled; larger batches use a plain shuffle join. ``catalog_side`` must
     be unique on ``key`` (catalog rows are unique on ``path_key``).
     """
-    if requests.count() <= max_broadcast:
+    if _is_small(requests) if small is None else small:
         return catalog_side.join(F.broadcast(requests), key, "right")
     return requests.join(catalog_side, key, "left")
 
@@ -74,10 +77,11 @@ def rename_plan(catalog: DataFrame, renames: DataFrame) -> DataFrame:
     req = (renames.select(F.col("change_id").cast("bigint").alias("change_id"),
                           P.normalise_path("path").alias("path"), "new_name")
            .withColumn("src_key", F.lower("path")))
-    req = (_lookup(req, items, "src_key")
+    small = _is_small(renames)  # counted once, on the input batch
+    req = (_lookup(req, items, "src_key", small)
            .withColumn("new_path", _join_path(F.coalesce("item_parent", P.parent_of("path")), "new_name"))
            .withColumn("tgt_key", F.lower("new_path")))
-    req = _lookup(req, taken, "tgt_key")
+    req = _lookup(req, taken, "tgt_key", small)
     bad_name = (~X.is_safe_name("new_name")) | F.col("new_name").rlike(r"[/\\]")
     status = (F.when(F.col("new_name") == P.name_of("path"), F.lit("unchanged"))
               .when(bad_name, F.lit("invalid_name"))
@@ -113,8 +117,10 @@ def apply_renames(catalog: DataFrame, plan: DataFrame) -> DataFrame:
        the item columns. Nested renames in one batch compose naturally,
        because every part is matched by its *old* ancestor key.
     """
+    # The ok renames and the affected-item map are small derived tables: each
+    # is persisted, so counting it for the broadcast check computes it once.
     ok = (plan.where(F.col("status") == "ok")
-          .select(F.lower("path").alias("anc_key"), F.col("new_name").alias("new_part")))
+          .select(F.lower("path").alias("anc_key"), F.col("new_name").alias("new_part"))).persist()
     if ok.count() <= MAX_BROADCAST_CHANGES:
         ok = F.broadcast(ok)  # the exploded catalog then never leaves the map side
     parts = F.split("path", "/")
@@ -124,6 +130,11 @@ def apply_renames(catalog: DataFrame, plan: DataFrame) -> DataFrame:
     hits = (anc.join(ok, "anc_key", "inner")
             .groupBy("ordinal")
             .agg(F.map_from_entries(F.collect_list(F.struct("pos", "new_part"))).alias("renamed")))
+    # Affected items are few unless a huge folder is renamed: after a counted
+    # check the rename map is broadcast and the catalog is not shuffled.
+    hits = hits.persist()
+    if hits.count() <= MAX_BROADCAST_CHANGES:
+        hits = F.broadcast(hits)
     cat = catalog.join(hits, "ordinal", "left")
     new_parts = F.transform(parts, lambda p, i: F.coalesce(F.element_at(F.col("renamed"), i), p))
     moved = cat.withColumn("path", F.when(F.col("renamed").isNull(), F.col("path"))
