@@ -88,7 +88,9 @@ def rename_plan(catalog: DataFrame, renames: DataFrame) -> DataFrame:
               .when(F.col("_taken").isNotNull(), F.lit("exists"))
               .when(F.col("ordinal").isNull(), F.lit("missing"))
               .otherwise(F.lit("pending")))
-    planned = req.withColumn("status", status)
+    # One row per request; several branches below read it, so it is persisted
+    # and the catalog lookups above run once.
+    planned = req.withColumn("status", status).persist()
     pending = planned.where(F.col("status") == "pending")
     decided = planned.where(F.col("status") != "pending")
     pending = _first_wins(pending, "tgt_key", "exists")
@@ -202,7 +204,7 @@ def create_folders(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
         F.lit("invalid_name").alias("status"))
     valid = req.where(F.col("reason").isNull())
     existing = catalog.select(F.col("path_key").alias("anc_key"), F.col("is_dir").alias("exists_dir"))
-    anc = _lookup(_ancestor_rows(valid), existing, "anc_key")
+    anc = _lookup(_ancestor_rows(valid), existing, "anc_key").persist()  # read twice below
     verdict = (anc.groupBy("change_id")
                .agg(F.max(F.when(F.col("exists_dir") == F.lit(False), 1).otherwise(0)).alias("_file_in_way"),
                     F.max("depth").alias("_target_depth")))
@@ -237,7 +239,7 @@ def create_files(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
         "change_id", F.col("target").alias("path"), "content", F.lit("invalid_name").alias("status"))
     valid = req.where(F.col("reason").isNull())
     existing = catalog.select(F.col("path_key").alias("anc_key"), F.col("is_dir").alias("exists_dir"))
-    anc = _lookup(_ancestor_rows(valid), existing, "anc_key")
+    anc = _lookup(_ancestor_rows(valid), existing, "anc_key").persist()  # read twice below
     depth = F.size(F.split("target", "/"))
     verdict = (anc.join(valid.select("change_id", depth.alias("_tdepth")), "change_id")
                .groupBy("change_id")
