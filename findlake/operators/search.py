@@ -299,6 +299,7 @@ def with_membership(hits: DataFrame, k: int) -> DataFrame:
     no broadcast is forced, so AQE broadcasts it from its measured size and
     falls back to a shuffle join for very large query batches.
     """
+    hits = hits.persist()  # read by the prefix cut, the membership join and the counts: one catalog pass
     first_prefix = (top_n_per_group(hits.where("is_prefix").select("query_id", "ordinal"),
                                     ["query_id"], [F.col("ordinal")], 2 * k)
                     .select("query_id", "ordinal", F.lit(True).alias("in_prefix_cut")))
@@ -337,7 +338,7 @@ def rank_results(candidates: DataFrame, bucket_bits: int = 16) -> DataFrame:
     over ``(query, score, ordinal bucket)`` groups of at most ``2^bucket_bits``
     ordinals, so no query, however hot, lands in one task.
     """
-    c = candidates.withColumn("_bucket", F.shiftright("ordinal", bucket_bits))
+    c = candidates.withColumn("_bucket", F.shiftright("ordinal", bucket_bits)).persist()  # read twice
     per_bucket = c.groupBy("query_id", "score", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("query_id").orderBy(F.desc("score"), "_bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)

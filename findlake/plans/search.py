@@ -117,11 +117,11 @@ def pick_by_number(results: DataFrame, picks: DataFrame, limit: int = S.DISPLAY_
     With exactly one hit that hit is picked whatever ``n`` is. Out-of-range
     picks drop out.
     """
-    counts = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("_hits"))
-    p = (picks.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("n").cast("bigint").alias("n"))
-         .join(counts, "query_id", "inner")
-         .withColumn("_want", F.when(F.col("_hits") == 1, F.lit(1)).otherwise(F.col("n")))
-         .where((F.col("_want") >= 1) & (F.col("_want") <= F.least(F.col("_hits"), F.lit(limit)))))
-    return (results.join(p, (results["query_id"] == p["query_id"]) & (results["rank"] == p["_want"]), "inner")
-            .select(results["query_id"], p["n"], results["rank"], results["path"], results["name"],
-                    results["item_type"]))
+    # Results hold at most k rows per query, so a per-query window is bounded
+    # and the result set is read once.
+    counted = results.withColumn("_hits", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    p = picks.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("n").cast("bigint").alias("n"))
+    want = F.when(F.col("_hits") == 1, F.lit(1)).otherwise(F.col("n"))
+    return (counted.join(p, "query_id", "inner")
+            .where((F.col("rank") == want) & (want >= 1) & (want <= F.least(F.col("_hits"), F.lit(limit))))
+            .select("query_id", "n", "rank", "path", "name", "item_type"))
