@@ -51,3 +51,18 @@ def prefix_index(catalog: DataFrame, cap: int = DEFAULT_PREFIX_CAP) -> DataFrame
     """``prefix, n_items, first_ordinal`` for prefixes up to ``cap`` characters."""
     return (prefix_postings(catalog, cap).groupBy("prefix")
             .agg(F.count(F.lit(1)).alias("n_items"), F.min("ordinal").alias("first_ordinal")))
+
+
+def gram_index(catalog: DataFrame, n: int = 3) -> DataFrame:
+    """``gram, df``: number of names containing each ``n``-gram (distinct per name).
+
+    Built once and stored next to the catalog, it lets the large-batch
+    substring search pick each query's rarest trigram without re-counting the
+    catalog for every batch.
+    """
+    grams = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("name_lc") - n + 1, F.lit(1))),
+        lambda i: F.substring(F.col("name_lc"), i, n)))
+    return (catalog.where(F.length("name_lc") >= n)
+            .select(F.explode(grams).alias("gram"))
+            .groupBy("gram").agg(F.count(F.lit(1)).alias("df")))

@@ -144,20 +144,24 @@ def _grams(col: Column, n: Column) -> Column:
                                         lambda i: F.substring(col, i, n)))
 
 
-def probe_grams(cat: DataFrame, qn: DataFrame) -> DataFrame:
+def probe_grams(cat: DataFrame, qn: DataFrame, gram_freq: DataFrame | None = None) -> DataFrame:
     """``query_id, gram``: the catalog's rarest 3-gram of each query (the query itself if shorter).
 
-    Gram frequencies are one aggregation over the catalog (partial, map-side);
-    only grams that occur in some query are kept, so the table is bounded by
-    the batch.
+    ``gram_freq(gram, df)`` is the stored ``index.gram_index`` of the catalog.
+    Without it the frequencies of the batch's grams are counted here: one
+    aggregation over the catalog (partial, map-side), restricted to grams
+    that occur in some query, so the table is bounded by the batch.
     """
     q3 = (qn.select("query_id", "q", F.explode(_grams(F.col("q"), F.lit(3))).alias("gram"))
           .where(F.length("q") >= 3))
     wanted = q3.select("gram").distinct()
-    freq = (searchable(cat)
-            .select(F.explode(_grams(F.col("name_lc"), F.lit(3))).alias("gram"))
-            .join(wanted, "gram", "left_semi")
-            .groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+    if gram_freq is not None:
+        freq = gram_freq.select("gram", "df").join(wanted, "gram", "left_semi")
+    else:
+        freq = (searchable(cat)
+                .select(F.explode(_grams(F.col("name_lc"), F.lit(3))).alias("gram"))
+                .join(wanted, "gram", "left_semi")
+                .groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
     rarest = (q3.join(freq, "gram", "left")
               .groupBy("query_id")
               .agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram")))
@@ -165,13 +169,14 @@ def probe_grams(cat: DataFrame, qn: DataFrame) -> DataFrame:
     return rarest.unionByName(short)
 
 
-def _substring_equi(items: DataFrame, cat: DataFrame, qn: DataFrame) -> DataFrame:
+def _substring_equi(items: DataFrame, cat: DataFrame, qn: DataFrame,
+                    gram_freq: DataFrame | None = None) -> DataFrame:
     """Pairs where ``name_lc`` contains ``q``, found by equi-joining on one probe gram per query.
 
     Probe lengths are ``min(length(q), 3)``, so the lengths table has at most
     three rows and is broadcast by construction.
     """
-    probes = probe_grams(cat, qn).join(qn, "query_id")
+    probes = probe_grams(cat, qn, gram_freq).join(qn, "query_id")
     lengths = probes.select(F.length("gram").alias("n")).distinct()
     item_grams = (items.join(F.broadcast(lengths), F.col("n") <= F.length("name_lc"))
                   .select(*items.columns, F.explode(_grams(F.col("name_lc"), F.col("n"))).alias("gram")))
@@ -179,7 +184,7 @@ def _substring_equi(items: DataFrame, cat: DataFrame, qn: DataFrame) -> DataFram
             .where(F.col("name_lc").contains(F.col("q"))))
 
 
-def hits_indexed(cat: DataFrame, qn: DataFrame) -> DataFrame:
+def hits_indexed(cat: DataFrame, qn: DataFrame, gram_freq: DataFrame | None = None) -> DataFrame:
     """Same pairs as ``hits_scan`` with equi-joins only, for batches too large to broadcast.
 
     * substring: each query probes with one gram (its rarest 3-gram, or the
@@ -192,7 +197,7 @@ def hits_indexed(cat: DataFrame, qn: DataFrame) -> DataFrame:
     Hot grams and words are split by AQE's skew-join handling.
     """
     items = searchable(cat)
-    by_substring = _substring_equi(items, cat, qn)
+    by_substring = _substring_equi(items, cat, qn, gram_freq)
     words = qn.select("query_id", F.explode("q_words").alias("word")).distinct()
     item_words = items.select(*HIT_COLUMNS, F.explode(F.array_distinct("tokens")).alias("word"))
     by_word = (item_words.join(words, "word", "inner").drop("word")

@@ -33,7 +33,8 @@ RESULT_COLUMNS = ["query_id", "rank", "path", "name", "item_type", "parent", "sc
 
 
 def candidate_hits(catalog: DataFrame, queries: DataFrame, plan: str = "auto",
-                   scan_max_queries: int = S.SCAN_PLAN_MAX_QUERIES) -> DataFrame:
+                   scan_max_queries: int = S.SCAN_PLAN_MAX_QUERIES,
+                   gram_freq: DataFrame | None = None) -> DataFrame:
     """Prepared queries joined with the catalog by the chosen physical form.
 
     ``auto`` counts the batch (a size check on a small input) and picks the
@@ -45,7 +46,7 @@ def candidate_hits(catalog: DataFrame, queries: DataFrame, plan: str = "auto",
     if plan == "scan":
         return S.hits_scan(catalog, qn)
     if plan == "indexed":
-        return S.hits_indexed(catalog, qn)
+        return S.hits_indexed(catalog, qn, gram_freq)
     raise ValueError(f"unknown plan {plan!r}")
 
 
@@ -79,9 +80,13 @@ def finish(streams: DataFrame, k: int) -> DataFrame:
 
 
 def multi_strategy_search(catalog: DataFrame, queries: DataFrame, k: int = S.DEFAULT_RESULTS,
-                          plan: str = "auto") -> DataFrame:
-    """Best ``k`` items per query: ``query_id, rank, path, name, item_type, parent, score, ordinal``."""
-    hits = candidate_hits(catalog, queries, plan)
+                          plan: str = "auto", gram_freq: DataFrame | None = None) -> DataFrame:
+    """Best ``k`` items per query: ``query_id, rank, path, name, item_type, parent, score, ordinal``.
+
+    ``gram_freq`` is an optional stored ``index.gram_index`` used by the
+    large-batch (equi-join) form.
+    """
+    hits = candidate_hits(catalog, queries, plan, gram_freq=gram_freq)
     return finish(search_streams(hits, k), k)
 
 

@@ -129,3 +129,11 @@ def test_large_batch_forms_agree(spark, small_catalog):
     a = C.scope_to_roots(small_catalog, roots).select(cols).collect()
     b = C.scope_to_roots(small_catalog, roots, max_broadcast=0).select(cols).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_indexed_form_with_stored_gram_index(spark, small_catalog):
+    from findlake.operators.index import gram_index
+    a = SP.multi_strategy_search(small_catalog, query_batch(spark), 50, plan="scan").collect()
+    b = SP.multi_strategy_search(small_catalog, query_batch(spark), 50, plan="indexed",
+                                 gram_freq=gram_index(small_catalog)).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
