@@ -180,6 +180,9 @@ def _substring_equi(items: DataFrame, cat: DataFrame, qn: DataFrame,
     lengths = probes.select(F.length("gram").alias("n")).distinct()
     item_grams = (items.join(F.broadcast(lengths), F.col("n") <= F.length("name_lc"))
                   .select(*items.columns, F.explode(_grams(F.col("name_lc"), F.col("n"))).alias("gram")))
+    # One probe per query: broadcast after a count, so the exploded catalog
+    # grams are joined map-side instead of being shuffled.
+    probes, _ = checked_broadcast(probes)
     return (item_grams.join(probes, "gram", "inner").drop("gram")
             .where(F.col("name_lc").contains(F.col("q"))))
 
@@ -198,7 +201,7 @@ def hits_indexed(cat: DataFrame, qn: DataFrame, gram_freq: DataFrame | None = No
     """
     items = searchable(cat)
     by_substring = _substring_equi(items, cat, qn, gram_freq)
-    words = qn.select("query_id", F.explode("q_words").alias("word")).distinct()
+    words, _ = checked_broadcast(qn.select("query_id", F.explode("q_words").alias("word")).distinct())
     item_words = items.select(*HIT_COLUMNS, F.explode(F.array_distinct("tokens")).alias("word"))
     by_word = (item_words.join(words, "word", "inner").drop("word")
                .dropDuplicates(["query_id", "ordinal"])
