@@ -42,11 +42,11 @@ MAX_BROADCAST_QUERIES = 100_000
 # Largest batch whose query strings become literal scan filters.
 PUSHDOWN_LITERALS = 64
 # Batch size where the search switches from one broadcast scan to equi-joins.
-# Measured on the sf0.1 catalog (local[8]): the scan costs ~1.3 s + ~3 ms per
-# query, the equi-join form a flat ~6-8 s (it explodes every name into
-# grams), so they cross near 1,700 queries. Both grow linearly with the
-# catalog, so the crossover holds at larger scales.
-SCAN_PLAN_MAX_QUERIES = 2_000
+# Measured on the sf0.1 catalog (local[8], 20 / 100 / 400 queries): the scan
+# costs ~1.2 s + 4-6 ms per query, the equi-join form a flat ~6-7 s (it
+# explodes every name into grams), so they cross near 1,000 queries. Both
+# grow linearly with the catalog, so the crossover holds at larger scales.
+SCAN_PLAN_MAX_QUERIES = 1_000
 
 HIT_COLUMNS = ["ordinal", "path", "name", "name_lc", "parent", "parent_name", "is_dir", "tokens"]
 
