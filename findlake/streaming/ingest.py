@@ -36,9 +36,15 @@ def _items(batch: DataFrame) -> DataFrame:
 
 
 def ingest_with_state(spark: SparkSession, source_dir: str) -> DataFrame:
-    """Streaming DataFrame of new catalog rows, de-duplicated by ``path_key`` in state."""
+    """Streaming DataFrame of new catalog rows, de-duplicated by ``path_key`` in state.
+
+    Only the listed rows are ingested (folder expansion is an aggregation and
+    belongs to the ``foreachBatch`` form); which copy of a duplicate survives
+    is the first one to arrive.
+    """
     stream = spark.readStream.schema(LISTING_SCHEMA).parquet(source_dir)
-    return _items(stream).dropDuplicates(["path_key"])
+    items = skip_system_dirs(with_item_columns(normalise_listing(stream)))
+    return items.dropDuplicates(["path_key"])
 
 
 def _batch_writer(catalog_dir: str, key_buckets: int):

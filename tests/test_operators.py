@@ -145,3 +145,17 @@ def test_autocomplete_pushes_prefix_filter(spark, tmp_path):
     df = autocomplete(TB.read_catalog(spark, path), FX.query_batch(spark, ["blue", "doc"]), 20)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(name_lc,blue)" in plan
+
+
+def test_stateful_stream_dedup(spark, tmp_path):
+    from findlake.streaming.ingest import ingest_with_state
+    listing = FX.fixture_listing(spark, SF_SMALL)
+    src = str(tmp_path / "src")
+    listing.unionByName(listing).repartition(3).write.parquet(src)  # every path arrives twice
+    q = (ingest_with_state(spark, src).writeStream.format("memory").queryName("stateful_ingest")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.table("stateful_ingest")
+    expected = C.skip_system_dirs(C.with_item_columns(C.normalise_listing(listing))).select("path_key").distinct()
+    assert got.count() == expected.count()
+    assert got.select("path_key").exceptAll(expected).count() == 0
