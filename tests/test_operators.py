@@ -159,3 +159,21 @@ def test_stateful_stream_dedup(spark, tmp_path):
     expected = C.skip_system_dirs(C.with_item_columns(C.normalise_listing(listing))).select("path_key").distinct()
     assert got.count() == expected.count()
     assert got.select("path_key").exceptAll(expected).count() == 0
+
+
+def test_sequential_number_across_partitions(spark):
+    from pyspark.sql import Window
+    from findlake.operators.numbering import sequential_number
+    rows = [("big", f"n{i % 37:02d}", i) for i in range(300)] + [("small", f"m{i}", 1000 + i) for i in range(5)]
+    df = spark.createDataFrame(rows, "grp string, name string, ordinal bigint")
+    got = sequential_number(df, ["grp"], ["name", "ordinal"], num_partitions=6)
+    assert got.count() == 305
+    w = Window.partitionBy("grp").orderBy("name", "ordinal")
+    expected = df.withColumn("row_no", F.row_number().over(w).cast("bigint"))
+    assert sorted(map(tuple, got.select("grp", "ordinal", "row_no").collect())) == \
+        sorted(map(tuple, expected.select("grp", "ordinal", "row_no").collect()))
+    ungrouped = sequential_number(df, [], ["name", "ordinal"], num_partitions=6)
+    w_all = Window.orderBy("name", "ordinal")
+    expected_all = df.withColumn("row_no", F.row_number().over(w_all).cast("bigint"))
+    assert sorted(map(tuple, ungrouped.select("ordinal", "row_no").collect())) == \
+        sorted(map(tuple, expected_all.select("ordinal", "row_no").collect()))
