@@ -9,6 +9,7 @@ SQL for each key lives in ``oracle/sql.py`` and is written independently.
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 import uuid
@@ -378,6 +379,28 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _optional(module: str, package: str):
+    """The module, or None where its package is not installed; other import errors stay errors."""
+    try:
+        return importlib.import_module(module)
+    except ModuleNotFoundError as missing:
+        if missing.name is None or missing.name.split(".")[: package.count(".") + 1] != package.split("."):
+            raise
+        return None
+
+
+_LLM = _optional("findlake.llm.queries", "findlake.llm")
+_PIPELINE = _optional("corpus_pipeline", "corpus_pipeline") if _LLM else None
+_ORACLE_EXTRA: dict[str, str] = {}
+if _LLM:
+    _QUERIES.update(_LLM.QUERIES)
+    _ORACLE_EXTRA.update(_LLM.ORACLE_SQL)
+if _PIPELINE:
+    _QUERIES["pipeline"] = _PIPELINE.run
+    if _PIPELINE.ORACLE_SQL:
+        _ORACLE_EXTRA["pipeline"] = _PIPELINE.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the multi-strategy search of the 20-query batch, k = 50, on sf0.001."""
     return q_multi_strategy_search(spark, "/root/testdata/sf0.001")
@@ -389,4 +412,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from oracle.sql import ORACLE_SQL
-    return {k: v for k, v in ORACLE_SQL.items() if k in _QUERIES}
+    return {k: v for k, v in (ORACLE_SQL | _ORACLE_EXTRA).items() if k in _QUERIES}
