@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,16 +103,46 @@ def tilts(hist: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("no_source", "source", "source_size", "target", "lam", "mean")
 
 
+def _nudged(copies: list[int], sizes: list[int], n: list[int], owed: float) -> list[int]:
+    """``copies`` after the one or two single-copy moves, if any, that bring a source's words nearest its target.
+
+    Only the 500 smallest size classes move; a source of more classes ends within a word or so of its target anyway.
+    """
+    at = [i for i in range(len(copies)) if sizes[i]][-500:]
+    moves = [(i, d * sizes[i]) for i in at for d in (1, -1) if 0 <= copies[i] + d <= CAP * n[i]]
+    if abs(owed) < 1 or not moves:
+        return copies
+    step = np.array([0, *[m for _, m in moves]])
+    left = np.abs(owed - step[:, None] - step[None, :])
+    np.fill_diagonal(left[1:, 1:], np.inf)
+    a, b = np.unravel_index(np.argmin(left), left.shape)
+    if left[a, b] < abs(owed):
+        for m in {int(a), int(b)} - {0}:
+            i, d = moves[m - 1]
+            copies[i] += 1 if d > 0 else -1
+    return copies
+
+
 def _copies_by_size(rows: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies for each size class of one source, largest size first, carrying the rounding error on."""
+    """Whole copies for each size class of one source, largest size first, carrying the rounding error on.
+
+    A class also leaves no more words to take than the smaller classes can give, and none too many taken.
+    """
     rows = rows.sort_values("size", ascending=False)
-    owed, out = 0.0, []
+    owed, left, words, out = 0.0, rows["want"].sum(), (rows["size"] * rows["n"]).sum(), []
     for size, n, want in zip(rows["size"], rows["n"], rows["want"]):
         owed += want
-        k = min(CAP * n, max(0, round(owed / size))) if size else n
+        words -= size * n
+        k = n
+        if size:
+            fewest, most = math.ceil((left - CAP * words) / size - 1e-9), math.floor(left / size + 1e-9)
+            k = round(owed / size)
+            k = max(fewest, min(k, most)) if fewest <= most else round((left - CAP * words / 2) / size)
+            k = min(CAP * n, max(0, k))
         owed -= k * size
+        left -= k * size
         out.append(k)
-    rows["copies"] = out
+    rows["copies"] = _nudged(out, rows["size"].tolist(), rows["n"].tolist(), owed)
     return rows[["no_source", "source", "size", "n", "source_size", "target", "copies"]]
 
 
