@@ -98,3 +98,29 @@ def in_filter(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each 64-bit hash may be a member."""
     bit = np.mod(hashes.astype(np.int64), FILTER_BITS)
     return (bitmap[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
+#: A worker takes a batch's texts in slices of about this many bytes, whatever Spark's batch size.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batch, column: str, most: int = SLICE_BYTES):
+    """``batch`` (Arrow) in row slices whose ``column`` holds about ``most`` bytes (one row at least)."""
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        done = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, done + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def utf8(column) -> list[bytes]:
+    """An Arrow string column as UTF-8 bytes; null: empty."""
+    import pyarrow as pa
+
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
