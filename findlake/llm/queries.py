@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findlake.llm import decontaminate, mixing, sharding
+from findlake.llm import decontaminate, mixing, secrets, sharding
 from findlake.llm.common import table
 
 
+def op3_secrets(spark, sf_dir):
+    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op5_decontaminate(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
