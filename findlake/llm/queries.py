@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findlake.llm import decontaminate, mixing, secrets, sharding
+from findlake.llm import decontaminate, mixing, secrets, sharding, urlmodel
 from findlake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_sharding(spark, sf_dir):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_url_model(spark, sf_dir):
+    return urlmodel.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark, sf_dir):
     mix = mixing.mix_copies(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
