@@ -23,7 +23,7 @@ from findlake.llm.common import slices, stored
 
 ORDER = 5
 #: Buckets for the counts of one class; contexts and their continuations share them.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BINS, _SPAN = 2000, 10.0  # calibration histogram: scores -10 to 10
 
@@ -109,7 +109,7 @@ class Markov:
     def log_probabilities(self, pairs) -> np.ndarray:
         p = np.full(len(pairs[0][0]), 1.0 / 256)
         for context, both in pairs:
-            total, kinds = self.total[context], np.maximum(self.kinds[context], 1.0)
+            total, kinds = self.total[context], np.maximum(self.kinds[context], np.float32(1))
             p = (self.seen[both] + kinds * p) / (total + kinds)
         return np.log(p)
 
@@ -152,22 +152,29 @@ def _count_batches(batches):
 def count_tables(labelled: DataFrame) -> dict:
     """(group, rejected) -> (total, kinds, seen), arrays of BUCKETS counts over all of ``labelled`` (url, fold, rejected).
 
-    Groups are the folds 0 and 1, and 2 for both together. The driver receives sums by bucket: at most
-    18 * BUCKETS numbers, whatever the number of URLs.
+    Groups are the folds 0 and 1, and 2 for both together. The driver receives
+    one row of sums by table and bucket: at most 3 * BUCKETS, whatever the number of URLs.
     """
+    sides = [(f, r) for f in (0, 1) for r in (0, 1)]
     counts = labelled.select("url", F.col("fold").cast("int"), F.col("rejected").cast("int")).mapInArrow(
         _count_batches, "fold int, rejected int, tab int, bucket long, n long")
-    sums = counts.groupBy("fold", "rejected", "tab", "bucket").agg(F.sum("n").alias("n"))
-    sums = (sums.withColumn("grp", F.explode(F.array("fold", F.lit(2))))
-            .groupBy("grp", "rejected", "tab", "bucket").agg(F.sum("n").alias("n")))
+    sums = counts.groupBy("tab", "bucket").agg(*[
+        F.sum(F.when((F.col("fold") == f) & (F.col("rejected") == r), F.col("n")).otherwise(0)).alias(f"n{f}{r}")
+        for f, r in sides])
     # A pair counts once, as one kind of continuation of its context.
     pair = F.col("tab") == 2
-    sums = (sums.withColumn("n", F.when(pair, F.lit(1)).otherwise(F.col("n")))
-            .withColumn("bucket", F.when(pair, F.shiftright("bucket", 20)).otherwise(F.col("bucket")))
-            .groupBy("grp", "rejected", "tab", "bucket").agg(F.sum("n").alias("n")))
-    out = {(g, r): [np.zeros(BUCKETS) for _ in range(3)] for g in (0, 1, 2) for r in (0, 1)}
-    for (g, r, t), part in sums.toPandas().groupby(["grp", "rejected", "tab"]):
-        out[g, r][(0, 2, 1)[t]][part["bucket"].to_numpy()] = part["n"].to_numpy()
+    own = {f"n{f}{r}": F.when(pair, (F.col(f"n{f}{r}") > 0).cast("long")).otherwise(F.col(f"n{f}{r}"))
+           for f, r in sides}
+    for r in (0, 1):
+        both = F.col(f"n0{r}") + F.col(f"n1{r}")
+        own[f"n2{r}"] = F.when(pair, (both > 0).cast("long")).otherwise(both)
+    sums = sums.select("tab", F.when(pair, F.shiftright("bucket", 20)).otherwise(F.col("bucket")).alias("at"),
+                       *[c.alias(k) for k, c in own.items()])
+    pdf = sums.groupBy("tab", "at").agg(*[F.sum(k).cast("float").alias(k) for k in own]).toPandas()
+    out = {(g, r): [np.zeros(BUCKETS, np.float32) for _ in range(3)] for g in (0, 1, 2) for r in (0, 1)}
+    for t, part in pdf.groupby("tab"):
+        for g, r in out:
+            out[g, r][(0, 2, 1)[t]][part["at"].to_numpy()] = part[f"n{g}{r}"].to_numpy()
     return out
 
 
@@ -237,6 +244,7 @@ def fit(labelled: DataFrame) -> UrlModel:
     hist = np.zeros((2, _BINS))
     for row in scored.groupBy("rejected", bin_.alias("bin")).count().collect():
         hist[row["rejected"], row["bin"]] = row["count"]
+    broadcast.destroy()
     slope, offset = calibrate(hist)
     return UrlModel(*models[2], slope, offset)
 
