@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findlake.llm import decontaminate, mixing, secrets, sharding, urlmodel
+from findlake.llm import decontaminate, mixing, qualityrules, secrets, sharding, urlmodel
 from findlake.llm.common import table
 
 
@@ -31,6 +31,12 @@ def op9_mixing(spark, sf_dir):
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_quality_rules(spark, sf_dir):
+    return qualityrules.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "posterior")
+
+
 QUERIES = {name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)}
 
 ORACLE_SQL: dict[str, str] = {}
