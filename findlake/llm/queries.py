@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findlake.llm import decontaminate, mixing, qualityrules, secrets, sharding, urlmodel
+from findlake.llm import decontaminate, grading, mixing, qualityrules, secrets, sharding, urlmodel
 from findlake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_sharding(spark, sf_dir):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_ordinal_quality(spark, sf_dir):
+    return grading.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_model(spark, sf_dir):
     return urlmodel.judge(table(spark, sf_dir, "pages"))
 
