@@ -73,31 +73,30 @@ def ranked_within(df: DataFrame, group: list[str], order: list[str], rank: str,
             .select(*df.columns, rank))
 
 
-#: Bits of a membership filter: 2 MB, whatever the number of keys.
+#: Bits of a membership filter; its words make 2 MB, whatever the number of keys.
 FILTER_BITS = 1 << 24
 
 
-def member_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size that holds ``column`` (64-bit hashes) of ``keys``.
+def member_filter(keys: DataFrame, column: str) -> DataFrame:
+    """A bitmap over ``column`` (64-bit hashes) of ``keys`` as at most ``FILTER_BITS / 64`` rows (word, bits)."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    return (keys.where(F.col(column).isNotNull())
+            .select(F.shiftright(bit, 6).alias("_f_word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
+            .groupBy("_f_word").agg(F.bit_or("b").alias("_f_bits")))
+
 
-    Membership tests may give false positives, never false negatives, so a scan
-    can drop rows by it before an exact join. Spark ORs the bits of each word;
-    at most ``FILTER_BITS / 64`` words reach the driver, however many keys.
+def split_by_filter(df: DataFrame, key, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in the filter, rows whose key is not): never a false negative.
+
+    The bitmap's size has a fixed bound, so it is broadcast and the rows of
+    ``df`` stay where they are; an exact join need only see the first part.
     """
-    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    words = (keys.where(F.col(column).isNotNull())
-             .select((bit / 64).cast("int").alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b"))
-             .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    pdf = words.toPandas()
-    out[pdf["w"].to_numpy(np.int64)] = pdf["bits"].to_numpy(np.int64)
-    return out
-
-
-def in_filter(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether each 64-bit hash may be a member."""
-    bit = np.mod(hashes.astype(np.int64), FILTER_BITS)
-    return (bitmap[bit >> 6] >> (bit & 63)) & 1 == 1
+    keyed = df.withColumn("_f_key", key)
+    word = F.shiftright(F.pmod(F.col("_f_key"), F.lit(FILTER_BITS)), 6)
+    marked = keyed.join(F.broadcast(bitmap), word == F.col("_f_word"), "left")
+    hit = F.coalesce(F.expr("(_f_bits & shiftleft(1L, cast(_f_key & 63 as int))) != 0"), F.lit(False))
+    marked = marked.withColumn("_f_hit", hit)
+    return (marked.where("_f_hit").select(*df.columns, "_f_key"), marked.where("not _f_hit").select(*df.columns))
 
 
 #: A worker takes a batch's texts in slices of about this many bytes, whatever Spark's batch size.

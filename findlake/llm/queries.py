@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findlake.llm import decontaminate, grading, mixing, qualityrules, secrets, sharding, urlmodel
+from findlake.llm import decontaminate, grading, jaccard, mixing, qualityrules, secrets, sharding, urlmodel
 from findlake.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op3_secrets(spark, sf_dir):
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard.linked_components(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
