@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findlake.llm import decontaminate, grading, jaccard, mixing, qualityrules, secrets, sharding, urlmodel
+from findlake.llm import decontaminate, grading, jaccard, mixing, qualityrules, secrets, sharding, toolchat, urlmodel
 from findlake.llm.common import table
 
 
+def op1_tool_chat(spark, sf_dir):
+    return toolchat.formatted(*toolchat.implied(table(spark, sf_dir, "conversations")), toolchat.SCHEMAS)
+
+
 def op3_secrets(spark, sf_dir):
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
