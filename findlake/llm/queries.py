@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findlake.llm import decontaminate, grading, jaccard, mixing, qualityrules, secrets, sharding, toolchat, urlmodel
+from findlake.llm import decontaminate, grading, jaccard, mixing, qualityrules, secrets, sharding, tokenfiles, toolchat, urlmodel
 from findlake.llm.common import table
 
 
@@ -12,6 +12,12 @@ def op1_tool_chat(spark, sf_dir):
     return toolchat.formatted(*toolchat.implied(table(spark, sf_dir, "conversations")), toolchat.SCHEMAS)
 
 
+def op2_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_secrets(spark, sf_dir):
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
