@@ -5,9 +5,10 @@ link when their Jaccard similarity is 0.8 or more. The global shingle order is
 cut into ``FRAGMENTS`` hash ranges. Fragment by fragment:
 
 1. Equal sets form a class; from here on a class is one member.
-2. Over fragment 0 of all documents, a shingle that no other class has counts
-   against its class: a linked class lacks at most a fifth of its shingles in
-   its partner, so a class with more has no link and leaves.
+2. A shingle that no other class has counts against its class: a linked class
+   lacks at most a fifth of its shingles in its partner, so a class with more
+   has no link and leaves. Fragment 0 of all documents is counted first, the
+   other fragments of the classes that are left.
 3. The classes that stay order their shingles by fragment and, in fragment 0,
    from rare to common. Linked classes share one of the first fifth (plus one).
 4. Classes with such a shingle in common are compared with one of its classes,
@@ -15,7 +16,7 @@ cut into ``FRAGMENTS`` hash ranges. Fragment by fragment:
    need no comparison, and whatever is still apart is compared exhaustively.
    No candidate is dropped.
 5. A comparison counts the overlap of each fragment separately and sums the
-   partial counts per pair.
+   partial counts per pair, which ends early once the sum cannot suffice.
 
 Components of the links come from minimum labels with pointer jumping.
 Hash collisions aside (64 bits), the result is exact.
@@ -33,7 +34,7 @@ from findlake.llm.common import member_filter, slices, split_by_filter, stored,
 N = 5
 FRAGMENTS = 4
 #: Rounds in which each still divided shingle compares its classes with one of them.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _IS_SPACE = np.zeros(256, bool)
@@ -135,16 +136,25 @@ def _full_sets(batches):
             yield pa.RecordBatch.from_arrays(out, ["sig", "n", *[f"f{f}" for f in range(FRAGMENTS)]])
 
 
-def _verified(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """The pairs (a, na, b, nb) that link: partial overlaps by fragment, summed per pair."""
-    left = fragments.select(F.col("sig").alias("a"), "frag", F.col("grams").alias("ga"))
-    right = fragments.select(F.col("sig").alias("b"), "frag", F.col("grams").alias("gb"))
-    partial = (pairs.join(left, "a").join(right, ["b", "frag"])
-               .select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ga", "gb")).alias("part")))
-    # A set that was written twice gives the same partial count twice.
-    once = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part"))
-    total = once.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
-    return total.where("180 * both >= 80 * (na + nb)").select("a", "b")
+def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, na, b, nb) that link. Fragment by fragment the partial overlap is counted and added to the pair's
+    sum; a pair goes on while what is left of both sets could still make it link."""
+    at = pairs.select("a", "b", "na", "nb", F.lit(0).alias("both"), F.col("na").alias("ra"), F.col("nb").alias("rb"))
+    for f in range(FRAGMENTS):
+        left = full.select(F.col("sig").alias("a"), F.col(f"f{f}").alias("ga"))
+        right = full.select(F.col("sig").alias("b"), F.col(f"f{f}").alias("gb"))
+        at = at.join(left, "a").join(right, "b").select(
+            "a", "b", "na", "nb", (F.col("both") + F.size(F.array_intersect("ga", "gb"))).alias("both"),
+            (F.col("ra") - F.size("ga")).alias("ra"), (F.col("rb") - F.size("gb")).alias("rb"))
+        at = at.where("180 * (both + least(ra, rb)) >= 80 * (na + nb)")
+    return at.select("a", "b")
+
+
+def _alone(members: DataFrame, grams: str) -> DataFrame:
+    """(sig, alone): shingles of list column ``grams`` that no other class has."""
+    owners = members.select("sig", F.explode(grams).alias("g")).groupBy("g").agg(
+        F.min("sig").alias("lo"), F.max("sig").alias("hi"))
+    return owners.where("lo = hi").groupBy(F.col("lo").alias("sig")).agg(F.count("*").alias("alone"))
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -171,36 +181,43 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
 def _class_components(sets: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(sig, comp) of the classes that have a link to another class."""
     real = sets.where("n > 0")
-    grams = real.select("sig", F.explode("f0").alias("g")).groupBy("g").agg(
-        F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("df"))
-    grams = stored(grams, "shingle-owners")
-    alone = grams.where("lo = hi").groupBy(F.col("lo").alias("sig")).agg(F.count("*").alias("alone"))
     classes = real.groupBy("sig").agg(F.max("n").alias("n"), F.min("key").alias("rep"))
-    near = stored(classes.join(alone, "sig", "left").where("5 * coalesce(alone, 0) <= n").select("sig", "n", "rep"),
-                  "near-classes")
+    near = stored(classes.join(_alone(real, "f0"), "sig", "left").where("5 * coalesce(alone, 0) <= n")
+                  .select("sig", "n", "rep", F.lit(0).cast("long").alias("rest")), "near-classes")
     # Whole sets of the classes that stay: only their representatives' texts are cut into shingles again.
     reps, _ = split_by_filter(docs.select(F.col(text).alias("text"), "_j_key"), F.col("_j_key"),
                               member_filter(near, "rep"))
     kinds = ", ".join(f"f{f} array<long>" for f in range(FRAGMENTS))
-    full = reps.select("text").mapInArrow(_full_sets, f"sig long, n long, {kinds}")
-    full = stored(full.join(near.select("sig"), "sig", "left_semi"), "near-sets")
-    fragments = full.select("sig", F.posexplode(F.array(*[f"f{f}" for f in range(FRAGMENTS)])).alias("frag", "grams"))
-
-    # Fragment 0, and for classes with too little of it as much of the hash order as their prefix takes.
-    most = F.floor(F.col("n") / 5)
+    full = stored(reps.select("text").mapInArrow(_full_sets, f"sig long, n long, {kinds}"), "near-sets")
+    # The other fragments: a class leaves once its lonely shingles in all fragments so far are too many. A filter
+    # chooses the sets that still count; a class that it lets through by mistake only makes shingles less lonely.
+    for f in range(1, FRAGMENTS):
+        members, _ = split_by_filter(full.select("sig", f"f{f}"), F.col("sig"), member_filter(near, "sig"))
+        near = stored(near.join(_alone(members, f"f{f}"), "sig", "left")
+                      .withColumn("rest", F.col("rest") + F.coalesce("alone", F.lit(0))).where("5 * rest <= n")
+                      .select("sig", "n", "rep", "rest"), "near-classes")
+    full = stored(full.join(near.select("sig", "rest"), "sig").dropDuplicates(["sig"]), "near-sets")
+
+    # A class's order: lonely shingles of fragment 0, its other shingles from rare to common, then the other fragments.
+    # Linked classes share one of the first n / 5 + 1; lonely shingles of other fragments lessen that, where fragment 0
+    # is long enough.
+    grams = full.select("sig", F.explode("f0").alias("g"))
+    owners = stored(grams.groupBy("g").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("df")),
+                    "shingle-owners")
+    alone = owners.where("lo = hi").groupBy(F.col("lo").alias("sig")).agg(F.count("*").alias("alone"))
+    full_size = F.floor(F.col("n") / 5) + 1
+    take = F.when(F.size("f0") >= full_size - F.col("rest"), full_size - F.col("rest")).otherwise(full_size)
+    sized = full.withColumn("take", take.cast("int"))
     more = F.slice(F.flatten(F.array(*[f"f{f}" for f in range(1, FRAGMENTS)])), F.lit(1),
-                   F.greatest(F.lit(0), most + 1 - F.size("f0")).cast("int"))
-    listed = full.select("sig", "n", F.explode(F.concat(
-        F.transform("f0", lambda g: F.struct(g.alias("g"), F.lit(0).alias("frag"))),
-        F.transform(more, lambda g: F.struct(g.alias("g"), F.lit(1).alias("frag"))))).alias("x"))
-    listed = listed.select("sig", "n", "x.g", "x.frag").distinct()
-    owned = listed.join(grams.where("lo != hi").select("g", "df"), "g", "left").where("frag = 1 or df is not null")
-    # Shingles that no other class has come first in the order; they take up places, but give no candidates.
-    unique = alone.select("sig", "alone")
+                   F.greatest(F.lit(0), F.col("take") - F.size("f0")))
+    inside = sized.select("sig", "n", "take", F.explode("f0").alias("g")).join(
+        owners.where("lo != hi").select("g", "df"), "g").select("sig", "n", "take", "g", F.lit(0).alias("frag"), "df")
+    beyond = sized.select("sig", "n", "take", F.explode(more).alias("g")).select(
+        "sig", "n", "take", "g", F.lit(1).alias("frag"), F.lit(0).cast("long").alias("df"))
     unsigned = F.col("g").bitwiseXOR(F.lit(-(1 << 63)))
-    place = F.row_number().over(Window.partitionBy("sig").orderBy("frag", F.coalesce("df", F.lit(0)), unsigned))
-    prefix = (owned.withColumn("place", place).join(unique, "sig", "left")
-              .where("place + coalesce(alone, 0) <= floor(n / 5) + 1").select("g", "sig", "n"))
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("frag", "df", unsigned))
+    prefix = (inside.unionByName(beyond).withColumn("place", place).join(alone, "sig", "left")
+              .where("place + coalesce(alone, 0) <= take").select("g", "sig", "n"))
     prefix = stored(prefix, "prefixes")
 
     comp = None
@@ -225,7 +242,7 @@ def _class_components(sets: DataFrame, docs: DataFrame, text: str) -> DataFrame:
                  .select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na"))
                          .otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"),
                          F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct())
-        links = stored(_verified(pairs, fragments), "links")
+        links = stored(_verified(pairs, full), "links")
         if comp is not None:
             links = links.unionByName(comp.where("v != label").select(F.col("v").alias("a"), F.col("label").alias("b")))
         comp = components(links)
