@@ -31,17 +31,20 @@ _MOST = 4000  # counts are halved beyond
 _STEP = 24
 
 
+#: Counts times these give cumulative counts; counts are whole numbers below 2 ** 24, so float32 is exact.
+_TO_SUMS = {n: np.triu(np.ones((n, n), np.float32)) for n in (4, _BUCKETS)}
+
+
 class _Model:
-    """The adaptive state of some lanes."""
+    """The adaptive state of some lanes. A prediction is an id times 8 plus its confidence (0: none, to 4)."""
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
         self.slot0, self.row0, self.list0 = self.lane * _SLOTS, self.lane * 10, self.lane * (BLOCK + 1)
-        self.id2, self.id1 = (np.zeros(lanes * _SLOTS, np.uint16) for _ in range(2))
-        self.sure2, self.sure1 = (np.zeros(lanes * _SLOTS, np.uint8) for _ in range(2))
-        self.mode2 = np.tile(np.array([2, 2, 4, 4], np.uint32), (lanes * 10, 1))
+        self.next2, self.next1 = (np.zeros(lanes * _SLOTS, np.int32) for _ in range(2))
+        self.mode2 = np.tile(np.array([2, 2, 4, 4], np.float32), (lanes * 10, 1))
         self.mode1 = self.mode2.copy()
-        self.bucket = np.full((lanes, _BUCKETS), 4, np.uint32)
+        self.bucket = np.full((lanes, _BUCKETS), 4, np.float32)
         self.listed = np.zeros(lanes * (BLOCK + 1), np.uint16)
         self.known = np.zeros(lanes, np.int64)
         self.last1 = np.zeros(lanes, np.int64)
@@ -52,35 +55,36 @@ class _Model:
         p1, p2 = self.last1[:m], self.last2[:m]
         self.at2 = self.slot0[:m] + ((p2 * 40503 + p1 * 10007 + (p1 >> 7)) & (_SLOTS - 1))
         self.at1 = self.slot0[:m] + ((p1 * 40503 >> 3) & (_SLOTS - 1))
-        self.guess2, self.guess1 = self.id2[self.at2], self.id1[self.at1]
-        self.has2, self.has1 = self.sure2[self.at2], self.sure1[self.at1]
-        agree = self.guess2 == self.guess1
-        self.in2 = self.row0[:m] + 2 * self.has2 + agree
-        self.in1 = self.row0[:m] + 2 * self.has1 + agree
-        return np.cumsum(self.mode2[self.in2] + self.mode1[self.in1], axis=1, dtype=np.uint32)
+        self.found2, self.found1 = self.next2.take(self.at2), self.next1.take(self.at1)
+        self.guess2, self.guess1 = self.found2 >> 3, self.found1 >> 3
+        self.has2, self.has1 = self.found2 & 7, self.found1 & 7
+        base = self.row0[:m] + (self.guess2 == self.guess1)
+        self.in2, self.in1 = base + 2 * self.has2, base + 2 * self.has1
+        return (self.mode2.take(self.in2, axis=0) + self.mode1.take(self.in1, axis=0)) @ _TO_SUMS[4]
 
     def learn(self, m: int, ids: np.ndarray, mode: np.ndarray, total: np.ndarray) -> None:
         self.mode2[self.in2, mode] += _STEP
         self.mode1[self.in1, mode] += _STEP
-        if (total > _MOST).any():
+        if total.max() > _MOST:
             much = np.flatnonzero(total > _MOST)
-            self.mode2[self.in2[much]] = (self.mode2[self.in2[much]] + 1) >> 1
-            self.mode1[self.in1[much]] = (self.mode1[self.in1[much]] + 1) >> 1
-        small = ids.astype(np.uint16)
-        for at, guess, sure, table, trust in ((self.at2, self.guess2, self.has2, self.id2, self.sure2),
-                                              (self.at1, self.guess1, self.has1, self.id1, self.sure1)):
-            hit = (guess == small) & (sure > 0)
-            swap = ~hit & (sure <= 1)
-            table[at] = np.where(swap, small, guess)
-            trust[at] = np.where(hit, np.minimum(sure + 1, 4), np.where(swap, 1, sure - 1))
+            for table, at in ((self.mode2, self.in2[much]), (self.mode1, self.in1[much])):
+                table[at] = np.floor((table[at] + 1) / 2)
+        fresh = (ids << 3 | 1).astype(np.int32)
+        for table, at, found, guess, sure in ((self.next2, self.at2, self.found2, self.guess2, self.has2),
+                                              (self.next1, self.at1, self.found1, self.guess1, self.has1)):
+            hit = guess == ids
+            table[at] = np.where(hit & (sure > 0), found + (sure < 4), np.where(sure > 1, found - 1, fresh))
         self.last2[:m] = self.last1[:m]
         self.last1[:m] = ids
 
+    def buckets(self, lanes: np.ndarray) -> np.ndarray:
+        return self.bucket[lanes] @ _TO_SUMS[_BUCKETS]
+
     def learn_bucket(self, lanes: np.ndarray, b: np.ndarray, total: np.ndarray) -> None:
         self.bucket[lanes, b] += _STEP
-        much = lanes[total > _MOST]
-        if len(much):
-            self.bucket[much] = (self.bucket[much] + 1) >> 1
+        if total.max() > _MOST:
+            much = lanes[total > _MOST]
+            self.bucket[much] = np.floor((self.bucket[much] + 1) / 2)
 
     def move_up(self, lanes: np.ndarray, place: np.ndarray) -> np.ndarray:
         """A listed id changes places with the one halfway to the front; returns the ids that moved down."""
@@ -106,6 +110,7 @@ class _Encoder:
         self.size = np.zeros(lanes, np.int64)
 
     def code(self, lanes, low, size, total):
+        """``lanes``: an array of lanes, or a slice of the first ones."""
         step = self.range[lanes] // total
         self.low[lanes] += step * low
         self.range[lanes] = step * size
@@ -171,9 +176,9 @@ class _Decoder:
 
 def _picked(cum: np.ndarray, which: np.ndarray):
     """Lower bound and size of entry ``which`` of each row of cumulative counts."""
-    i = np.arange(len(which))
-    high = cum[i, which]
-    low = np.where(which > 0, cum[i, which - 1], 0)
+    flat, at = cum.ravel(), np.arange(len(which)) * cum.shape[1] + which
+    high = flat.take(at)
+    low = np.where(which > 0, flat.take(at - 1, mode="wrap"), np.float32(0))
     return low.astype(np.uint64), (high - low).astype(np.uint64)
 
 
@@ -184,26 +189,27 @@ def _by_length(sizes: np.ndarray) -> np.ndarray:
 def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     """Payloads of at most LANES blocks, longest first."""
     sizes = np.array([len(b) for b in blocks])
-    data = np.zeros((len(blocks), int(sizes[0])), np.int64)
+    data = np.zeros((len(blocks), int(sizes[0])), np.uint16)
     for i, b in enumerate(blocks):
         data[i, :len(b)] = b
+    data = np.ascontiguousarray(data.T).astype(np.int64)
     model, coder = _Model(len(blocks)), _Encoder(len(blocks))
     place_of = np.full(len(blocks) << 16, 0xFFFF, np.uint16)  # of each id in the lane's list
     for t in range(int(sizes[0])):
         m = int(np.searchsorted(-sizes, -t, side="left"))  # lanes longer than t
-        lanes, ids = model.lane[:m], data[:m, t]
+        lanes, first, ids = model.lane[:m], slice(0, m), data[t, :m]
         cum = model.predict(m)
         key = (lanes << 16) + ids
-        place = place_of[key]
+        place = place_of.take(key)
         mode = np.where((model.guess2 == ids) & (model.has2 > 0), 0, np.where(
             (model.guess1 == ids) & (model.has1 > 0), 1, np.where(place != 0xFFFF, _LISTED, _NEW)))
         low, size = _picked(cum, mode)
-        coder.code(lanes, low, size, cum[:, 3].astype(np.uint64))
+        coder.code(first, low, size, cum[:, 3].astype(np.uint64))
         listed = np.flatnonzero(mode == _LISTED)
         if len(listed):
             at = place[listed].astype(np.int64)
             b = _bucket_of(at)
-            bcum = np.cumsum(model.bucket[listed], axis=1, dtype=np.uint32)
+            bcum = model.buckets(listed)
             low, size = _picked(bcum, b)
             coder.code(listed, low, size, bcum[:, -1].astype(np.uint64))
             model.learn_bucket(listed, b, bcum[:, -1])
@@ -232,17 +238,17 @@ def _decode_lanes(payloads: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     model, coder = _Model(len(payloads)), _Decoder(payloads)
     for t in range(int(sizes[0])):
         m = int(np.searchsorted(-sizes, -t, side="left"))
-        lanes = model.lane[:m]
+        lanes, first = model.lane[:m], slice(0, m)
         cum = model.predict(m)
-        value = coder.target(lanes, cum[:, 3].astype(np.uint64))
-        mode = (cum[:, :3] <= value[:, None].astype(np.uint32)).sum(1)
-        coder.code(lanes, *_picked(cum, mode))
+        value = coder.target(first, cum[:, 3].astype(np.uint64))
+        mode = (cum[:, :3] <= value[:, None].astype(np.float32)).sum(1)
+        coder.code(first, *_picked(cum, mode))
         ids = np.where(mode == 0, model.guess2, model.guess1).astype(np.int64)
         listed = np.flatnonzero(mode == _LISTED)
         if len(listed):
-            bcum = np.cumsum(model.bucket[listed], axis=1, dtype=np.uint32)
+            bcum = model.buckets(listed)
             value = coder.target(listed, bcum[:, -1].astype(np.uint64))
-            b = (bcum[:, :-1] <= value[:, None].astype(np.uint32)).sum(1)
+            b = (bcum[:, :-1] <= value[:, None].astype(np.float32)).sum(1)
             coder.code(listed, *_picked(bcum, b))
             model.learn_bucket(listed, b, bcum[:, -1])
             coder.settle(lanes)

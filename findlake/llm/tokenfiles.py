@@ -23,8 +23,8 @@ END = 1
 SEGMENT = 1 << 18
 #: Segments are coded together up to so many ids, so that many blocks run side by side.
 GATHER = rangecoder.LANES * rangecoder.BLOCK
-#: Most pieces of text whose ids a worker keeps.
-CACHE = 400_000
+#: A worker keeps the ids of about so many pieces of text, and as many that it has used before these.
+CACHE = 300_000
 
 
 class Tokenize:
@@ -43,9 +43,10 @@ class Tokenize:
             spec = json.load(f)
         self.by_piece = _splits_at_spaces(spec)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u2").tobytes() for e in found]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -54,11 +55,13 @@ class Tokenize:
         if not self.by_piece:
             return [x + end for x in self._whole(texts)]
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({p for one in pieces for p in one if p not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({p for one in pieces for p in one})
+        wanted = {p for one in pieces for p in one}
+        if len(self.known) > CACHE:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = [p for p in wanted if p not in known]
+        known.update((p, older[p]) for p in missing if p in older)
+        new = [p for p in missing if p not in older]
         known.update(zip(new, self._whole(new)))
         return [b"".join(map(known.__getitem__, one)) + end for one in pieces]
 
