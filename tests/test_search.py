@@ -4,27 +4,39 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, catalog_from_paths
-from model import Model
 from findlake.operators import search as S
 from findlake.plans import search as SP
-from findlake.sources.fixtures import QUERY_BATCH, query_batch
-
-
-def _by_query(rows):
-    out = {}
-    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
-        out.setdefault(r.query_id, []).append((r.ordinal, r.score))
-    return out
+from findlake.sources.fixtures import query_batch
+
+
+# One arrival order of paths, and per query and k the expected (path, score), worked out by hand:
+# 100 equal / 80 starts / 50 contains / 0 by word only, + max(0, 30 - name length), + 10 below a common folder.
+WORKED_PATHS = ["r/x/report", "r/Documents/report.txt", "r/x/old report", "r/x/reporting-2024.csv", "r/x/my_report_final",
+                "r/Downloads/REPORT", "r/x/unreported", "r/x/final.cut", "r/x/a"]
+WORKED = {
+    ("report", 3): [("r/Downloads/REPORT", 134), ("r/x/report", 124), ("r/Documents/report.txt", 110)],
+    ("report", 9): [("r/Downloads/REPORT", 134), ("r/x/report", 124), ("r/Documents/report.txt", 110),
+                    ("r/x/reporting-2024.csv", 92), ("r/x/unreported", 70), ("r/x/old report", 70),
+                    ("r/x/my_report_final", 65)],
+    ("  FINAL\t", 2): [("r/x/final.cut", 101), ("r/x/my_report_final", 65)],
+    ("2024 old", 4): [("r/x/old report", 20), ("r/x/reporting-2024.csv", 12)],
+    ("ported", 4): [("r/x/unreported", 70)],
+    ("a", 1): [("r/x/a", 129)],
+    ("documents", 2): [("r/Documents", 121)],
+    ("zz", 4): [],
+}
 
 
 @pytest.mark.parametrize("plan", ["scan", "indexed"])
-@pytest.mark.parametrize("k", [5, 50])
-def test_matches_model(spark, small_catalog, plan, k):
-    model = Model([r.asDict() for r in small_catalog.select("ordinal", "path", "name", "parent_name",
-                                                            "is_dir").collect()])
-    got = _by_query(SP.multi_strategy_search(small_catalog, query_batch(spark), k, plan=plan).collect())
-    for qid, raw in enumerate(QUERY_BATCH):
-        assert got.get(qid, []) == model.search(raw, k), (qid, raw)
+def test_hand_worked_results(spark, plan):
+    cat = catalog_from_paths(spark, [(p, False) for p in WORKED_PATHS])
+    for k in sorted({k for _, k in WORKED}):
+        raws = [raw for raw, kk in WORKED if kk == k]
+        rows = SP.multi_strategy_search(cat, query_batch(spark, raws), k, plan=plan).collect()
+        for i, raw in enumerate(raws):
+            got = [(r.path, r.score) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == i]
+            want = WORKED[raw, k]
+            assert [x[1] for x in got] == [x[1] for x in want] and set(got) == set(want), (raw, k, got)
 
 
 def test_shuffle_partitions_do_not_change_results(spark, small_catalog):
