@@ -12,9 +12,10 @@ cut into ``FRAGMENTS`` hash ranges. Fragment by fragment:
 3. The classes that stay order their shingles by fragment and, in fragment 0,
    from rare to common. Linked classes share one of the first fifth (plus one).
 4. Classes with such a shingle in common are compared with one of its classes,
-   not with each other; pairs of classes that already are in one component
-   need no comparison, and whatever is still apart is compared exhaustively.
-   No candidate is dropped.
+   another one for each shingle, not with each other; pairs of classes that
+   already are in one component need no comparison, and whatever is still apart
+   is compared exhaustively, where sizes and lonely shingles allow a link. No
+   possible link is dropped.
 5. A comparison counts the overlap of each fragment separately and sums the
    partial counts per pair, which ends early once the sum cannot suffice.
 
@@ -34,7 +35,7 @@ from findlake.llm.common import member_filter, slices, split_by_filter, stored,
 N = 5
 FRAGMENTS = 4
 #: Rounds in which each still divided shingle compares its classes with one of them.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _IS_SPACE = np.zeros(256, bool)
@@ -157,6 +158,23 @@ def _alone(members: DataFrame, grams: str) -> DataFrame:
     return owners.where("lo = hi").groupBy(F.col("lo").alias("sig")).agg(F.count("*").alias("alone"))
 
 
+def _apart(at: DataFrame, full: DataFrame) -> DataFrame:
+    """Rows (g, sig, n, m, comp) of the classes that can still link to another component, with ``m`` counted anew.
+
+    Only the classes of ``at`` can; so a shingle that just one component has
+    among them is lonely for all classes of that component.
+    """
+    at = stored(at, "divided")
+    members = stored(at.select("sig", "n", "comp").distinct(), "divided-classes")
+    grams = stored(full.join(members, "sig").select(
+        "sig", "comp", F.explode(F.concat(*[f"f{f}" for f in range(FRAGMENTS)])).alias("gram")), "divided-shingles")
+    owners = grams.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    shared = grams.join(owners.where("c0 != c1").select("gram"), "gram", "left_semi").groupBy("sig").agg(
+        F.count("*").alias("shared"))
+    left = members.join(shared, "sig").where("5 * (n - shared) <= n").select("sig", F.col("shared").alias("m"))
+    return stored(at.drop("m").join(left, "sig").select("g", "sig", "n", "m", "after", "comp"), "apart")
+
+
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     """(v, label): the least vertex of each vertex's component. ``edges``: (a, b) in any order.
 
@@ -210,14 +228,16 @@ def _class_components(sets: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     sized = full.withColumn("take", take.cast("int"))
     more = F.slice(F.flatten(F.array(*[f"f{f}" for f in range(1, FRAGMENTS)])), F.lit(1),
                    F.greatest(F.lit(0), F.col("take") - F.size("f0")))
-    inside = sized.select("sig", "n", "take", F.explode("f0").alias("g")).join(
-        owners.where("lo != hi").select("g", "df"), "g").select("sig", "n", "take", "g", F.lit(0).alias("frag"), "df")
-    beyond = sized.select("sig", "n", "take", F.explode(more).alias("g")).select(
-        "sig", "n", "take", "g", F.lit(1).alias("frag"), F.lit(0).cast("long").alias("df"))
+    inside = sized.select("sig", "n", "rest", "take", F.explode("f0").alias("g")).join(
+        owners.where("lo != hi").select("g", "df"), "g").select("sig", "n", "rest", "take", "g", F.lit(0).alias("frag"), "df")
+    beyond = sized.select("sig", "n", "rest", "take", F.explode(more).alias("g")).select(
+        "sig", "n", "rest", "take", "g", F.lit(1).alias("frag"), F.lit(0).cast("long").alias("df"))
     unsigned = F.col("g").bitwiseXOR(F.lit(-(1 << 63)))
     place = F.row_number().over(Window.partitionBy("sig").orderBy("frag", "df", unsigned))
     prefix = (inside.unionByName(beyond).withColumn("place", place).join(alone, "sig", "left")
-              .where("place + coalesce(alone, 0) <= take").select("g", "sig", "n"))
+              .withColumn("pos", F.col("place") - 1 + F.coalesce("alone", F.lit(0))).where("pos < take")
+              .select("g", "sig", "n", (F.col("n") - F.col("rest") - F.coalesce("alone", F.lit(0))).alias("m"),
+                      (F.col("n") - F.col("pos") - F.when(F.col("frag") == 0, F.col("rest")).otherwise(0)).alias("after")))
     prefix = stored(prefix, "prefixes")
 
     comp = None
@@ -227,21 +247,23 @@ def _class_components(sets: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             .withColumn("comp", F.coalesce("comp", "sig")))
         at = stored(at, "prefix-components")
         divided = (at.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-                                       F.min_by(F.struct("sig", "n", "comp"), F.xxhash64("sig", F.lit(turn))).alias("hub"))
+                                       F.min_by(F.struct("sig", "n", "m", "after", "comp"), F.xxhash64("sig", "g", F.lit(turn))).alias("hub"))
                    .where("c0 != c1"))
+        # m shingles of a class are not lonely, so an overlap has min(ma, mb) at most.
+        fits = ((F.col("l.comp") != F.col("r.comp")) & (5 * F.col("l.n") >= 4 * F.col("r.n"))
+                & (5 * F.col("r.n") >= 4 * F.col("l.n"))
+                & (9 * F.least("l.m", "r.m") >= 4 * (F.col("l.n") + F.col("r.n"))))
         if turn < HUB_ROUNDS:
-            pairs = at.join(divided.select("g", "hub"), "g").select(
-                F.col("hub.sig").alias("a"), F.col("hub.n").alias("na"), F.col("hub.comp").alias("ca"),
-                F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+            other = divided.select("g", "hub.*")
         else:
-            left = at.join(divided.select("g"), "g").select("g", F.col("sig").alias("a"), F.col("n").alias("na"),
-                                                            F.col("comp").alias("ca"))
-            right = at.select("g", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = left.join(right, "g").where("a < b")
-        pairs = (pairs.where("ca != cb and 5 * na >= 4 * nb and 5 * nb >= 4 * na")
-                 .select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na"))
-                         .otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"),
-                         F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct())
+            at = other = _apart(at.join(divided.select("g"), "g", "left_semi"), full)
+            # Links share shingles of which one is the first in the order: at most what each class has from there on.
+            fits = (fits & (F.col("l.sig") < F.col("r.sig"))
+                    & (9 * F.least("l.after", "r.after") >= 4 * (F.col("l.n") + F.col("r.n"))))
+        pairs = at.alias("l").join(other.alias("r"), (F.col("l.g") == F.col("r.g")) & fits)
+        first = F.col("l.sig") < F.col("r.sig")
+        pairs = pairs.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (
+            ("l.sig", "r.sig", "a"), ("l.n", "r.n", "na"), ("r.sig", "l.sig", "b"), ("r.n", "l.n", "nb"))]).distinct()
         links = stored(_verified(pairs, full), "links")
         if comp is not None:
             links = links.unionByName(comp.where("v != label").select(F.col("v").alias("a"), F.col("label").alias("b")))
