@@ -48,8 +48,8 @@ def _stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture catalog, built from the tables once per session and source.
 
     As in a deployment, the catalog is built once, written to the shared
-    checkpoint folder (``sources.tables.write_catalog``: range-partitioned,
-    sorted by ``name_lc``) and read back by every operator, instead of each
+    checkpoint folder (``sources.tables.write_catalog``: dealt by path, each
+    file sorted by ``name_lc``) and read back by every operator, instead of each
     query re-running the build for every reference to it.
     """
     key = (id(spark.sparkContext._jsc), os.path.abspath(sf_dir))
@@ -117,11 +117,11 @@ def q_available_drives(spark, sf_dir):
 
 
 def q_list_directory(spark, sf_dir):
-    return L.list_directory(_catalog(spark, sf_dir), LISTED_FOLDER).select("ordinal", "path", "name", "is_dir")
+    return L.list_directory(_stored_catalog(spark, sf_dir), LISTED_FOLDER).select("ordinal", "path", "name", "is_dir")
 
 
 def q_persist_indexes(spark, sf_dir):
-    out = os.path.join(checkpoint_dir(spark), "findlake-indexes", os.path.basename(sf_dir.rstrip("/")))
+    out = os.path.join(checkpoint_dir(spark), "findlake-indexes", uuid.uuid4().hex)
     cat = _searchable(spark, sf_dir)
     TB.write_catalog(cat, os.path.join(out, "catalog"))
     TB.write_word_postings(cat, os.path.join(out, "words"))
@@ -131,7 +131,7 @@ def q_persist_indexes(spark, sf_dir):
 def q_write_created_files(spark, sf_dir):
     cat = _catalog(spark, sf_dir)
     plan = CH.create_files(cat, FX.creation_manifest(cat))
-    out = os.path.join(checkpoint_dir(spark), "findlake-created", os.path.basename(sf_dir.rstrip("/")))
+    out = os.path.join(checkpoint_dir(spark), "findlake-created", uuid.uuid4().hex)
     TB.write_created_files(plan, out)
     return spark.read.parquet(out).select("path", "content")
 
@@ -145,8 +145,7 @@ def q_parent_columns(spark, sf_dir):
 
 
 def q_drive_path(spark, sf_dir):
-    letters = (_catalog(spark, sf_dir).where(F.col("path").rlike("^[A-Za-z]:"))
-               .select(F.lower(F.substring("path", 1, 1)).alias("letter")).distinct())
+    letters = _catalog(spark, sf_dir).where(F.col("drive") != "").select(F.lower("drive").alias("letter")).distinct()
     return letters.select("letter", P.drive_path("letter").alias("root"))
 
 
@@ -371,7 +370,8 @@ def q_status_summary(spark, sf_dir):
 
 def q_stream_catalog_ingest(spark, sf_dir):
     base = os.path.join(checkpoint_dir(spark), "findlake-stream", os.path.basename(sf_dir.rstrip("/")))
-    return IN.ingest_fixture(spark, sf_dir, base).select("path_key")
+    return IN.ingest_fixture(spark, sf_dir, base).select("ordinal", "path", "path_key", "is_dir", "name", "parent",
+                                                         "suffix", "drive")
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -21,14 +21,30 @@ CATALOG_COLUMNS = ["ordinal", "path", "path_key", "name", "name_lc", "parent", "
                    "suffix", "is_dir", "drive"]
 
 
-def normalise_listing(listing: DataFrame) -> DataFrame:
-    """``ordinal, path, is_dir`` with '/'-only paths (see D3 in the survey)."""
-    return listing.select(F.col("ordinal").cast("bigint").alias("ordinal"),
+# Ordinals of a catalog leave this many places per listed row: a file takes the last, the folders above it the places
+# of their depths. Deeper trees use a larger power of ten (``listing_stride``).
+ORDINAL_STRIDE = 100
+
+
+def listing_stride(listing: DataFrame) -> int:
+    """A power of ten above the number of parts of the deepest path (one aggregation, 100 at least)."""
+    deepest = listing.select(F.max(F.size(F.split(P.normalise_path("path"), "/")))).first()[0] or 0
+    return max(ORDINAL_STRIDE, 10 ** len(str(deepest + 1)))
+
+
+def normalise_listing(listing: DataFrame, stride: int = ORDINAL_STRIDE) -> DataFrame:
+    """``ordinal, path, is_dir`` with '/'-only paths (see D3 in the survey).
+
+    Any listing ordinals will do: they are spread by ``stride``, which leaves
+    room for the folders that the paths imply. Equal ordinals stay equal; ties
+    are broken by path wherever order matters, and items are identified by path.
+    """
+    return listing.select((F.col("ordinal").cast("bigint") * stride + (stride - 1)).alias("ordinal"),
                           P.normalise_path("path").alias("path"),
                           F.col("is_dir").cast("boolean").alias("is_dir"))
 
 
-def expand_ancestors(listing: DataFrame, stride: int = 100) -> DataFrame:
+def expand_ancestors(listing: DataFrame, stride: int = ORDINAL_STRIDE) -> DataFrame:
     """Add the folder rows implied by the paths of a listing.
 
     Folders are items too. For every path with parts ``p1/.../pn`` the folders
@@ -95,20 +111,22 @@ def dedup_first_wins(items: DataFrame, key: str = "path_key",
             .select(*items.columns))
 
 
-def build_catalog(listing: DataFrame, stride: int = 100) -> DataFrame:
+def build_catalog(listing: DataFrame, stride: int | None = None) -> DataFrame:
     """Listing -> catalog: normalise, add folders, skip, de-duplicate, derive columns.
 
     Only ``ordinal, path, is_dir`` travel through the de-duplication shuffle;
-    the derived columns are computed once, for the surviving rows.
+    the derived columns are computed once, for the surviving rows. Without a
+    ``stride`` the deepest path is looked up first.
     """
-    items = expand_ancestors(normalise_listing(listing), stride)
+    stride = stride or listing_stride(listing)
+    items = expand_ancestors(normalise_listing(listing, stride), stride)
     kept = items.where(~P.under_system_dir("path")).withColumn("path_key", X.case_fold("path"))
     return with_item_columns(dedup_first_wins(kept).select("ordinal", "path", "is_dir")).select(*CATALOG_COLUMNS)
 
 
 def with_tokens(catalog: DataFrame) -> DataFrame:
-    """Add the indexed words of each name as ``tokens ARRAY<STRING>``."""
-    return catalog.withColumn("tokens", X.tokenise_name("name_lc"))
+    """Add the indexed words of each name as ``tokens ARRAY<STRING>``, and the lower-cased parent as ``parent_key``."""
+    return catalog.withColumn("tokens", X.tokenise_name("name_lc")).withColumn("parent_key", F.lower("parent"))
 
 
 def already_indexed(new_items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -117,42 +135,49 @@ def already_indexed(new_items: DataFrame, catalog: DataFrame) -> DataFrame:
     return new_items.join(keys, "path_key", "left_anti")
 
 
-def scope_to_roots(catalog: DataFrame, roots: DataFrame, max_broadcast: int = 10_000) -> DataFrame:
+def scope_to_roots(catalog: DataFrame, roots: DataFrame) -> DataFrame:
     """Items strictly below each root; an item below two roots appears twice.
 
-    ``roots(root, root_key)`` is normally a handful of rows: after a checked
-    count it is broadcast and the catalog streams through a ``startswith``
-    join. A long roots list uses an equi-join instead: each item's proper
-    ancestor keys are exploded (bounded by path depth) and matched exactly.
-    The root itself is not an item of its own walk.
+    An equi-join: each item's proper ancestor keys (as many as its path has
+    parts) meet ``roots(root, root_key)``; only matching items keep their row.
+    The planner broadcasts the roots when they are small. The root itself is
+    not an item of its own walk.
     """
     r = roots.select("root", F.regexp_replace(F.lower("root_key"), "/+$", "").alias("root_prefix"))
-    n = r.count()
-    if n <= max_broadcast:
-        cond = F.col("path_key").startswith(F.concat(F.col("root_prefix"), F.lit("/")))
-        return catalog.join(F.broadcast(r), cond, "inner").drop("root_prefix")
     parts = F.split("path_key", "/")
-    anc = (catalog.withColumn("_parts", parts)
-           .withColumn("_d", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_parts") - 1, F.lit(1)))))
-           .where(F.col("_d") < F.size("_parts"))
-           .withColumn("root_prefix", F.array_join(F.slice("_parts", 1, F.col("_d")), "/")))
-    return anc.join(r, "root_prefix", "inner").drop("root_prefix", "_parts", "_d")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1),
+                        lambda d: F.array_join(F.slice(parts, F.lit(1), d), "/"))
+    anc = catalog.where(F.size(parts) > 1).withColumn("root_prefix", F.explode(above))
+    return anc.join(r, "root_prefix", "inner").drop("root_prefix")
 
 
 def available_drives(catalog: DataFrame) -> DataFrame:
-    """Drive letters C..Z present in the catalog, with their root paths."""
-    letter = F.upper(F.substring("path", 1, 1))
-    return (catalog.where(F.col("path").rlike("^[C-Zc-z]:"))
-            .select(letter.alias("letter")).distinct()
+    """Drive letters C..Z present in the catalog, with their root paths (reads the ``drive`` column alone)."""
+    return (catalog.where(F.col("drive").between("C", "Z")).select(F.col("drive").alias("letter")).distinct()
             .select("letter", P.drive_path("letter").alias("root")))
 
 
 def valid_roots(roots: DataFrame, catalog: DataFrame) -> DataFrame:
     """Roots that name an existing folder (or the root of a drive present in the catalog)."""
-    folders = catalog.where("is_dir").select(F.col("path_key").alias("root_norm"))
-    drives = available_drives(catalog).select(F.lower("root").alias("root_norm"))
-    known = folders.unionByName(drives)
     r = roots.withColumn("root_norm", F.when(F.lower("root_key").rlike("^[a-z]:/?$"),
                                              F.concat(F.substring(F.lower("root_key"), 1, 2), F.lit("/")))
                          .otherwise(F.regexp_replace(F.lower("root_key"), "/+$", "")))
-    return r.join(known, "root_norm", "left_semi").drop("root_norm")
+    folders = matching(catalog.where("is_dir").select(F.col("path_key").alias("root_norm")), r, "root_norm")
+    drives = available_drives(catalog).select(F.lower("root").alias("root_norm"))
+    return r.join(folders.unionByName(drives), "root_norm", "left_semi").drop("root_norm")
+
+
+# Most bytes of distinct keys that are broadcast against the catalog.
+MAX_BROADCAST_KEY_BYTES = 32 << 20
+
+
+def matching(catalog_side: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """The rows of ``catalog_side`` whose ``key`` occurs in ``requests``; at most one per distinct key if it is unique.
+
+    The distinct request keys are measured in bytes. Within the bound they are
+    broadcast and the catalog streams past them unshuffled; beyond it both
+    sides are shuffled.
+    """
+    keys = requests.select(key).where(F.col(key).isNotNull()).distinct()
+    size = keys.agg(F.sum(F.octet_length(key) + 16)).first()[0] or 0
+    return catalog_side.join(F.broadcast(keys) if size <= MAX_BROADCAST_KEY_BYTES else keys, key, "inner")

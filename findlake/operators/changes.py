@@ -5,10 +5,9 @@ requests is planned against one catalog snapshot (order only decides between
 rival rows of the same batch), applied to produce a new catalog, and undone
 by applying the inverse plan.
 
-Size rules: change tables are joined with equi-joins on lower-cased path keys;
-the planner (and AQE, from measured sizes) chooses broadcast or shuffle. Rival
-rows are resolved with ``min(change_id)`` aggregations, not windows, so a hot
-target cannot pile into one task.
+Size rules: the catalog meets a batch's keys, broadcast within a bound in
+bytes, before anything is joined, so a small batch never shuffles it. Rival
+rows are resolved with ``min(change_id)`` aggregations in rounds, not windows.
 """
 
 from __future__ import annotations
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 
 from findlake.functions import paths as P
 from findlake.functions import text as X
-from findlake.operators.catalog import CATALOG_COLUMNS, with_item_columns
+from findlake.operators.catalog import CATALOG_COLUMNS, matching, with_item_columns
+from findlake.session import staged
 
 CREATE_STATUSES = ("created", "kept", "overwritten", "conflict", "missing", "invalid_name")
 RENAME_STATUSES = ("unchanged", "invalid_name", "exists", "missing", "ok")
@@ -30,35 +30,37 @@ def _join_path(parent, name) -> Column:
     return P.normalise_path(F.concat(parent, F.lit("/"), name))
 
 
-# Largest change batch that is broadcast against the catalog (rows, counted).
-MAX_BROADCAST_CHANGES = 1_000_000
+def _lookup(requests: DataFrame, catalog_side: DataFrame, key: str) -> DataFrame:
+    """``requests LEFT JOIN catalog_side USING (key)``, without shuffling the catalog for a small batch.
 
-
-def _is_small(requests: DataFrame, max_broadcast: int = MAX_BROADCAST_CHANGES) -> bool:
-    return requests.count() <= max_broadcast
+    The catalog first meets the batch's distinct keys, broadcast when their
+    bytes allow it (``catalog.matching``); only its few matches are joined to
+    the requests. ``catalog_side`` must be unique on ``key``.
+    """
+    return requests.join(matching(catalog_side, requests, key), key, "left")
 
 
-def _lookup(requests: DataFrame, catalog_side: DataFrame, key: str, small: bool | None = None) -> DataFrame:
-    """``requests LEFT JOIN catalog_side USING (key)``, without shuffling the catalog when possible.
+def _first_come(rows: DataFrame) -> DataFrame:
+    """``change_id`` of the rows that succeed when rows (change_id, src_key, tgt_key) are carried out in order of
+    ``change_id``, each unless its source or its target was used by an earlier success.
 
-    A change batch is usually tiny next to the catalog. After a counted size
-    check it is broadcast and the join is written as a RIGHT OUTER join, so
-    the catalog streams through a ``BroadcastHashJoin`` and is never
-    shuffled; larger batches use a plain shuffle join. ``catalog_side`` must
-    be unique on ``key`` (catalog rows are unique on ``path_key``).
+    In each round every row that is first among the undecided of both its
+    source and its target succeeds, and its rivals leave: the same outcome as
+    one after another, in as many rounds as the longest chain of rivals.
     """
-    if _is_small(requests) if small is None else small:
-        return catalog_side.join(F.broadcast(requests), key, "right")
-    return requests.join(catalog_side, key, "left")
-
-
-def _first_wins(rows: DataFrame, key: str, status: str) -> DataFrame:
-    """Rows whose ``key`` was already claimed by a lower ``change_id`` get ``status``."""
-    first = rows.groupBy(key).agg(F.min("change_id").alias("_first_id"))
-    return (rows.join(first, key, "left")
-            .withColumn("status", F.when(F.col("change_id") > F.col("_first_id"), F.lit(status))
-                        .otherwise(F.col("status")))
-            .drop("_first_id"))
+    left, done = staged(rows.select("change_id", "src_key", "tgt_key"), "rivals"), None
+    while left.limit(1).count():
+        first_src = left.groupBy("src_key").agg(F.min("change_id").alias("first_src"))
+        first_tgt = left.groupBy("tgt_key").agg(F.min("change_id").alias("first_tgt"))
+        marked = staged(left.join(first_src, "src_key").join(first_tgt, "tgt_key")
+                        .withColumn("wins", (F.col("change_id") == F.col("first_src"))
+                                    & (F.col("change_id") == F.col("first_tgt"))), "rivals")
+        wins = marked.where("wins")
+        done = wins.select("change_id") if done is None else done.unionByName(wins.select("change_id"))
+        left = staged(marked.where("not wins").select("change_id", "src_key", "tgt_key")
+                      .join(wins.select("src_key"), "src_key", "left_anti")
+                      .join(wins.select("tgt_key"), "tgt_key", "left_anti"), "rivals")
+    return rows.select("change_id").limit(0) if done is None else done
 
 
 def rename_plan(catalog: DataFrame, renames: DataFrame) -> DataFrame:
@@ -67,8 +69,8 @@ def rename_plan(catalog: DataFrame, renames: DataFrame) -> DataFrame:
     First matching status: ``unchanged`` (same name, exact case),
     ``invalid_name`` (unsafe, or contains a separator: that would be a move),
     ``exists`` (target taken, ignoring case, in the snapshot or by an earlier
-    row of the batch), ``missing`` (source absent, or already renamed by an
-    earlier row), else ``ok``.
+    ok row of the batch), ``missing`` (source absent, or already renamed by an
+    earlier ok row), else ``ok``.
     Output: ``change_id, path, new_name, new_path, ordinal, is_dir, status``.
     """
     items = catalog.select(F.col("path_key").alias("src_key"), "ordinal", "is_dir",
@@ -77,35 +79,35 @@ def rename_plan(catalog: DataFrame, renames: DataFrame) -> DataFrame:
     req = (renames.select(F.col("change_id").cast("bigint").alias("change_id"),
                           P.normalise_path("path").alias("path"), "new_name")
            .withColumn("src_key", F.lower("path")))
-    small = _is_small(renames)  # counted once, on the input batch
-    req = (_lookup(req, items, "src_key", small)
+    req = (_lookup(req, items, "src_key")
            .withColumn("new_path", _join_path(F.coalesce("item_parent", P.parent_of("path")), "new_name"))
            .withColumn("tgt_key", F.lower("new_path")))
-    req = _lookup(req, taken, "tgt_key", small)
+    req = _lookup(req, taken, "tgt_key")
     bad_name = (~X.is_safe_name("new_name")) | F.col("new_name").rlike(r"[/\\]")
     status = (F.when(F.col("new_name") == P.name_of("path"), F.lit("unchanged"))
               .when(bad_name, F.lit("invalid_name"))
               .when(F.col("_taken").isNotNull(), F.lit("exists"))
               .when(F.col("ordinal").isNull(), F.lit("missing"))
               .otherwise(F.lit("pending")))
-    # One row per request; several branches below read it, so it is persisted
-    # and the catalog lookups above run once.
-    planned = req.withColumn("status", status).persist()
+    # One row per request; several branches below read it.
+    planned = staged(req.withColumn("status", status), "rename-plan")
     pending = planned.where(F.col("status") == "pending")
-    decided = planned.where(F.col("status") != "pending")
-    pending = _first_wins(pending, "tgt_key", "exists")
-    still = pending.where(F.col("status") == "pending")
-    pending = _first_wins(still, "src_key", "missing").unionByName(
-        pending.where(F.col("status") != "pending"))
-    out = decided.unionByName(pending).withColumn(
-        "status", F.when(F.col("status") == "pending", F.lit("ok")).otherwise(F.col("status")))
-    return out.select("change_id", "path", "new_name", "new_path", "ordinal", "is_dir", "status")
+    ok = staged(pending.join(_first_come(pending), "change_id", "left_semi").select("change_id", "tgt_key"), "renamed")
+    claimed = ok.select("tgt_key", F.col("change_id").alias("_by"))
+    final = (F.when(F.col("_by") == F.col("change_id"), F.lit("ok"))
+             .when(F.col("_by") < F.col("change_id"), F.lit("exists")).otherwise(F.lit("missing")))
+    # A row without a source also finds its target taken by an earlier row first.
+    open_ = F.col("status").isin("pending", "missing")
+    decided = planned.where(open_).join(claimed, "tgt_key", "left").withColumn("status", final)
+    columns = ["change_id", "path", "new_name", "new_path", "ordinal", "is_dir", "status"]
+    return planned.where(~open_).select(*columns).unionByName(decided.select(*columns))
 
 
 def target_exists(catalog: DataFrame, renames: DataFrame) -> DataFrame:
     """Rename requests whose target path is already taken (case-insensitive)."""
     req = renames.withColumn("tgt_key", F.lower(_join_path(P.parent_of(P.normalise_path("path")), "new_name")))
-    return req.join(catalog.select(F.col("path_key").alias("tgt_key")), "tgt_key", "left_semi").drop("tgt_key")
+    taken = matching(catalog.select(F.col("path_key").alias("tgt_key")), req, "tgt_key")
+    return req.join(taken, "tgt_key", "left_semi").drop("tgt_key")
 
 
 def apply_renames(catalog: DataFrame, plan: DataFrame) -> DataFrame:
@@ -119,45 +121,41 @@ def apply_renames(catalog: DataFrame, plan: DataFrame) -> DataFrame:
        the item columns. Nested renames in one batch compose naturally,
        because every part is matched by its *old* ancestor key.
     """
-    # The ok renames and the affected-item map are small derived tables: each
-    # is persisted, so counting it for the broadcast check computes it once.
-    ok = (plan.where(F.col("status") == "ok")
-          .select(F.lower("path").alias("anc_key"), F.col("new_name").alias("new_part"))).persist()
-    if ok.count() <= MAX_BROADCAST_CHANGES:
-        ok = F.broadcast(ok)  # the exploded catalog then never leaves the map side
+    ok = staged(plan.where(F.col("status") == "ok")
+                .select(F.lower("path").alias("anc_key"), F.col("new_name").alias("new_part")), "renames")
     parts = F.split("path", "/")
-    anc = (catalog.select("ordinal", F.posexplode(parts).alias("pos", "part"), parts.alias("parts"))
-           .select("ordinal", "pos",
+    anc = (catalog.select("path_key", F.posexplode(parts).alias("pos", "part"), parts.alias("parts"))
+           .select("path_key", "pos",
                    F.lower(F.array_join(F.slice("parts", 1, F.col("pos") + 1), "/")).alias("anc_key")))
-    hits = (anc.join(ok, "anc_key", "inner")
-            .groupBy("ordinal")
+    # The exploded catalog stays on the map side while the renames' keys may be broadcast.
+    near = matching(anc, ok, "anc_key")
+    hits = (near.join(ok, "anc_key", "inner")
+            .groupBy("path_key")
             .agg(F.map_from_entries(F.collect_list(F.struct("pos", "new_part"))).alias("renamed")))
-    # Affected items are few unless a huge folder is renamed: after a counted
-    # check the rename map is broadcast and the catalog is not shuffled.
-    hits = hits.persist()
-    if hits.count() <= MAX_BROADCAST_CHANGES:
-        hits = F.broadcast(hits)
-    cat = catalog.join(hits, "ordinal", "left")
+    cat = catalog.join(hits, "path_key", "left")
     new_parts = F.transform(parts, lambda p, i: F.coalesce(F.element_at(F.col("renamed"), i), p))
     moved = cat.withColumn("path", F.when(F.col("renamed").isNull(), F.col("path"))
                            .otherwise(F.array_join(new_parts, "/")))
-    extra = [c for c in catalog.columns if c not in CATALOG_COLUMNS and c != "tokens"]
+    extra = [c for c in catalog.columns if c not in CATALOG_COLUMNS and c not in ("tokens", "parent_key")]
     rebuilt = with_item_columns(moved.select("ordinal", "path", "is_dir", *extra))
     if "tokens" in catalog.columns:
         rebuilt = rebuilt.withColumn("tokens", X.tokenise_name("name_lc"))
+    if "parent_key" in catalog.columns:
+        rebuilt = rebuilt.withColumn("parent_key", F.lower("parent"))
     return rebuilt.select(*catalog.columns)
 
 
 def undo_renames(new_catalog: DataFrame, plan: DataFrame) -> DataFrame:
     """Reverse an applied plan: rename each moved item back to its old name.
 
-    The inverse request names the item by its *new full* path (looked up by
-    ordinal in the renamed catalog), so nested renames undo in one batch.
+    The inverse request names the item by its *new full* path, which the plan
+    itself gives when it is applied to its own paths; so nested renames undo
+    in one batch, and the catalog is not searched.
     """
-    ok = plan.where(F.col("status") == "ok").select("change_id", "ordinal",
-                                                    P.name_of("path").alias("new_name"))
-    inverse = (ok.join(new_catalog.select("ordinal", "path"), "ordinal", "inner")
-               .select("change_id", "path", "new_name", F.lit("ok").alias("status")))
+    ok = staged(plan.where(F.col("status") == "ok").select("change_id", "path", "new_name", "status"), "undo")
+    own = with_item_columns(ok.select(F.col("change_id").alias("ordinal"), "path", F.lit(True).alias("is_dir")))
+    inverse = apply_renames(own, ok).select(F.col("ordinal").alias("change_id"), "path").join(
+        ok.select("change_id", P.name_of("path").alias("new_name"), "status"), "change_id")
     return apply_renames(new_catalog, inverse)
 
 
@@ -175,14 +173,19 @@ def _plan_name_reason(name) -> Column:
             .when(dotted, F.lit("dot_part")))
 
 
-def _ancestor_rows(targets: DataFrame) -> DataFrame:
-    """``change_id, depth, anc_path, anc_key`` for every ancestor-or-self (>= 2 parts) of ``target``."""
+def _ids(manifest: DataFrame) -> list[str]:
+    """What tells manifest rows apart: ``change_id``, and ``pos`` in flattened nested manifests."""
+    return [c for c in ("change_id", "pos") if c in manifest.columns]
+
+
+def _ancestor_rows(targets: DataFrame, ids: list[str]) -> DataFrame:
+    """``ids, depth, anc_path, anc_key`` for every ancestor-or-self (>= 2 parts) of ``target``."""
     parts = F.split("target", "/")
-    return (targets.select("change_id", parts.alias("parts"))
-            .select("change_id", "parts",
+    return (targets.select(*ids, parts.alias("parts"))
+            .select(*ids, "parts",
                     F.explode(F.sequence(F.lit(2), F.greatest(F.size("parts"), F.lit(2)))).alias("depth"))
             .where(F.col("depth") <= F.size("parts"))
-            .select("change_id", "depth",
+            .select(*ids, "depth",
                     F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("anc_path"))
             .withColumn("anc_key", F.lower("anc_path")))
 
@@ -195,25 +198,26 @@ def create_folders(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
     existing folder is fine (``kept``); an existing *file* at the target or
     at any ancestor is a ``conflict``.
     """
-    req = (manifest.where(F.col("kind") == "folder")
-           .select(F.col("change_id").cast("bigint").alias("change_id"), "location", "name",
+    ids = _ids(manifest)
+    req = (manifest.where(F.col("kind") == "folder").withColumn("change_id", F.col("change_id").cast("bigint"))
+           .select(*ids, "location", "name",
                    _plan_name_reason("name").alias("reason"))
            .withColumn("target", _join_path("location", "name")))
     invalid = req.where(F.col("reason").isNotNull()).select(
-        "change_id", F.col("target").alias("path"), F.lit("target").alias("role"),
+        *ids, F.col("target").alias("path"), F.lit("target").alias("role"),
         F.lit("invalid_name").alias("status"))
     valid = req.where(F.col("reason").isNull())
     existing = catalog.select(F.col("path_key").alias("anc_key"), F.col("is_dir").alias("exists_dir"))
-    anc = _lookup(_ancestor_rows(valid), existing, "anc_key").persist()  # read twice below
-    verdict = (anc.groupBy("change_id")
+    anc = staged(_lookup(_ancestor_rows(valid, ids), existing, "anc_key"), "folder-plan")  # read twice below
+    verdict = (anc.groupBy(*ids)
                .agg(F.max(F.when(F.col("exists_dir") == F.lit(False), 1).otherwise(0)).alias("_file_in_way"),
                     F.max("depth").alias("_target_depth")))
-    rows = anc.join(verdict, "change_id")
+    rows = anc.join(verdict, ids)
     status = (F.when(F.col("_file_in_way") == 1, F.lit("conflict"))
               .when(F.col("exists_dir") == F.lit(True), F.lit("kept"))
               .otherwise(F.lit("created")))
     role = F.when(F.col("depth") == F.col("_target_depth"), F.lit("target")).otherwise(F.lit("ancestor"))
-    planned = (rows.select("change_id", F.col("anc_path").alias("path"), role.alias("role"),
+    planned = (rows.select(*ids, F.col("anc_path").alias("path"), role.alias("role"),
                            status.alias("status"), "exists_dir")
                .where((F.col("role") == "target") | (F.col("exists_dir").isNull() & (F.col("status") != "conflict")))
                .drop("exists_dir"))
@@ -224,25 +228,28 @@ def create_files(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
     """Plan file writes: ``change_id, path, content, status``.
 
     ``created`` (new), ``overwritten`` (an existing file is replaced, as the
-    reference does), ``conflict`` (a folder at the target or a file at an
+    reference does; also the batch's later writes of one path), ``conflict``
+    (a folder at the target, there or made by the same manifest, or a file at an
     ancestor), ``missing`` (parent absent and ``make_parents`` false - files
     added to an existing folder), ``invalid_name``.
     """
-    cols = manifest.columns
-    req = (manifest.where(F.col("kind") == "file")
-           .select(F.col("change_id").cast("bigint").alias("change_id"), "location", "name",
+    cols, ids = manifest.columns, _ids(manifest)
+    made = create_folders(catalog, manifest).where(F.col("status") == "created").select(
+        F.lower("path").alias("file_key"), F.lit(True).alias("_made")).distinct()
+    req = (manifest.where(F.col("kind") == "file").withColumn("change_id", F.col("change_id").cast("bigint"))
+           .select(*ids, "location", "name",
                    F.coalesce(F.col("content"), F.lit("")).alias("content"),
                    (F.col("make_parents") if "make_parents" in cols else F.lit(True)).alias("make_parents"),
                    _plan_name_reason("name").alias("reason"))
            .withColumn("target", _join_path("location", "name")))
     invalid = req.where(F.col("reason").isNotNull()).select(
-        "change_id", F.col("target").alias("path"), "content", F.lit("invalid_name").alias("status"))
+        *ids, F.col("target").alias("path"), "content", F.lit("invalid_name").alias("status"))
     valid = req.where(F.col("reason").isNull())
     existing = catalog.select(F.col("path_key").alias("anc_key"), F.col("is_dir").alias("exists_dir"))
-    anc = _lookup(_ancestor_rows(valid), existing, "anc_key").persist()  # read twice below
+    anc = _lookup(_ancestor_rows(valid, ids), existing, "anc_key")
     depth = F.size(F.split("target", "/"))
-    verdict = (anc.join(valid.select("change_id", depth.alias("_tdepth")), "change_id")
-               .groupBy("change_id")
+    verdict = (anc.join(valid.select(*ids, depth.alias("_tdepth")), ids)
+               .groupBy(*ids)
                .agg(F.max(F.when((F.col("depth") < F.col("_tdepth")) & (F.col("exists_dir") == F.lit(False)), 1)
                           .otherwise(0)).alias("_file_above"),
                     F.max(F.when(F.col("depth") == F.col("_tdepth"), F.col("exists_dir").cast("int"))).alias("_target"),
@@ -255,9 +262,19 @@ def create_files(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
               .when(~parent_ok, F.lit("missing"))
               .when(F.col("_target") == 0, F.lit("overwritten"))
               .otherwise(F.lit("created")))
-    planned = valid.join(verdict, "change_id").select(
-        "change_id", F.col("target").alias("path"), "content", status.alias("status"))
-    return planned.unionByName(invalid)
+    planned = valid.join(verdict, ids).withColumn("status", status).withColumn("file_key", F.lower("target"))
+    planned = planned.join(made, "file_key", "left").withColumn(
+        "status", F.when(F.col("_made") & F.col("status").isin("created", "overwritten"), F.lit("conflict"))
+        .otherwise(F.col("status")))
+    planned = staged(planned.select(*ids, "file_key", F.col("target").alias("path"), "content", "status"), "file-plan")
+    # Only the first write of a path creates it.
+    order = F.struct(*ids)
+    first = (planned.where(F.col("status") == "created").groupBy("file_key")
+             .agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    planned = planned.join(first, "file_key", "left").withColumn(
+        "status", F.when((F.col("status") == "created") & (order > F.col("_first")), F.lit("overwritten"))
+        .otherwise(F.col("status")))
+    return planned.select(*ids, "path", "content", "status").unionByName(invalid)
 
 
 def flatten_nested_manifest(nested: DataFrame) -> DataFrame:
@@ -265,30 +282,26 @@ def flatten_nested_manifest(nested: DataFrame) -> DataFrame:
 
     ``nested(change_id, location, folder, files ARRAY<STRUCT<name, content>>,
     subfolders ARRAY<STRUCT<name, files ARRAY<STRUCT<name, content>>>>)``.
-    Change ids of generated rows are ``change_id * 1_000_000 + position`` so
-    they stay unique and keep the manifest's order.
+    Generated rows keep ``change_id``; ``pos`` (an array of places) tells them
+    apart and keeps the manifest's order: [] the folder, [0, i] its files,
+    [1 + j] a subfolder, [1 + j, i] that one's files.
     """
-    base = nested.select(F.col("change_id").cast("bigint").alias("cid"), "location", "folder", "files",
+    base = nested.select(F.col("change_id").cast("bigint").alias("change_id"), "location", "folder", "files",
                          "subfolders")
-    folder = base.select((F.col("cid") * 1_000_000).alias("change_id"), "location",
-                         F.col("folder").alias("name"), F.lit("folder").alias("kind"),
-                         F.lit(None).cast("string").alias("content"), F.lit(True).alias("make_parents"))
-    top_files = base.select("cid", "location", "folder", F.posexplode("files").alias("i", "f")).select(
-        (F.col("cid") * 1_000_000 + 1 + F.col("i")).alias("change_id"),
-        _join_path("location", "folder").alias("location"),
-        F.col("f.name").alias("name"), F.lit("file").alias("kind"),
-        F.col("f.content").alias("content"), F.lit(False).alias("make_parents"))
-    subs = base.select("cid", "location", "folder", F.posexplode("subfolders").alias("j", "s"))
-    sub_rows = subs.select(
-        (F.col("cid") * 1_000_000 + 1000 * (1 + F.col("j"))).alias("change_id"),
-        _join_path("location", "folder").alias("location"),
-        F.col("s.name").alias("name"), F.lit("folder").alias("kind"),
-        F.lit(None).cast("string").alias("content"), F.lit(True).alias("make_parents"))
-    sub_files = subs.select("cid", "location", "folder", "j", "s", F.posexplode("s.files").alias("i", "f")).select(
-        (F.col("cid") * 1_000_000 + 1000 * (1 + F.col("j")) + 1 + F.col("i")).alias("change_id"),
-        _join_path(_join_path("location", "folder"), F.col("s.name")).alias("location"),
-        F.col("f.name").alias("name"), F.lit("file").alias("kind"),
-        F.col("f.content").alias("content"), F.lit(False).alias("make_parents"))
+    inner = _join_path("location", "folder")
+    place = lambda *xs: F.array(*xs).cast("array<int>").alias("pos")
+    row = lambda pos, location, name, kind, content: [
+        "change_id", pos, location.alias("location"), name.alias("name"), F.lit(kind).alias("kind"),
+        content.cast("string").alias("content"), F.lit(kind == "folder").alias("make_parents")]
+    nothing = F.lit(None)
+    folder = base.select(*row(place(), F.col("location"), F.col("folder"), "folder", nothing))
+    top_files = base.select("*", F.posexplode("files").alias("i", "f")).select(
+        *row(place(F.lit(0), F.col("i")), inner, F.col("f.name"), "file", F.col("f.content")))
+    subs = base.select("*", F.posexplode("subfolders").alias("j", "s"))
+    sub_rows = subs.select(*row(place(F.col("j") + 1), inner, F.col("s.name"), "folder", nothing))
+    sub_files = subs.select("*", F.posexplode("s.files").alias("i", "f")).select(
+        *row(place(F.col("j") + 1, F.col("i")), _join_path(inner, F.col("s.name")), F.col("f.name"), "file",
+             F.col("f.content")))
     return folder.unionByName(top_files).unionByName(sub_rows).unionByName(sub_files)
 
 
@@ -301,8 +314,10 @@ def create_folder_with_files(catalog: DataFrame, nested: DataFrame) -> DataFrame
     flat = flatten_nested_manifest(nested)
     folders = create_folders(catalog, flat)
     made = (folders.where(F.col("status").isin("created", "kept"))
-            .select(F.lower("path").alias("path_key"), F.lit(True).alias("is_dir")))
-    view = catalog.select("path_key", "is_dir").unionByName(made)
+            .select(F.lower("path").alias("path_key"), F.lit(True).alias("is_dir")).distinct())
+    # A folder that is kept is in the catalog already; one row per path is what the lookups rely on.
+    view = catalog.select("path_key", "is_dir").unionByName(
+        made.join(matching(catalog.select("path_key"), made, "path_key"), "path_key", "left_anti"))
     files = create_files(view, flat)
     return (folders.select("change_id", "path", F.lit("folder").alias("kind"), "status")
             .unionByName(files.select("change_id", "path", F.lit("file").alias("kind"), "status")))

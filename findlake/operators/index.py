@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from findlake.functions import text as X
 
-# Longest prefix kept in prefix postings: rows grow with the summed name length.
-DEFAULT_PREFIX_CAP = 10
-
 
 def exact_index(catalog: DataFrame) -> DataFrame:
     """``name_lc, n_items, first_ordinal``: items per lower-cased name.
@@ -39,17 +36,19 @@ def word_index(catalog: DataFrame) -> DataFrame:
     return word_postings(catalog).groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
-def prefix_postings(catalog: DataFrame, cap: int = DEFAULT_PREFIX_CAP) -> DataFrame:
-    """``prefix, ordinal, path``: every prefix of each lower-cased name up to ``cap`` characters."""
-    n = F.least(F.length("name_lc"), F.lit(cap))
+def prefix_postings(catalog: DataFrame) -> DataFrame:
+    """``prefix, ordinal, path``: every prefix of each lower-cased name, to its whole length.
+
+    Rows grow with the summed name length, which file systems bound per name.
+    """
     return (catalog.where(F.length("name_lc") > 0)
-            .select("ordinal", "path", "name_lc", F.explode(F.sequence(F.lit(1), n)).alias("len"))
+            .select("ordinal", "path", "name_lc", F.explode(F.sequence(F.lit(1), F.length("name_lc"))).alias("len"))
             .select(F.expr("substring(name_lc, 1, len)").alias("prefix"), "ordinal", "path"))
 
 
-def prefix_index(catalog: DataFrame, cap: int = DEFAULT_PREFIX_CAP) -> DataFrame:
-    """``prefix, n_items, first_ordinal`` for prefixes up to ``cap`` characters."""
-    return (prefix_postings(catalog, cap).groupBy("prefix")
+def prefix_index(catalog: DataFrame) -> DataFrame:
+    """``prefix, n_items, first_ordinal`` for every prefix."""
+    return (prefix_postings(catalog).groupBy("prefix")
             .agg(F.count(F.lit(1)).alias("n_items"), F.min("ordinal").alias("first_ordinal")))
 
 

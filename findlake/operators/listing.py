@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findlake.functions import paths as P
@@ -11,16 +11,25 @@ from findlake.operators.numbering import sequential_number
 CONTENT_TYPES = ("folders", "files", "everything")
 
 
+def location_key(location: Column) -> Column:
+    """The ``parent_key`` of a location's children: '/'-only, lower case, 'c:' and 'c:/' alike."""
+    loc = F.lower(F.regexp_replace(location, r"\\", "/"))
+    return (F.when(loc.rlike("^[a-z]:/*$"), F.concat(F.substring(loc, 1, 2), F.lit("/")))
+            .when(loc.rlike("^/+$"), F.lit("/")).otherwise(F.regexp_replace(loc, "/+$", "")))
+
+
+def _with_parent_key(catalog: DataFrame) -> DataFrame:
+    return catalog if "parent_key" in catalog.columns else catalog.withColumn("parent_key", F.lower("parent"))
+
+
 def list_directory(catalog: DataFrame, location: str) -> DataFrame:
     """Direct children (not recursive) of ``location``, matched case-insensitively.
 
-    A filter on the stored ``parent`` column: no shuffle, and the scan reads
-    only the partitions of the location's drive.
+    A filter on the stored ``parent_key`` column, pushed to the scan: no
+    shuffle, and only the partitions of the location's drive are read.
     """
-    loc = location.replace("\\", "/")
-    key = loc.lower() if loc.endswith(":/") or loc == "/" else loc.rstrip("/").lower()
-    drive = loc[0].upper() if len(loc) > 1 and loc[1] == ":" else None
-    children = catalog.where(F.lower("parent") == key)
+    drive = location[0].upper() if len(location) > 1 and location[1] == ":" else None
+    children = _with_parent_key(catalog).where(F.col("parent_key") == location_key(F.lit(location)))
     return children.where(F.col("drive") == drive) if drive else children
 
 
@@ -57,11 +66,8 @@ def folder_listing(catalog: DataFrame, locations: DataFrame, content: str = "eve
     the planner broadcasts it when small), then each folder's children are
     numbered by name. Children of one folder are one directory's entries.
     """
-    locs = locations.select("location",
-                            F.when(F.col("location").rlike("^[A-Za-z]:/?$"),
-                                   F.concat(F.lower(F.substring("location", 1, 2)), F.lit("/")))
-                            .otherwise(F.regexp_replace(F.lower("location"), "/+$", "")).alias("parent_key"))
-    children = catalog.withColumn("parent_key", F.lower("parent")).join(locs, "parent_key", "inner")
+    locs = locations.select("location", location_key(F.col("location")).alias("parent_key"))
+    children = _with_parent_key(catalog).join(locs, "parent_key", "inner")
     shown = content_type_filter(hide_dotfiles(children), content)
     return (number_listing(shown, ["location"])
             .select("location", "row_no", "name", "item_label", "path"))

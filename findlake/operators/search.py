@@ -204,7 +204,7 @@ def hits_indexed(cat: DataFrame, qn: DataFrame, gram_freq: DataFrame | None = No
     words, _ = checked_broadcast(qn.select("query_id", F.explode("q_words").alias("word")).distinct())
     item_words = items.select(*HIT_COLUMNS, F.explode(F.array_distinct("tokens")).alias("word"))
     by_word = (item_words.join(words, "word", "inner").drop("word")
-               .dropDuplicates(["query_id", "ordinal"])
+               .dropDuplicates(["query_id", "path"])
                .join(qn, "query_id")
                .where(~F.col("name_lc").contains(F.col("q"))))
     return with_match_flags(by_substring.unionByName(by_word))
@@ -270,7 +270,7 @@ def prefix_match(cat: DataFrame, qn: DataFrame, n: int) -> DataFrame:
 
     An empty prefix finds nothing. The cut is a skew-safe top-n by ordinal.
     """
-    return top_n_per_group(prefix_pairs(cat, qn), ["query_id"], [F.col("ordinal")], n,
+    return top_n_per_group(prefix_pairs(cat, qn), ["query_id"], [F.col("ordinal"), F.col("path")], n,
                            rank_col="prefix_rank")
 
 
@@ -280,7 +280,7 @@ def word_match(cat: DataFrame, qn: DataFrame) -> DataFrame:
     item_words = searchable(cat).select("ordinal", "path", F.explode(F.array_distinct("tokens")).alias("word"))
     return (item_words.join(words, "word", "inner")
             .select("query_id", "ordinal", "path")
-            .dropDuplicates(["query_id", "ordinal"]))
+            .dropDuplicates(["query_id", "path"]))
 
 
 def substring_match(cat: DataFrame, qn: DataFrame, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
@@ -307,11 +307,10 @@ def with_membership(hits: DataFrame, k: int) -> DataFrame:
     no broadcast is forced, so AQE broadcasts it from its measured size and
     falls back to a shuffle join for very large query batches.
     """
-    hits = hits.persist()  # read by the prefix cut, the membership join and the counts: one catalog pass
-    first_prefix = (top_n_per_group(hits.where("is_prefix").select("query_id", "ordinal"),
-                                    ["query_id"], [F.col("ordinal")], 2 * k)
-                    .select("query_id", "ordinal", F.lit(True).alias("in_prefix_cut")))
-    return (hits.join(first_prefix, ["query_id", "ordinal"], "left")
+    first_prefix = (top_n_per_group(hits.where("is_prefix").select("query_id", "ordinal", "path"),
+                                    ["query_id"], [F.col("ordinal"), F.col("path")], 2 * k)
+                    .select("query_id", "path", F.lit(True).alias("in_prefix_cut")))
+    return (hits.join(first_prefix, ["query_id", "path"], "left")
             .withColumn("is_member", F.col("is_exact") | F.col("is_word")
                         | F.coalesce(F.col("in_prefix_cut"), F.lit(False)))
             .drop("in_prefix_cut"))
@@ -346,13 +345,13 @@ def rank_results(candidates: DataFrame, bucket_bits: int = 16) -> DataFrame:
     over ``(query, score, ordinal bucket)`` groups of at most ``2^bucket_bits``
     ordinals, so no query, however hot, lands in one task.
     """
-    c = candidates.withColumn("_bucket", F.shiftright("ordinal", bucket_bits)).persist()  # read twice
+    c = candidates.withColumn("_bucket", F.shiftright("ordinal", bucket_bits))
     per_bucket = c.groupBy("query_id", "score", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("query_id").orderBy(F.desc("score"), "_bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("query_id", "score", "_bucket",
                                 F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inner = Window.partitionBy("query_id", "score", "_bucket").orderBy("ordinal")
+    inner = Window.partitionBy("query_id", "score", "_bucket").orderBy("ordinal", "path")
     return (c.join(offsets, ["query_id", "score", "_bucket"], "inner")
             .withColumn("rank", (F.col("_offset") + F.row_number().over(inner)).cast("bigint"))
             .drop("_bucket", "_offset"))

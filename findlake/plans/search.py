@@ -60,20 +60,20 @@ def search_streams(hits: DataFrame, k: int) -> DataFrame:
     routed = hits.select("query_id", "ordinal", "path", "name", "parent", "is_dir", "score",
                          stream.alias("stream"))
     order_key = F.when(F.col("stream") == "p", F.lit(0)).otherwise(-F.col("score"))
-    return top_n_per_group(routed, ["query_id", "stream"], [order_key, F.col("ordinal")], 2 * k,
+    return top_n_per_group(routed, ["query_id", "stream"], [order_key, F.col("ordinal"), F.col("path")], 2 * k,
                            rank_col="stream_rank")
 
 
 def finish(streams: DataFrame, k: int) -> DataFrame:
     """Fallback decision and final top-k on the bounded per-query remainder."""
     per_query = Window.partitionBy("query_id")
-    members = F.size(F.collect_set(F.when(F.col("stream") != "c", F.col("ordinal"))).over(per_query))
+    members = F.size(F.collect_set(F.when(F.col("stream") != "c", F.col("path"))).over(per_query))
     kept = (streams.withColumn("n_members", members)
             .where((F.col("stream") != "c") | (F.col("n_members") < k))
             .select("query_id", "ordinal", "path", "name", "parent", "is_dir", "score")
-            .dropDuplicates(["query_id", "ordinal"]))
+            .dropDuplicates(["query_id", "path"]))
     ranked = kept.withColumn("rank", F.row_number().over(
-        per_query.orderBy(F.desc("score"), F.asc("ordinal"))))
+        per_query.orderBy(F.desc("score"), F.asc("ordinal"), F.asc("path"))))
     return (ranked.where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("bigint").alias("rank"), "path", "name",
                     P.item_type("is_dir").alias("item_type"), "parent", "score", "ordinal"))

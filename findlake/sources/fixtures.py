@@ -13,10 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Ordinals leave 100 slots per source row: folders implied by a file take
-# 100 * key + depth, the file itself 100 * key + 99 (see expand_ancestors).
-ORDINAL_STRIDE = 100
-
 # --- fixed values of the fixture (query batch of the bench) -----------------
 QUERY_BATCH = [
     "blue", "blue_anvil.txt", "doc", "doc1.txt", "Anvil  BOLT", "order_1", "en_documents",
@@ -84,7 +80,7 @@ def fixture_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = parts.unionByName(docs).unionByName(orders).unionByName(events).unionByName(pages)
     return files.select(
-        (F.col("key") * ORDINAL_STRIDE + (ORDINAL_STRIDE - 1)).alias("ordinal"),
+        F.col("key").alias("ordinal"),
         "path",
         F.lit(False).alias("is_dir"))
 
@@ -97,16 +93,6 @@ def query_batch(spark: SparkSession, raws: list[str] | None = None) -> DataFrame
     return spark.createDataFrame(list(enumerate(raws)), schema)
 
 
-def queries_from_catalog(catalog: DataFrame) -> DataFrame:
-    """A query per catalog item, derived from its name (so the batch grows with the data).
-
-    The raw text is the name with its case flipped to upper and padded with
-    white space, which exercises normalisation; ``query_id`` is the ordinal.
-    """
-    return catalog.select(F.col("ordinal").alias("query_id"),
-                          F.concat(F.lit("  "), F.upper("name"), F.lit(" ")).alias("raw"))
-
-
 # --- configuration tables (user settings, a handful of rows) ----------------
 USER_ROOTS = [
     "C:/Users/me/Downloads", "C:/Users/me/Documents", "C:/Users/me/Desktop", "C:/Users/me/Videos",
@@ -122,9 +108,7 @@ USER_LOCATIONS = [
 def roots_table(spark: SparkSession, catalog: DataFrame) -> DataFrame:
     """``root, root_key``: the C: user folders plus the root of every other drive in the catalog."""
     user = spark.createDataFrame([(r,) for r in USER_ROOTS], "root string")
-    drives = (catalog.where(F.col("path").rlike("^[C-Zc-z]:"))
-              .select(F.upper(F.substring("path", 1, 1)).alias("letter")).distinct()
-              .where(F.col("letter") != "C")
+    drives = (catalog.where(F.col("drive").between("D", "Z")).select(F.col("drive").alias("letter")).distinct()
               .select(F.concat("letter", F.lit(":/")).alias("root")))
     return user.unionByName(drives).select("root", F.col("root").alias("root_key"))
 
@@ -132,8 +116,7 @@ def roots_table(spark: SparkSession, catalog: DataFrame) -> DataFrame:
 def locations_table(spark: SparkSession, catalog: DataFrame) -> DataFrame:
     """``label, path``: named user folders plus one ``X:`` label per drive in the catalog."""
     user = spark.createDataFrame(USER_LOCATIONS, "label string, path string")
-    drives = (catalog.where(F.col("path").rlike("^[C-Zc-z]:"))
-              .select(F.upper(F.substring("path", 1, 1)).alias("letter")).distinct()
+    drives = (catalog.where(F.col("drive").between("C", "Z")).select(F.col("drive").alias("letter")).distinct()
               .select(F.concat("letter", F.lit(":")).alias("label"),
                       F.concat("letter", F.lit(":/")).alias("path")))
     return user.unionByName(drives)
@@ -161,7 +144,7 @@ def relisted(listing: DataFrame) -> DataFrame:
     """A second listing: every third file gets a '.bak' twin path (new), the rest repeat."""
     return listing.select(
         "ordinal",
-        F.when(F.floor(F.col("ordinal") / ORDINAL_STRIDE) % 3 == 0, F.concat("path", F.lit(".bak")))
+        F.when(F.col("ordinal") % 3 == 0, F.concat("path", F.lit(".bak")))
         .otherwise(F.col("path")).alias("path"),
         "is_dir")
 

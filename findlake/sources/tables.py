@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from findlake.operators.index import word_postings
 
 
+# Folder name for paths without a drive (an empty partition value would be read back as NULL).
+_NO_DRIVE = "none"
+
+
 def write_catalog(catalog: DataFrame, path: str, mode: str = "overwrite",
                   num_files: int | None = None) -> None:
     """Write the catalog partitioned by drive, sorted by ``name_lc`` inside each file.
@@ -19,13 +23,15 @@ def write_catalog(catalog: DataFrame, path: str, mode: str = "overwrite",
     let pushed-down ``In`` / ``StringStartsWith`` filters skip most row
     groups; ``drive`` folders prune whole drives.
     """
-    n = num_files or int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (catalog.repartition(n, "path_key").sortWithinPartitions("drive", "name_lc", "ordinal")
-     .write.mode(mode).partitionBy("drive").parquet(path))
+    named = catalog.withColumn("drive", F.when(F.col("drive") == "", F.lit(_NO_DRIVE)).otherwise(F.col("drive")))
+    # Without a number of files, adaptive execution sizes them from the measured shuffle.
+    dealt = named.repartition(num_files, "path_key") if num_files else named.repartition("path_key")
+    (dealt.sortWithinPartitions("drive", "name_lc", "ordinal").write.mode(mode).partitionBy("drive").parquet(path))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    stored = spark.read.parquet(path)
+    return stored.withColumn("drive", F.when(F.col("drive") == _NO_DRIVE, F.lit("")).otherwise(F.col("drive")))
 
 
 def write_word_postings(catalog: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -35,6 +41,7 @@ def write_word_postings(catalog: DataFrame, path: str, mode: str = "overwrite")
 
 
 def write_created_files(file_plan: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Sink of a file-creation plan: one ``(path, content)`` row per file written or overwritten."""
-    (file_plan.where(F.col("status").isin("created", "overwritten"))
+    """Sink of a file-creation plan: one ``(path, content)`` row per file; the batch's last write of a path stays."""
+    done = file_plan.where(F.col("status").isin("created", "overwritten")).withColumn("_key", F.lower("path"))
+    (done.groupBy("_key").agg(F.min_by("path", "change_id").alias("path"), F.max_by("content", "change_id").alias("content"))
      .select("path", "content").write.mode(mode).parquet(path))

@@ -2,8 +2,9 @@
 
 ``binaryFile`` lists files recursively in parallel and the ``content`` column
 is pruned from the scan when not selected, so no file is read. It returns
-files only and skips names starting with '.' or '_'; folders come from
-``expand_ancestors``.
+files only, and skips empty files and names starting with '.' or '_';
+folders come from ``expand_ancestors``, so empty folders are missing too. A
+listing that needs these comes as a table with ``ordinal, path, is_dir``.
 """
 
 from __future__ import annotations
@@ -11,20 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STRIDE = 100
-
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """``ordinal, path, is_dir`` for every file below ``root`` (paths without the URI scheme).
 
     Arrival order is not defined by a parallel listing, so ``ordinal`` is
     derived from the path itself: the rank of the path in sorted order would
-    need a global sort, while a 63-bit hash is stable and needs none.
+    need a global sort, while a 55-bit hash is stable and needs none. Two
+    paths with one hash tie in arrival order; items are told apart by path.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select("path"))
     clean = F.regexp_replace("path", "^file:", "")
     return files.select(
-        (F.abs(F.xxhash64(clean)) % F.lit(2 ** 55) * _STRIDE + (_STRIDE - 1)).alias("ordinal"),
+        F.pmod(F.xxhash64(clean), F.lit(2 ** 55)).alias("ordinal"),
         clean.alias("path"),
         F.lit(False).alias("is_dir"))

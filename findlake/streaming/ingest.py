@@ -1,8 +1,8 @@
 """Incremental catalog ingest with Structured Streaming.
 
 Listing rows (``ordinal, path, is_dir``) arrive as files in a folder. Each
-micro-batch is turned into catalog rows and appended, skipping paths the
-catalog already has. Two forms:
+micro-batch is turned into catalog rows and appended, skipping rows that the
+catalog already has earlier; ``read_ingested`` merges the batches. Two forms:
 
 * ``ingest_with_state``: ``dropDuplicates(['path_key'])`` in the stream. Paths
   carry no event time, so no watermark can bound the state: fine for bounded
@@ -60,8 +60,10 @@ def _batch_writer(catalog_dir: str, key_buckets: int):
             buckets = [r[0] for r in new.select("key_bucket").distinct().collect()]
             known = (spark.read.parquet(catalog_dir)
                      .where((F.col("batch") < batch_id) & F.col("key_bucket").isin(buckets))
-                     .select("key_bucket", "path_key"))
-            new = new.join(known, ["key_bucket", "path_key"], "left_anti")
+                     .select("key_bucket", "path_key", F.col("ordinal").alias("known_ordinal"), F.col("path").alias("known_path")))
+            before = F.struct("known_ordinal", "known_path") <= F.struct("ordinal", "path")
+            new = new.alias("n").join(known.alias("k"), (F.col("n.key_bucket") == F.col("k.key_bucket"))
+                                      & (F.col("n.path_key") == F.col("k.path_key")) & before, "left_anti")
         (new.select(*CATALOG_COLUMNS, "key_bucket")
          .write.mode("overwrite").partitionBy("key_bucket")
          .parquet(os.path.join(catalog_dir, f"batch={batch_id}")))
@@ -87,6 +89,12 @@ def ingest_foreach_batch(spark: SparkSession, source_dir: str, catalog_dir: str,
     query.awaitTermination()
 
 
+def read_ingested(spark: SparkSession, catalog_dir: str) -> DataFrame:
+    """The catalog of all batches: each path's first row. A later batch may hold an earlier row of a path, or an
+    earlier item of a folder; with the smaller of both the rows equal those of one batch build."""
+    return dedup_first_wins(spark.read.parquet(catalog_dir).select(*CATALOG_COLUMNS))
+
+
 def ingest_fixture(spark: SparkSession, sf_dir: str, base_dir: str, n_files: int = 4) -> DataFrame:
     """Stream the fixture listing (split into ``n_files`` files) into a catalog; return the catalog."""
     import uuid
@@ -96,4 +104,4 @@ def ingest_fixture(spark: SparkSession, sf_dir: str, base_dir: str, n_files: int
      .write.mode("overwrite").parquet(source))
     catalog_dir = os.path.join(run, "catalog")
     ingest_foreach_batch(spark, source, catalog_dir, os.path.join(run, "checkpoint"))
-    return spark.read.parquet(catalog_dir)
+    return read_ingested(spark, catalog_dir)

@@ -134,10 +134,13 @@ rt1 AS (
   SELECT *, CASE WHEN status0 = 'pending'
     AND change_id > min(CASE WHEN status0 = 'pending' THEN change_id END) OVER (PARTITION BY tgt_key)
     THEN 'exists' ELSE status0 END AS status1 FROM rst),
-rplan AS (
+rt2 AS (
   SELECT *, CASE WHEN status1 = 'pending'
     AND change_id > min(CASE WHEN status1 = 'pending' THEN change_id END) OVER (PARTITION BY src_key) THEN 'missing'
-    WHEN status1 = 'pending' THEN 'ok' ELSE status1 END AS status FROM rt1)
+    WHEN status1 = 'pending' THEN 'ok' ELSE status1 END AS status2 FROM rt1),
+rplan AS (
+  SELECT r.*, CASE WHEN r.status2 = 'missing' AND o.change_id < r.change_id THEN 'exists' ELSE r.status2 END AS status
+  FROM rt2 r LEFT JOIN (SELECT tgt_key, change_id FROM rt2 WHERE status2 = 'ok') o ON o.tgt_key = r.tgt_key)
 """
 
 
@@ -185,12 +188,18 @@ def _create_sql(p: str, man: str, cat: str) -> str:
     max(CASE WHEN depth = td - 1 THEN CAST(exists_dir AS INT) END) AS par,
     max(CASE WHEN depth = td - 1 THEN 1 ELSE 0 END) AS has_par
   FROM {p}_gj GROUP BY change_id),
-{p}_files AS (
+{p}_fw AS (
   SELECT r.change_id, r.target AS path, r.content,
     CASE WHEN v.file_above = 1 OR v.tgt = 1 THEN 'conflict'
          WHEN NOT (coalesce(v.par, 0) = 1 OR v.has_par = 0 OR r.make_parents) THEN 'missing'
-         WHEN v.tgt = 0 THEN 'overwritten' ELSE 'created' END AS status
-  FROM {p}_gr r JOIN {p}_gv v ON v.change_id = r.change_id WHERE r.reason IS NULL
+         WHEN lower(r.target) IN (SELECT lower(path) FROM {p}_folders WHERE status = 'created') THEN 'conflict'
+         WHEN v.tgt = 0 THEN 'overwritten' ELSE 'write' END AS outcome
+  FROM {p}_gr r JOIN {p}_gv v ON v.change_id = r.change_id WHERE r.reason IS NULL),
+{p}_files AS (
+  SELECT change_id, path, content, CASE WHEN outcome <> 'write' THEN outcome
+    WHEN EXISTS (SELECT 1 FROM {p}_fw o WHERE o.outcome = 'write' AND lower(o.path) = lower(w.path) AND o.change_id < w.change_id)
+    THEN 'overwritten' ELSE 'created' END AS status
+  FROM {p}_fw w
   UNION ALL SELECT change_id, target, content, 'invalid_name' FROM {p}_gr WHERE reason IS NOT NULL)"""
 
 
@@ -208,11 +217,11 @@ man AS (
 _NESTED = rf""",
 nest AS (SELECT ordinal AS cid, path AS loc, name AS nm, ordinal % 4 = 0 AS bad FROM catalog WHERE is_dir),
 nman AS (
-  SELECT cid * 1000000 AS change_id, loc AS location, 'bundle' AS name, 'folder' AS kind, NULL AS content, true AS make_parents FROM nest
-  UNION ALL SELECT cid * 1000000 + 1, {_norm("loc || '/bundle'")}, 'readme.txt', 'file', nm, false FROM nest
-  UNION ALL SELECT cid * 1000000 + 2, {_norm("loc || '/bundle'")}, CASE WHEN bad THEN nm || '?' ELSE nm END, 'file', '', false FROM nest
-  UNION ALL SELECT cid * 1000000 + 1000, {_norm("loc || '/bundle'")}, 'sub', 'folder', NULL, true FROM nest
-  UNION ALL SELECT cid * 1000000 + 1001, {_norm(_norm("loc || '/bundle'") + " || '/sub'")}, 'a.txt', 'file', 'x', false FROM nest)"""
+  SELECT cid || ':' AS change_id, loc AS location, 'bundle' AS name, 'folder' AS kind, NULL AS content, true AS make_parents FROM nest
+  UNION ALL SELECT cid || ':a', {_norm("loc || '/bundle'")}, 'readme.txt', 'file', nm, false FROM nest
+  UNION ALL SELECT cid || ':b', {_norm("loc || '/bundle'")}, CASE WHEN bad THEN nm || '?' ELSE nm END, 'file', '', false FROM nest
+  UNION ALL SELECT cid || ':c', {_norm("loc || '/bundle'")}, 'sub', 'folder', NULL, true FROM nest
+  UNION ALL SELECT cid || ':d', {_norm(_norm("loc || '/bundle'") + " || '/sub'")}, 'a.txt', 'file', 'x', false FROM nest)"""
 
 
 _FOLDER = "📁 Folder"
@@ -268,7 +277,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT unnest(list_distinct(tokens)) AS word FROM cat_t) GROUP BY word"""),
     "prefix_index": _with("""SELECT substr(c.name_lc, 1, g.i) AS prefix, CAST(count(*) AS BIGINT) AS n_items,
         min(c.ordinal) AS first_ordinal
-        FROM catalog c, generate_series(1, least(length(c.name_lc), 10)) g(i) WHERE length(c.name_lc) > 0
+        FROM catalog c, generate_series(1, length(c.name_lc)) g(i) WHERE length(c.name_lc) > 0
         GROUP BY 1"""),
     "result_counts": _with("""SELECT q.query_id, CAST(count(r.ordinal) AS BIGINT) AS hits,
         CAST(greatest(0, count(r.ordinal) - 20) AS BIGINT) AS more_hits
@@ -329,7 +338,7 @@ ORACLE_SQL: dict[str, str] = {
                    UNION ALL SELECT letter || ':', letter || ':/' FROM drives) l
           ON lower(l.label) = lower(r.label)"""),
     "status_summary": _with("SELECT status, CAST(count(*) AS BIGINT) AS n FROM rplan GROUP BY status"),
-    "stream_catalog_ingest": _with("SELECT path_key FROM catalog"),
+    "stream_catalog_ingest": _with("SELECT ordinal, path, path_key, is_dir, name, parent, suffix, drive FROM catalog"),
 }
 
 _C1 = _MANIFEST + _create_sql("m", "man", "catalog")
@@ -342,11 +351,13 @@ nview AS (SELECT path_key, is_dir FROM catalog
 ORACLE_SQL.update({
     "create_folders": "WITH " + _BASE + _C1 + "\nSELECT change_id, path, role, status FROM m_folders",
     "create_files": "WITH " + _BASE + _C1 + "\nSELECT change_id, path, status FROM m_files",
-    "write_created_files": "WITH " + _BASE + _C1 + "\nSELECT path, content FROM m_files WHERE status IN ('created', 'overwritten')",
+    "write_created_files": "WITH " + _BASE + _C1 + """
+SELECT arg_min(path, change_id) AS path, arg_max(content, change_id) AS content
+FROM m_files WHERE status IN ('created', 'overwritten') GROUP BY lower(path)""",
     "created_counts": "WITH " + _BASE + _C1 + f"""
 SELECT {_parent('path')} AS folder, CAST(count(*) FILTER (WHERE status IN ('created', 'overwritten')) AS BIGINT) AS created
 FROM m_files GROUP BY 1""",
     "create_folder_with_files": "WITH " + _BASE + _C2 + """
-SELECT change_id, path, 'folder' AS kind, status FROM n1_folders
-UNION ALL SELECT change_id, path, 'file' AS kind, status FROM n2_files""",
+SELECT CAST(split_part(change_id, ':', 1) AS BIGINT) AS change_id, path, 'folder' AS kind, status FROM n1_folders
+UNION ALL SELECT CAST(split_part(change_id, ':', 1) AS BIGINT), path, 'file', status FROM n2_files""",
 })

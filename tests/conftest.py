@@ -30,6 +30,6 @@ def small_catalog(spark):
 def catalog_from_paths(spark, rows):
     """Catalog from ``(path, is_dir)`` rows; arrival order is the list order."""
     from findlake.operators.catalog import build_catalog, with_tokens
-    listing = spark.createDataFrame([((i + 1) * 100 + 99, p, d) for i, (p, d) in enumerate(rows)],
+    listing = spark.createDataFrame([(i, p, d) for i, (p, d) in enumerate(rows)],
                                     "ordinal bigint, path string, is_dir boolean")
     return with_tokens(build_catalog(listing))

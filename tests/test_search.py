@@ -129,18 +129,11 @@ def test_unicode_whitespace_and_case(spark):
 
 
 def test_large_batch_forms_agree(spark, small_catalog):
-    from findlake.operators import catalog as C
-    from findlake.sources import fixtures as FX
     qn = S.prepare_queries(query_batch(spark))
     for fn in (S.prefix_pairs, S.substring_match):
         a = fn(small_catalog, qn).collect()
         b = fn(small_catalog, qn, max_broadcast=0).collect()
         assert sorted(map(tuple, a)) == sorted(map(tuple, b)), fn.__name__
-    roots = FX.roots_table(spark, small_catalog)
-    cols = ["root", "ordinal"]
-    a = C.scope_to_roots(small_catalog, roots).select(cols).collect()
-    b = C.scope_to_roots(small_catalog, roots, max_broadcast=0).select(cols).collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
 def test_indexed_form_with_stored_gram_index(spark, small_catalog):
