@@ -67,7 +67,14 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored_catalog(spark, sf_dir)
+    """The indexed part of the catalog: what lies below the roots that exist, without the roots themselves."""
+    key = (id(spark.sparkContext._jsc), "indexed:" + os.path.abspath(sf_dir))
+    if key not in _STORED:
+        cat = _stored_catalog(spark, sf_dir)
+        path = os.path.join(checkpoint_dir(spark), "findlake-indexed", uuid.uuid4().hex)
+        TB.write_catalog(C.indexed_items(cat, FX.roots_table(spark, cat)), path)
+        _STORED[key] = path
+    return TB.read_catalog(spark, _STORED[key])
 
 
 def _qn(spark: SparkSession) -> DataFrame:
@@ -122,7 +129,7 @@ def q_list_directory(spark, sf_dir):
 
 def q_persist_indexes(spark, sf_dir):
     out = os.path.join(checkpoint_dir(spark), "findlake-indexes", uuid.uuid4().hex)
-    cat = _searchable(spark, sf_dir)
+    cat = _stored_catalog(spark, sf_dir)
     TB.write_catalog(cat, os.path.join(out, "catalog"))
     TB.write_word_postings(cat, os.path.join(out, "words"))
     return TB.read_catalog(spark, os.path.join(out, "catalog")).select("ordinal", "path_key", "drive")
@@ -209,7 +216,7 @@ def q_tokenise_query(spark, sf_dir):
 
 
 def q_exact_match(spark, sf_dir):
-    cat = _searchable(spark, sf_dir)
+    cat = _stored_catalog(spark, sf_dir)
     return S.exact_match(cat, S.prepare_queries(FX.text_queries(cat))).select("query_id", "ordinal")
 
 

@@ -167,6 +167,12 @@ def valid_roots(roots: DataFrame, catalog: DataFrame) -> DataFrame:
     return r.join(folders.unionByName(drives), "root_norm", "left_semi").drop("root_norm")
 
 
+def indexed_items(catalog: DataFrame, roots: DataFrame) -> DataFrame:
+    """The items that a search index holds: those strictly below at least one root that exists."""
+    below = scope_to_roots(catalog.select("path_key"), valid_roots(roots, catalog)).select("path_key").distinct()
+    return catalog.join(below, "path_key", "left_semi")
+
+
 # Most bytes of distinct keys that are broadcast against the catalog.
 MAX_BROADCAST_KEY_BYTES = 32 << 20
 

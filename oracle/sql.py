@@ -86,6 +86,9 @@ roots AS (
   SELECT root, root AS root_key FROM (VALUES ('C:/Users/me/Downloads'), ('C:/Users/me/Documents'), ('C:/Users/me/Desktop'),
     ('C:/Users/me/Videos'), ('C:/Users/me/Pictures'), ('C:/Users/me/Pictures/Samsung Flow')) t(root)
   UNION ALL SELECT letter || ':/', letter || ':/' FROM drives WHERE letter <> 'C'),
+valid AS (SELECT root, regexp_replace(lower(root_key), '/+$', '') AS below FROM roots WHERE
+  regexp_replace(lower(root_key), '/+$', '') IN (SELECT path_key FROM catalog WHERE is_dir UNION ALL SELECT lower(letter) || ':' FROM drives)),
+scat AS (SELECT * FROM cat_t c WHERE EXISTS (SELECT 1 FROM valid v WHERE starts_with(c.path_key, v.below || '/'))),
 qbatch AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{q}')" for i, q in enumerate(_QUERY_BATCH))}) t(query_id, raw)),
 qn AS (SELECT CAST(query_id AS BIGINT) AS query_id, raw, lower({_strip('raw')}) AS q FROM qbatch WHERE {_strip('raw')} <> ''),
 qw AS (SELECT *, list_distinct(list_filter(string_split_regex(translate(q, '._', '  '), '\s+'), lambda x: x <> '')) AS q_words FROM qn),
@@ -97,7 +100,7 @@ hits AS (
                WHEN contains(c.name_lc, qw.q) THEN 50 ELSE 0 END)
          + greatest(0, 30 - length(c.name_lc))
          + (CASE WHEN regexp_matches(lower(c.parent_name), 'documents|desktop|downloads') THEN 10 ELSE 0 END) AS BIGINT) AS score
-  FROM cat_t c JOIN qw ON contains(c.name_lc, qw.q) OR list_has_any(c.tokens, qw.q_words)),
+  FROM scat c JOIN qw ON contains(c.name_lc, qw.q) OR list_has_any(c.tokens, qw.q_words)),
 pref AS (SELECT query_id, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY ordinal) AS prn FROM hits WHERE is_prefix),
 memb AS (
   SELECT h.*, (h.is_exact OR h.is_word OR coalesce(p.prn <= {2 * _K}, false)) AS is_member
@@ -151,7 +154,7 @@ def _with(body: str) -> str:
 def _prefix_hits(n: int) -> str:
     return f"""(SELECT qw.query_id, c.ordinal, c.path,
         row_number() OVER (PARTITION BY qw.query_id ORDER BY c.ordinal) AS prn
-      FROM catalog c JOIN qw ON starts_with(c.name_lc, qw.q) WHERE qw.q <> '') p WHERE prn <= {n}"""
+      FROM scat c JOIN qw ON starts_with(c.name_lc, qw.q) WHERE qw.q <> '') p WHERE prn <= {n}"""
 
 
 
@@ -260,8 +263,8 @@ ORACLE_SQL: dict[str, str] = {
         string_split_regex(translate(q, '._', '  '), '\\s+'), lambda x: x <> ''))), '|') AS words FROM tqn"""),
     "exact_match": _with("SELECT t.query_id, c.ordinal FROM tqn t JOIN catalog c ON c.name_lc = t.q"),
     "prefix_match": _with(f"SELECT query_id, ordinal, prn AS prefix_rank FROM {_prefix_hits(2 * _K)}"),
-    "word_match": _with("SELECT DISTINCT qw.query_id, c.ordinal FROM cat_t c JOIN qw ON list_has_any(c.tokens, qw.q_words)"),
-    "substring_match": _with("SELECT qw.query_id, c.ordinal FROM catalog c JOIN qw ON contains(c.name_lc, qw.q)"),
+    "word_match": _with("SELECT DISTINCT qw.query_id, c.ordinal FROM scat c JOIN qw ON list_has_any(c.tokens, qw.q_words)"),
+    "substring_match": _with("SELECT qw.query_id, c.ordinal FROM scat c JOIN qw ON contains(c.name_lc, qw.q)"),
     "already_indexed": _with(f"""SELECT ordinal, k AS path_key FROM (
           SELECT ordinal, lower({_norm("CASE WHEN (ordinal // 100) % 3 = 0 THEN path || '.bak' ELSE path END")}) AS k
           FROM listing) WHERE k NOT IN (SELECT path_key FROM catalog)"""),

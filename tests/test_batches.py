@@ -153,3 +153,12 @@ def test_no_private_checkpoint_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         checkpoint_dir(Session())
+
+
+def test_scan_roots_are_not_results(spark):
+    import __spark_entry__ as E
+
+    rows = E.queries()["multi_strategy_search"](spark, "/root/testdata/sf0.001").collect()
+    found = {(r.query_id, r.path) for r in rows}
+    assert not {p for _, p in found} & {"C:/Users/me/Pictures", "C:/Users/me/Documents", "C:/Users/me", "C:/Users"}
+    assert all(not p.startswith("C:/") or p.startswith("C:/Users/me/") for _, p in found)
