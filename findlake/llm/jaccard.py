@@ -17,7 +17,7 @@ cut into ``FRAGMENTS`` hash ranges. Fragment by fragment:
    is compared exhaustively, where sizes and lonely shingles allow a link. No
    possible link is dropped.
 5. A comparison counts the overlap of each fragment separately and sums the
-   partial counts per pair, which ends early once the sum cannot suffice.
+   partial counts per pair.
 
 Components of the links come from minimum labels with pointer jumping.
 Hash collisions aside (64 bits), the result is exact.
@@ -35,7 +35,7 @@ from findlake.llm.common import member_filter, slices, split_by_filter, stored,
 N = 5
 FRAGMENTS = 4
 #: Rounds in which each still divided shingle compares its classes with one of them.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _IS_SPACE = np.zeros(256, bool)
@@ -138,17 +138,14 @@ def _full_sets(batches):
 
 
 def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, na, b, nb) that link. Fragment by fragment the partial overlap is counted and added to the pair's
-    sum; a pair goes on while what is left of both sets could still make it link."""
-    at = pairs.select("a", "b", "na", "nb", F.lit(0).alias("both"), F.col("na").alias("ra"), F.col("nb").alias("rb"))
-    for f in range(FRAGMENTS):
-        left = full.select(F.col("sig").alias("a"), F.col(f"f{f}").alias("ga"))
-        right = full.select(F.col("sig").alias("b"), F.col(f"f{f}").alias("gb"))
-        at = at.join(left, "a").join(right, "b").select(
-            "a", "b", "na", "nb", (F.col("both") + F.size(F.array_intersect("ga", "gb"))).alias("both"),
-            (F.col("ra") - F.size("ga")).alias("ra"), (F.col("rb") - F.size("gb")).alias("rb"))
-        at = at.where("180 * (both + least(ra, rb)) >= 80 * (na + nb)")
-    return at.select("a", "b")
+    """The pairs (a, na, b, nb) that link: the overlap is counted in each fragment separately, and the partial counts
+    are summed per pair."""
+    names = [f"f{f}" for f in range(FRAGMENTS)]
+    left = full.select(F.col("sig").alias("a"), *[F.col(x).alias(f"a_{x}") for x in names])
+    right = full.select(F.col("sig").alias("b"), *[F.col(x).alias(f"b_{x}") for x in names])
+    both = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", "na", "nb", *[F.size(F.array_intersect(f"a_{x}", f"b_{x}")).alias(x) for x in names])
+    return both.where(180 * sum((F.col(x) for x in names), F.lit(0)) >= 80 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _alone(members: DataFrame, grams: str) -> DataFrame:
@@ -159,20 +156,23 @@ def _alone(members: DataFrame, grams: str) -> DataFrame:
 
 
 def _apart(at: DataFrame, full: DataFrame) -> DataFrame:
-    """Rows (g, sig, n, m, comp) of the classes that can still link to another component, with ``m`` counted anew.
+    """Rows (g, sig, n, m, after, comp): the order and prefixes of step 3 anew, for classes that may link to another
+    component.
 
-    Only the classes of ``at`` can; so a shingle that just one component has
-    among them is lonely for all classes of that component.
+    Only the classes of ``at`` can. Among them a shingle that just one component
+    has is lonely for all its classes, and as they are few, whole sets are
+    ordered, not fragment 0 first.
     """
-    at = stored(at, "divided")
     members = stored(at.select("sig", "n", "comp").distinct(), "divided-classes")
     grams = stored(full.join(members, "sig").select(
-        "sig", "comp", F.explode(F.concat(*[f"f{f}" for f in range(FRAGMENTS)])).alias("gram")), "divided-shingles")
-    owners = grams.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    shared = grams.join(owners.where("c0 != c1").select("gram"), "gram", "left_semi").groupBy("sig").agg(
-        F.count("*").alias("shared"))
-    left = members.join(shared, "sig").where("5 * (n - shared) <= n").select("sig", F.col("shared").alias("m"))
-    return stored(at.drop("m").join(left, "sig").select("g", "sig", "n", "m", "after", "comp"), "apart")
+        "sig", "comp", F.explode(F.concat(*[f"f{f}" for f in range(FRAGMENTS)])).alias("g")), "divided-shingles")
+    owners = grams.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("df"))
+    own = Window.partitionBy("sig")
+    shared = (grams.join(owners.where("c0 != c1").select("g", "df"), "g")
+              .withColumn("m", F.count("*").over(own))
+              .withColumn("place", F.row_number().over(own.orderBy("df", "g"))))
+    first = shared.join(members.select("sig", "n"), "sig").withColumn("after", F.col("m") - F.col("place") + 1)
+    return stored(first.where("n - after <= floor(n / 5)").select("g", "sig", "n", "m", "after", "comp"), "apart")
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
