@@ -20,7 +20,7 @@ import numpy as np
 
 BLOCK = 4096
 #: Blocks that are coded side by side; about 200 KB of state each.
-LANES = 1024
+LANES = 640
 
 _SLOTS = 4096
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)

@@ -24,7 +24,7 @@ SEGMENT = 1 << 18
 #: Segments are coded together up to so many ids, so that many blocks run side by side.
 GATHER = rangecoder.LANES * rangecoder.BLOCK
 #: A worker keeps the ids of about so many pieces of text, and as many that it has used before these.
-CACHE = 300_000
+CACHE = 200_000
 
 
 class Tokenize:
