@@ -2,9 +2,8 @@
 
 The reference keeps these as in-memory maps and a prefix tree. Here they are
 ordinary DataFrames that can be written once (``sources.tables``) and joined
-by later searches. Grouped forms collect per-key arrays, which is only safe
-for bounded keys, so the postings (one row per key and item) are the primary
-form and grouped outputs carry counts next to the arrays.
+by later searches: postings, one row per key and item, so that no key's items
+have to fit into one row.
 """
 
 from __future__ import annotations
@@ -16,13 +15,12 @@ from findlake.functions import text as X
 
 
 def exact_index(catalog: DataFrame) -> DataFrame:
-    """``name_lc, n_items, first_ordinal``: items per lower-cased name.
+    """``name_lc, ordinal, path``: the items of each lower-cased name, one row per item.
 
-    Postings stay in the catalog itself (``name_lc`` is stored and Parquet
-    filters on it are pushed down), so this index holds only per-name counts.
+    The catalog stores ``name_lc``, so these postings are a projection of it
+    and Parquet filters on the name are pushed down.
     """
-    return (catalog.groupBy("name_lc")
-            .agg(F.count(F.lit(1)).alias("n_items"), F.min("ordinal").alias("first_ordinal")))
+    return catalog.select("name_lc", "ordinal", "path")
 
 
 def word_postings(catalog: DataFrame) -> DataFrame:
@@ -32,6 +30,12 @@ def word_postings(catalog: DataFrame) -> DataFrame:
 
 
 def word_index(catalog: DataFrame) -> DataFrame:
+    """``word, ordinal, path``: the items of each indexed word, one row per word and item (stored by
+    ``sources.tables.write_word_postings``)."""
+    return word_postings(catalog)
+
+
+def word_counts(catalog: DataFrame) -> DataFrame:
     """``word, doc_freq``: document frequency per indexed word (partial aggregation)."""
     return word_postings(catalog).groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq"))
 
