@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from findlake.llm import decontaminate, grading, jaccard, mixing, qualityrules, secrets, sharding, tokenfiles, toolchat, urlmodel
 from findlake.llm.common import table
+from findlake.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def op1_tool_chat(spark, sf_dir):
@@ -56,5 +57,3 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)}
-
-ORACLE_SQL: dict[str, str] = {}
