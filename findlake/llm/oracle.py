@@ -59,4 +59,49 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
   CAST(row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM cut"""
 
-ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": _JACCARD, "op5_decontaminate": _LEAKS, "op6_sharding": _SHARDS}
+_CHAT = r"""
+WITH RECURSIVE call AS (
+  SELECT conv_id, turn, turn // 2 AS k, text, len(string_split(coalesce(text, ''), ' ')) AS n,
+    CASE WHEN turn // 2 >= 1 THEN 2 * ((turn // 2 - 1) // 2) + turn % 2 END AS parent
+  FROM conversations WHERE role = 'user'),
+level AS (
+  SELECT c.conv_id, c.turn, 0 AS level FROM call c
+  WHERE NOT EXISTS (SELECT 1 FROM call p WHERE p.conv_id = c.conv_id AND p.turn = c.parent)
+  UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM call c JOIN level l ON l.conv_id = c.conv_id AND l.turn = c.parent),
+answer AS (SELECT conv_id, turn - 1 AS turn, turn AS own, text FROM conversations WHERE role = 'assistant'),
+filled AS (
+  SELECT c.*, l.level, a.turn IS NOT NULL AS answered, a.text AS result,
+    ['search', 'translate', 'summarise'][c.k % 3 + 1] AS tool, ['fr', 'de', 'es', 'en', 'it'][c.n % 5 + 1] AS lang,
+    c.parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM call p WHERE p.conv_id = c.conv_id AND p.turn = c.parent) AS lost
+  FROM call c JOIN level l ON l.conv_id = c.conv_id AND l.turn = c.turn
+  LEFT JOIN answer a ON a.conv_id = c.conv_id AND a.turn = c.turn),
+judged AS (
+  SELECT *, CASE tool WHEN 'search' THEN CASE WHEN n > 50 THEN 'range:limit' ELSE '' END
+    WHEN 'translate' THEN CASE WHEN lang = 'it' THEN 'enum:to' ELSE '' END
+    ELSE CASE WHEN n < 10 THEN 'missing:ratio' ELSE '' END END AS errors FROM filled),
+stated AS (
+  SELECT *, CASE WHEN errors <> '' THEN 'invalid' WHEN answered THEN 'ok' ELSE 'no_result' END AS status FROM judged),
+record AS (
+  SELECT conv_id, turn, 'call' AS kind, conv_id || '-' || turn AS call_id, level AS place, level, status, errors,
+    '{"arguments":{' || CASE tool WHEN 'search' THEN '"limit":' || n || ',"query":' || to_json(text)
+      WHEN 'translate' THEN '"text":' || to_json(text) || ',"to":"' || lang || '"'
+      ELSE CASE WHEN n >= 10 THEN '"ratio":' || CASE WHEN n = 10 THEN '1' ELSE CAST(10 / n AS VARCHAR) END || ',' ELSE '' END
+        || '"text":' || to_json(text) END
+    || '},"depends_on":[' || CASE WHEN parent IS NULL THEN '' ELSE '"' || conv_id || '-' || parent || '"' END
+    || '],"id":"' || conv_id || '-' || turn || '","missing":' || CAST(lost AS INTEGER) || ',"name":"' || tool || '",'
+    || CASE WHEN result IS NULL THEN '' ELSE '"result":' || to_json(result) || ',' END
+    || '"status":"' || status || '","type":"call"}' AS json
+  FROM stated
+  UNION ALL
+  SELECT conv_id, turn, 'message', NULL, -1, NULL, 'message', '',
+    '{"content":' || to_json(text) || ',"role":"' || role || '","type":"message"}'
+  FROM conversations WHERE role NOT IN ('user', 'assistant')
+  UNION ALL
+  SELECT a.conv_id, a.own, 'result', a.conv_id || '-' || a.turn, 1073741824, NULL, 'orphan', '',
+    '{"content":' || to_json(a.text) || ',"id":"' || a.conv_id || '-' || a.turn || '","status":"orphan","type":"result"}'
+  FROM answer a WHERE NOT EXISTS (SELECT 1 FROM call c WHERE c.conv_id = a.conv_id AND c.turn = a.turn))
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY place, turn, kind, call_id) - 1 AS BIGINT) AS position,
+  kind, call_id, CAST(level AS INTEGER) AS level, status, errors, json
+FROM record"""
+
+ORACLE_SQL: dict[str, str] = {"op1_tool_chat": _CHAT, "op4_jaccard_join": _JACCARD, "op5_decontaminate": _LEAKS, "op6_sharding": _SHARDS}
