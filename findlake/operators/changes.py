@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from findlake.functions import paths as P
 from findlake.functions import text as X
-from findlake.operators.catalog import CATALOG_COLUMNS, matching, with_item_columns
+from findlake.operators.catalog import CATALOG_COLUMNS, MAX_BROADCAST_KEY_BYTES, matching, with_item_columns
 from findlake.session import staged
 
 CREATE_STATUSES = ("created", "kept", "overwritten", "conflict", "missing", "invalid_name")
@@ -132,7 +132,11 @@ def apply_renames(catalog: DataFrame, plan: DataFrame) -> DataFrame:
     hits = (near.join(ok, "anc_key", "inner")
             .groupBy("path_key")
             .agg(F.map_from_entries(F.collect_list(F.struct("pos", "new_part"))).alias("renamed")))
-    cat = catalog.join(hits, "path_key", "left")
+    # Affected items are few unless a large folder is renamed: within the bound their map is broadcast, and the
+    # catalog is not shuffled.
+    hits = staged(hits, "moved")
+    size = hits.agg(F.sum(F.octet_length("path_key") + 300 * F.size("renamed"))).first()[0] or 0
+    cat = catalog.join(F.broadcast(hits) if size <= MAX_BROADCAST_KEY_BYTES else hits, "path_key", "left")
     new_parts = F.transform(parts, lambda p, i: F.coalesce(F.element_at(F.col("renamed"), i), p))
     moved = cat.withColumn("path", F.when(F.col("renamed").isNull(), F.col("path"))
                            .otherwise(F.array_join(new_parts, "/")))
