@@ -99,6 +99,18 @@ def split_by_filter(df: DataFrame, key, bitmap: DataFrame) -> tuple[DataFrame, D
     return (marked.where("_f_hit").select(*df.columns, "_f_key"), marked.where("not _f_hit").select(*df.columns))
 
 
+#: Most bytes in an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_BYTES``: both sides hold whole batches, some in several copies."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(str(spark.conf.get(setting, str(64 << 20))).rstrip("bB"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 #: A worker takes a batch's texts in slices of about this many bytes, whatever Spark's batch size.
 SLICE_BYTES = 8 << 20
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findlake.llm.common import slices, stored, utf8
+from findlake.llm.common import bounded_batches, slices, stored, utf8
 
 WINDOW = 10
 #: Most bytes of window text in one automaton (about thirty times that in a worker's memory).
@@ -140,6 +140,7 @@ def _scanner(broadcast, text_at: int, names: list[str], first: bool):
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """All columns of ``docs`` plus ``_d_words``, ``_d_ranges`` and ``_d_items`` of each whole text (null: no words)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     windows = stored(benchmark_windows(benchmark), "bench-windows")
     size = windows.agg(F.sum(F.length("window"))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))

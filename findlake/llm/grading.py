@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findlake.llm.common import slices, utf8
+from findlake.llm.common import bounded_batches, slices, utf8
 
 DIM = 1 << 18
 #: Bound of the training sample (rated documents); about 1 KB of features each reach the driver.
@@ -158,6 +158,7 @@ def _featured(batches):
 
 def fit(docs: DataFrame, grades: DataFrame, max_train: int = MAX_TRAIN) -> OrdinalModel:
     """Fit on the rated documents of ``docs`` (doc_id, text), at most ``max_train`` ids in hash order."""
+    bounded_batches(docs.sparkSession)
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     kind = docs.schema["doc_id"].dataType.simpleString()
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "grade").mapInArrow(

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findlake.llm.common import member_filter, slices, split_by_filter, stored, utf8
+from findlake.llm.common import bounded_batches, member_filter, slices, split_by_filter, stored, utf8
 
 N = 5
 FRAGMENTS = 4
@@ -273,6 +273,7 @@ def _class_components(sets: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, key, n, sig, component) of each row; n 0 has no sig."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     keyed = docs.select(F.col(key).alias("id"), F.col(text).alias("text"),
                         F.xxhash64(F.col(key), F.col(text)).alias("_j_key"))

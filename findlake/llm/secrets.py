@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from re import _parser as parser
 
-from findlake.llm.common import slices, utf8
+from findlake.llm.common import bounded_batches, slices, utf8
 
 #: Most alternatives that a run of exact text may expand to before the query is cut there.
 MOST_EXACT = 64
@@ -212,6 +212,7 @@ def scan_secrets(docs: DataFrame, rules=BASE_RULES + MORE_RULES, key: str = "doc
                          for one in find(utf8(batch.column(1)), rules)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS_ARROW)], ["id", "spans"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
         run, f"id {kind}, spans {_SPANS}").withColumnRenamed("id", key)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findlake.llm import rangecoder
-from findlake.llm.common import shared_path, slices, utf8
+from findlake.llm.common import bounded_batches, shared_path, slices, utf8
 
 END = 1
 #: Ids in a segment, at least (a document stays in one segment).
@@ -149,6 +149,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id",
 
     Files are Parquet containers of segment rows. ``tokenizer`` is a file of the tokenizers library that every worker can open.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findlake.llm.common import slices, stored
+from findlake.llm.common import bounded_batches, slices, stored
 
 ORDER = 5
 #: Buckets for the counts of one class; contexts and their continuations share them.
@@ -258,6 +258,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES)
     empty ones. Equal URLs get equal verdicts.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     parts = (pages.select(F.col(key).alias("id"), F.col(url).alias("url"))
              .withColumn("host", host_of("url")).withColumn("path", path_of("url"))
              .withColumn("rule", rule_of("host", "path", rules)))
