@@ -3,11 +3,12 @@
 URLs that a rule accepts or rejects train one smoothed variable-order Markov
 model each: every context of 0 to ``ORDER`` characters has counts, and a
 character's probability backs off through all of them (Witten-Bell weights).
-Spark sums the counts of all labelled URLs into tables of fixed size (contexts
-are hashed), so the model that scores all other URLs has a proven size. The
-score is the log-likelihood difference per character; its decision line comes
-from logistic calibration on URLs that the scoring model has not seen
-(two-fold, by URL).
+The counts of all labelled URLs are one Spark table, which grows with what the
+URLs hold: a row by context and by context with a character, told apart by a
+64-bit hash. URLs are scored in blocks; a block asks for its distinct rows in a
+join, so neither the driver nor a worker ever holds the table. The score is the
+log-likelihood difference per character; its decision line comes from logistic
+calibration on URLs that the scoring model has not seen (two-fold, by URL).
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from findlake.llm.common import bounded_batches, slices, stored
 
 ORDER = 5
-#: Buckets for the counts of one class; contexts and their continuations share them.
-BUCKETS = 1 << 17
+#: Bytes of URLs (one URL at least) that are scored together.
+BLOCK_BYTES = 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BINS, _SPAN = 2000, 10.0  # calibration histogram: scores -10 to 10
 
@@ -79,7 +82,7 @@ def _characters(urls: list[str]):
 
 
 def _hashed(urls: list[str]):
-    """For each scored character and order 0..ORDER: bucket of its context, and of the context with the character."""
+    """For each scored character and order 0..ORDER: key of its context, and of the context with the character."""
     chars, scored = _characters(urls)
     at = np.flatnonzero(scored)
     context = np.full(len(at), 0x51ED27, np.uint64)
@@ -90,10 +93,16 @@ def _hashed(urls: list[str]):
             context ^= context >> np.uint64(29)
         seed = (context + np.uint64(k)) * _MULT
         both = (seed ^ ((chars[at] + np.uint64(0x1F)) * np.uint64(0xD6E8FEB86659FD93))) * _MULT
-        pairs.append(((seed >> np.uint64(40)) % np.uint64(BUCKETS), (both >> np.uint64(40)) % np.uint64(BUCKETS)))
+        pairs.append((seed.view(np.int64), both.view(np.int64)))
     return pairs, at, chars
 
 
+def _distinct(pairs):
+    """``pairs`` once for each distinct longest context with its character, and the place of each position in them."""
+    _, first, place = np.unique(pairs[ORDER][1], return_index=True, return_inverse=True)
+    return [(context[first], both[first]) for context, both in pairs], place
+
+
 def _url_of(at: np.ndarray, chars: np.ndarray) -> np.ndarray:
     """The number of the URL of each scored position."""
     closed = np.cumsum(chars == 1)
@@ -101,16 +110,26 @@ def _url_of(at: np.ndarray, chars: np.ndarray) -> np.ndarray:
 
 
 class Markov:
-    """Counts of one class: ``total`` by context, ``kinds`` of continuations by context, ``seen`` by both."""
+    """Counts of one class by sorted key: ``n`` of a context or a context with a character, ``kinds`` of a context's continuations."""
 
-    def __init__(self, total, kinds, seen):
-        self.total, self.kinds, self.seen = total, kinds, seen
+    def __init__(self, n, kinds, keys):
+        self.n, self.kinds, self.keys = n, kinds, keys
+
+    def _found(self, keys):
+        """The places of ``keys``, and whether each is there."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return at, self.keys[at] == keys
 
     def log_probabilities(self, pairs) -> np.ndarray:
         p = np.full(len(pairs[0][0]), 1.0 / 256)
+        if not len(self.keys):
+            return np.log(p)
         for context, both in pairs:
-            total, kinds = self.total[context], np.maximum(self.kinds[context], np.float32(1))
-            p = (self.seen[both] + kinds * p) / (total + kinds)
+            at, known = self._found(context)
+            total, kinds = np.where(known, self.n[at], 0), np.maximum(np.where(known, self.kinds[at], 0), 1)
+            at, known = self._found(both)
+            p = (np.where(known, self.n[at], 0) + kinds * p) / (total + kinds)
         return np.log(p)
 
 
@@ -124,7 +143,8 @@ def ratios(urls: list[str], accepted: Markov, rejected: Markov) -> np.ndarray:
             size += len(urls[end])
             end += 1
         pairs, at, chars = _hashed(urls[start:end])
-        diff = accepted.log_probabilities(pairs) - rejected.log_probabilities(pairs)
+        few, place = _distinct(pairs)
+        diff = (accepted.log_probabilities(few) - rejected.log_probabilities(few))[place]
         of = _url_of(at, chars)
         out[start:end] = (np.bincount(of, diff, end - start) / np.bincount(of, minlength=end - start))
         start = end
@@ -133,49 +153,115 @@ def ratios(urls: list[str], accepted: Markov, rejected: Markov) -> np.ndarray:
 
 # --- Distributed counts ---
 
+_SIDES = [(f, r) for f in (0, 1) for r in (0, 1)]
+#: (model, class): models 0 and 1 count one fold each, model 2 both together; class 1 is rejected.
+_MODELS = [(g, r) for g in (0, 1, 2) for r in (0, 1)]
+
+
 def _count_batches(batches):
-    """(fold, rejected, tab, bucket, n): tab 0 counts contexts, 1 contexts with a character; 2 lists their pairs."""
+    """(fold, rejected, context, pair, n): the distinct contexts with a character of a slice of URLs."""
     for whole in batches:
         for batch in slices(whole, "url", 1 << 20):
             urls = np.array([u or "" for u in batch.column(0).to_pylist()], object)
             side = 2 * batch.column(1).to_numpy() + batch.column(2).to_numpy()
             for s in np.unique(side):
-                pairs, _, _ = _hashed(list(urls[side == s]))
-                context, both = (np.concatenate([p[i] for p in pairs]).astype(np.int64) for i in (0, 1))
-                for tab, keys in ((0, context), (1, both), (2, context << 20 | both)):
-                    bucket, n = np.unique(keys, return_counts=True)
-                    like = lambda x: pa.array(np.full(len(bucket), x, np.int32))  # noqa: E731, B023
-                    yield pa.RecordBatch.from_pydict({"fold": like(s // 2), "rejected": like(s % 2), "tab": like(tab),
-                                                      "bucket": pa.array(bucket), "n": pa.array(n.astype(np.int64))})
+                few, place = _distinct(_hashed(list(urls[side == s]))[0])
+                context, both = (np.concatenate([p[i] for p in few]) for i in (0, 1))
+                pair, first, of = np.unique(both, return_index=True, return_inverse=True)
+                n = np.bincount(of, np.tile(np.bincount(place), ORDER + 1)).astype(np.int64)
+                like = lambda x: pa.array(np.full(len(pair), x, np.int32))  # noqa: E731, B023
+                yield pa.RecordBatch.from_pydict({"fold": like(s // 2), "rejected": like(s % 2),
+                                                  "context": pa.array(context[first]), "pair": pa.array(pair),
+                                                  "n": pa.array(n)})
 
 
-def count_tables(labelled: DataFrame) -> dict:
-    """(group, rejected) -> (total, kinds, seen), arrays of BUCKETS counts over all of ``labelled`` (url, fold, rejected).
+def counts_of(labelled: DataFrame) -> DataFrame:
+    """(key, n<model><class>, k<model><class>) over all of ``labelled`` (url, fold, rejected).
 
-    Groups are the folds 0 and 1, and 2 for both together. The driver receives
-    one row of sums by table and bucket: at most 3 * BUCKETS, whatever the number of URLs.
+    One row by context (n: its characters, k: kinds of them) and one by context
+    with a character (n: how often). The table grows with the URLs' contexts.
     """
-    sides = [(f, r) for f in (0, 1) for r in (0, 1)]
-    counts = labelled.select("url", F.col("fold").cast("int"), F.col("rejected").cast("int")).mapInArrow(
-        _count_batches, "fold int, rejected int, tab int, bucket long, n long")
-    sums = counts.groupBy("tab", "bucket").agg(*[
+    found = labelled.select("url", F.col("fold").cast("int"), F.col("rejected").cast("int")).mapInArrow(
+        _count_batches, "fold int, rejected int, context long, pair long, n long")
+    pairs = stored(found.groupBy("context", "pair").agg(*[
         F.sum(F.when((F.col("fold") == f) & (F.col("rejected") == r), F.col("n")).otherwise(0)).alias(f"n{f}{r}")
-        for f, r in sides])
-    # A pair counts once, as one kind of continuation of its context.
-    pair = F.col("tab") == 2
-    own = {f"n{f}{r}": F.when(pair, (F.col(f"n{f}{r}") > 0).cast("long")).otherwise(F.col(f"n{f}{r}"))
-           for f, r in sides}
-    for r in (0, 1):
-        both = F.col(f"n0{r}") + F.col(f"n1{r}")
-        own[f"n2{r}"] = F.when(pair, (both > 0).cast("long")).otherwise(both)
-    sums = sums.select("tab", F.when(pair, F.shiftright("bucket", 20)).otherwise(F.col("bucket")).alias("at"),
-                       *[c.alias(k) for k, c in own.items()])
-    pdf = sums.groupBy("tab", "at").agg(*[F.sum(k).cast("float").alias(k) for k in own]).toPandas()
-    out = {(g, r): [np.zeros(BUCKETS, np.float32) for _ in range(3)] for g in (0, 1, 2) for r in (0, 1)}
-    for t, part in pdf.groupby("tab"):
-        for g, r in out:
-            out[g, r][(0, 2, 1)[t]][part["at"].to_numpy()] = part[f"n{g}{r}"].to_numpy()
-    return out
+        for f, r in _SIDES]), "url-pairs")
+    pairs = pairs.withColumns({f"n2{r}": F.col(f"n0{r}") + F.col(f"n1{r}") for r in (0, 1)})
+    contexts = pairs.groupBy(F.col("context").alias("key")).agg(
+        *[F.sum(f"n{g}{r}").alias(f"n{g}{r}") for g, r in _MODELS],
+        *[F.sum((F.col(f"n{g}{r}") > 0).cast("long")).alias(f"k{g}{r}") for g, r in _MODELS])
+    pairs = pairs.select(F.col("pair").alias("key"), *[f"n{g}{r}" for g, r in _MODELS],
+                         *[F.lit(0).cast("long").alias(f"k{g}{r}") for g, r in _MODELS])
+    return stored(contexts.unionByName(pairs), "url-counts")
+
+
+def _local(counts: DataFrame) -> dict:
+    """(model, class) -> (n, kinds, keys) of a whole table of counts, on the driver: for small ones only."""
+    pdf = counts.toPandas().sort_values("key")
+    column = lambda c: pdf[c].to_numpy()
+    return {(g, r): (column(f"n{g}{r}"), column(f"k{g}{r}"), column("key")) for g, r in _MODELS}
+
+
+def count_tables(labelled: DataFrame) -> dict:
+    """``counts_of`` a few URLs as the arguments of ``Markov`` by (model, class)."""
+    return _local(counts_of(labelled))
+
+
+# --- Distributed scores ---
+
+def _blocks(batches):
+    """The rows plus ``block``: rows of one model with about ``BLOCK_BYTES`` of URLs."""
+    block = TaskContext.get().partitionId() << 33
+    for whole in batches:
+        for batch in slices(whole, "url", BLOCK_BYTES):
+            model = batch.column(batch.schema.get_field_index("model")).to_numpy()
+            for m in np.unique(model):
+                own = batch.filter(pa.array(model == m))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(own.num_rows, block, np.int64))],
+                                                 [*own.schema.names, "block"])
+                block += 1
+
+
+def _asked(batches):
+    """(block, model, key): the distinct keys of a block's contexts, with and without their characters."""
+    for whole in batches:
+        for batch in slices(whole, "url", BLOCK_BYTES):
+            urls = np.array([u or "" for u in batch.column(0).to_pylist()], object)
+            model, block = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for b in np.unique(block):
+                few, _ = _distinct(_hashed(list(urls[block == b]))[0])
+                keys = np.unique(np.concatenate([k for p in few for k in p]))
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(keys), b, np.int64)),
+                                                  "model": pa.array(np.full(len(keys), model[block == b][0], np.int32)),
+                                                  "key": pa.array(keys)})
+
+
+def _block_scorer(kept: list[str]):
+    def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        key = counts["key"].to_numpy()
+        order = np.argsort(key)
+        models = [Markov(counts[f"n{r}"].to_numpy()[order], counts[f"k{r}"].to_numpy()[order], key[order])
+                  for r in (0, 1)]
+        score = ratios([u or "" for u in rows["url"].to_pylist()], *models)
+        return rows.select(kept).append_column("score", pa.array(score, pa.float64()))
+    return run
+
+
+def scored(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """The columns of ``urls`` but url and model (0 to 2: which counts), plus ``score``: the ratio of each URL.
+
+    A key that all URLs share is asked for once a block, not once a URL.
+    """
+    kept = [f for f in urls.schema.fields if f.name not in ("url", "model")]
+    blocks = stored(urls.mapInArrow(_blocks, T.StructType([*urls.schema.fields, T.StructField("block", T.LongType())])),
+                    "url-blocks")
+    asked = blocks.select("url", "model", "block").mapInArrow(_asked, "block long, model int, key long")
+    of = lambda c, r: F.element_at(F.array(*[f"{c}{g}{r}" for g in (0, 1, 2)]), F.col("model") + 1)
+    # Compressed files say little about the rows they give: never a broadcast here.
+    found = asked.hint("merge").join(counts, "key").select(
+        "block", "key", *[of(c, r).alias(f"{c}{r}") for c in "nk" for r in (0, 1)])
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+        _block_scorer([f.name for f in kept]), T.StructType([*kept, T.StructField("score", T.DoubleType())]))
 
 
 def calibrate(hist: np.ndarray) -> tuple[float, float]:
@@ -201,27 +287,20 @@ def calibrate(hist: np.ndarray) -> tuple[float, float]:
 class UrlModel:
     """A fitted filter; without URLs of both classes it is ``only`` a constant verdict."""
 
-    accepted: Markov | None = None
-    rejected: Markov | None = None
+    counts: DataFrame | None = None
     slope: float = 1.0
     offset: float = 0.0
     only: str | None = None
 
+    @property
+    def accepted(self) -> Markov:
+        """The accepted URLs' model, brought to the driver: for small ones only."""
+        return Markov(*_local(self.counts)[2, 0])
 
-def _scorer(broadcast, columns: int):
-    def run(batches):
-        models = broadcast.value
-        for whole in batches:
-            for batch in slices(whole, "url", 1 << 20):
-                urls = [u or "" for u in batch.column(0).to_pylist()]
-                fold = batch.column(1).to_numpy()
-                score = np.zeros(len(urls))
-                for f in np.unique(fold):
-                    own = np.flatnonzero(fold == f)
-                    score[own] = ratios([urls[i] for i in own], *models[f])
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:2 + columns], pa.array(score)],
-                                                 [*batch.schema.names[2:2 + columns], "score"])
-    return run
+    @property
+    def rejected(self) -> Markov:
+        """The rejected URLs' model, brought to the driver: for small ones only."""
+        return Markov(*_local(self.counts)[2, 1])
 
 
 def fit(labelled: DataFrame) -> UrlModel:
@@ -229,24 +308,21 @@ def fit(labelled: DataFrame) -> UrlModel:
 
     With URLs of one class only, or none, the model gives that class (none: allow) for every URL.
     """
-    spark = labelled.sparkSession
     data = labelled.select(F.coalesce("url", F.lit("")).alias("url"), F.col("rejected").cast("int").alias("rejected"))
+    classes = {r["rejected"] for r in data.select("rejected").distinct().collect()}
+    if len(classes) < 2:
+        return UrlModel(only="block" if classes == {1} else "allow")
     data = data.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(2)).cast("int"))
-    tables = count_tables(data)
-    if not all(tables[2, r][0].any() for r in (0, 1)):
-        return UrlModel(only="block" if tables[2, 1][0].any() else "allow")
-    models = {g: tuple(Markov(*tables[g, r]) for r in (0, 1)) for g in (0, 1, 2)}
+    counts = counts_of(data)
     # Each fold is scored by the other's counts.
-    broadcast = spark.sparkContext.broadcast({0: models[1], 1: models[0]})
-    scored = data.select("url", "fold", "rejected").mapInArrow(_scorer(broadcast, 1), "rejected int, score double")
+    found = scored(data.select("url", (1 - F.col("fold")).alias("model"), "rejected"), counts)
     width = 2 * _SPAN / _BINS
     bin_ = F.least(F.lit(_BINS - 1), F.greatest(F.lit(0), F.floor((F.col("score") + _SPAN) / width))).cast("int")
     hist = np.zeros((2, _BINS))
-    for row in scored.groupBy("rejected", bin_.alias("bin")).count().collect():
+    for row in found.groupBy("rejected", bin_.alias("bin")).count().collect():
         hist[row["rejected"], row["bin"]] = row["count"]
-    broadcast.destroy()
     slope, offset = calibrate(hist)
-    return UrlModel(*models[2], slope, offset)
+    return UrlModel(counts, slope, offset)
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
@@ -273,11 +349,8 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES)
     if model.only:
         judged = rest.withColumn("verdict", F.lit(model.only)).withColumn("score", F.lit(None).cast("double"))
     else:
-        broadcast = spark.sparkContext.broadcast({0: (model.accepted, model.rejected)})
-        kind = parts.schema["id"].dataType.simpleString()
-        judged = rest.select(F.coalesce("url", F.lit("")).alias("url"), F.lit(0).alias("fold"), "id", "host", "path",
-                             "rule").mapInArrow(_scorer(broadcast, 4),
-                                                f"id {kind}, host string, path string, rule string, score double")
+        judged = scored(rest.select(F.coalesce("url", F.lit("")).alias("url"), F.lit(2).alias("model"), "id", "host",
+                                    "path", "rule"), model.counts)
         judged = judged.withColumn("score", F.col("score") * model.slope + model.offset).withColumn(
             "verdict", F.when(F.col("score") >= 0, F.lit("allow")).otherwise(F.lit("block")))
     return ruled.select(*names).unionByName(judged.select(*names)).withColumnRenamed("id", key)

@@ -106,3 +106,23 @@ def test_query_covers_all_pages(spark):
         host, path = parts(pages[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule(host, path))
         assert r.verdict == VERDICT.get(r.rule, r.verdict)
+
+
+def test_scores_are_exact_beyond_a_fixed_table(spark):
+    """More contexts than 2^17 buckets would tell apart: both forms of the scores are those of exact dictionaries."""
+    rng = random.Random(11)
+    make = lambda host: f"http://{host}/" + "".join(chr(rng.randrange(33, 1500)) for _ in range(60))
+    good, bad = [make("a.com") for _ in range(600)], [make("b.net") for _ in range(600)]
+    labelled = spark.createDataFrame([(u, i % 2, int(i >= 600)) for i, u in enumerate(good + bad)],
+                                     "url string, fold int, rejected int")
+    urls = [good[0], make("b.net"), ""]
+    want = {g: [exact_log_probability(a, u) - exact_log_probability(b, u) for u in urls]
+            for g, a, b in ((0, good[::2], bad[::2]), (2, good, bad))}
+    t = U.count_tables(labelled)
+    for g in want:
+        assert np.allclose(U.ratios(urls, U.Markov(*t[g, 0]), U.Markov(*t[g, 1])), want[g], atol=1e-9)
+    counts = U.counts_of(labelled)
+    assert counts.count() > 1 << 17
+    rows = spark.createDataFrame([(u, g, i, g) for i, u in enumerate(urls) for g in want], "url string, model int, i int, g int")
+    for r in U.scored(rows, counts).collect():
+        assert math.isclose(r.score, want[r.g][r.i], abs_tol=1e-9)
