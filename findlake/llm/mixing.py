@@ -13,6 +13,7 @@ hash order.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from findlake.llm.common import WORD, ranked_within, stored
 
 CAP = 3
-MAX_NEWTON = 60
 _UNIT = 1 << 20
 
 
@@ -60,7 +60,10 @@ def tilts(hist: DataFrame, targets: DataFrame) -> DataFrame:
     """``targets`` plus ``lam`` and ``mean``: the dual's solution by distributed, safeguarded Newton steps.
 
     ``hist`` has (no_source, source, size, n). A source of no words keeps lam 0;
-    one whose target is cap times its size takes every document cap times.
+    one whose target is cap times its size takes every document cap times. The
+    steps solve log(words) = log(target) and go on until every source meets its
+    target: each eighth halves the bracket, or while the root has no bracket
+    goes a reach that doubles from step to step, so they end.
     """
     spark = hist.sparkSession
     hist = hist.where("size > 0").select(F.col("no_source").alias("h_no"), F.col("source").alias("h_source"),
@@ -76,9 +79,14 @@ def tilts(hist: DataFrame, targets: DataFrame) -> DataFrame:
              .withColumn("lo", F.lit(None).cast("double")).withColumn("hi", F.lit(None).cast("double"))
              .withColumn("done", F.col("docs").isNull() | F.col("full")))
     state = stored(state, "mix-newton")
-    for _ in range(MAX_NEWTON):
-        if not state.where(~F.col("done")).limit(1).count():
+    for nth in itertools.count():
+        stuck = ~((F.col("lam") > F.coalesce("lo", F.lit(-math.inf))) & (F.col("lam") < F.coalesce("hi", F.lit(math.inf))))
+        left = state.where(~F.col("done")).agg(F.count("*").alias("n"), F.max(F.when(stuck, F.col("source"))).alias("at")).first()
+        if left["at"] is not None:
+            raise ArithmeticError(f"no tilt brings source {left['at']!r} to its target")
+        if not left["n"]:
             break
+        reach = F.lit(2.0 ** min(nth, 1000))
         rate = _rate("lam", "size")
         exact = lambda e: f"sum(cast(floor({e} * {_UNIT}) as decimal(38,0)))"
         sums = (hist.join(state.select("no_source", "source", "lam", "mean", "done").where(~F.col("done")), on)
@@ -91,12 +99,16 @@ def tilts(hist: DataFrame, targets: DataFrame) -> DataFrame:
                 .withColumn("ok", F.col("done") | (F.abs("f") <= F.greatest(F.lit(0.25), 1e-9 * F.col("target"))))
                 .withColumn("lo2", F.when(F.col("ok") | (F.col("f") > 0), F.col("lo")).otherwise(F.col("lam")))
                 .withColumn("hi2", F.when(F.col("ok") | (F.col("f") <= 0), F.col("hi")).otherwise(F.col("lam")))
-                .withColumn("raw", F.col("lam") - F.greatest(F.lit(-1.0), F.least(
-                    F.lit(1.0), F.when(F.col("slope") > 0, F.col("f") / F.col("slope")).otherwise(F.signum("f"))))))
+                .withColumn("words", F.col("g").cast("double") / _UNIT)
+                .withColumn("newton", F.log(F.col("words") / F.col("target")) * F.col("words") / F.col("slope"))
+                # Null: no slope to go by, or a round that must narrow the bracket.
+                .withColumn("raw", F.when((F.col("slope") > 0) & (F.col("words") > 0) & F.lit(nth % 8 != 7),
+                                          F.col("lam") - F.greatest(-reach, F.least(reach, F.col("newton"))))))
         inside = ((F.col("lo2").isNull() | (F.col("raw") > F.col("lo2")))
                   & (F.col("hi2").isNull() | (F.col("raw") < F.col("hi2"))))
-        new = (F.when(F.col("ok"), F.col("lam")).when(inside, F.col("raw"))
-               .otherwise((F.coalesce("lo2", F.col("hi2") - 2) + F.coalesce("hi2", F.col("lo2") + 2)) / 2))
+        safe = (F.when(F.col("lo2").isNull(), F.col("hi2") - reach).when(F.col("hi2").isNull(), F.col("lo2") + reach)
+                .otherwise((F.col("lo2") + F.col("hi2")) / 2))
+        new = F.when(F.col("ok"), F.col("lam")).when(inside, F.col("raw")).otherwise(safe)
         keep = [c for c in state.columns if c not in ("lam", "lo", "hi", "done")]
         state = stored(step.select(*keep, new.alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"),
                                    F.col("ok").alias("done")), "mix-newton")
@@ -126,10 +138,12 @@ def _nudged(copies: list[int], sizes: list[int], n: list[int], owed: float) -> l
 def _copies_by_size(rows: pd.DataFrame) -> pd.DataFrame:
     """Whole copies for each size class of one source, largest size first, carrying the rounding error on.
 
-    A class also leaves no more words to take than the smaller classes can give, and none too many taken.
+    Errors count from the target itself. A class also leaves no more words to
+    take than the smaller classes can give, and none too many taken.
     """
     rows = rows.sort_values("size", ascending=False)
-    owed, left, words, out = 0.0, rows["want"].sum(), (rows["size"] * rows["n"]).sum(), []
+    left = float(rows["target"].iloc[0])
+    owed, words, out = left - rows["want"].sum(), (rows["size"] * rows["n"]).sum(), []
     for size, n, want in zip(rows["size"], rows["n"], rows["want"]):
         owed += want
         words -= size * n

@@ -2,6 +2,8 @@ import math
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from findlake.llm.mixing import mix_copies, mixed
 from findlake.llm.queries import op9_mixing
 
@@ -71,3 +73,13 @@ def test_tilt_is_exponential_in_size(spark):
     assert rate[10] > rate[100]
     # log rate is proportional to size
     assert math.isclose(math.log(rate[100]) / math.log(rate[10]), 10, rel_tol=0.2)
+
+
+def test_heavy_tailed_source_of_a_small_target(spark):
+    """The tilt of a source that shrinks to a thousandth lies far from where the steps start."""
+    sizes = np.maximum(20, 30 * np.exp(2.5 * np.random.default_rng(3).normal(size=4000))).astype(int).tolist()
+    docs = [(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(9, "w " * int(0.4995 * sum(sizes)), "b")]
+    rows = mix_copies(spark.createDataFrame([(*d, "", 0) for d in docs], SCHEMA), weights=(1, 10**7)).collect()
+    target = next(r.target for r in rows if r.source == "a")
+    assert 0.0005 < target / sum(sizes) < 0.002
+    assert abs(sum(r.copies * r["size"] for r in rows if r.source == "a") - target) <= 10
