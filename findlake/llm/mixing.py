@@ -169,13 +169,19 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), key: str =
     rows of their own; an empty table gives no rows. The per-source steps see
     one row per distinct size, never the documents.
     """
+    return _copies(docs, weights, key, text, source).drop("_m_hash")
+
+
+def _copies(docs: DataFrame, weights: tuple[int, ...], key: str = "doc_id", text: str = "text",
+            source: str = "source") -> DataFrame:
+    """``mix_copies`` plus ``_m_hash``, the text's hash."""
     narrow = docs.select(
         F.col(key).alias("key"), F.col(source).isNull().alias("no_source"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(key)).alias("h"))
+        F.xxhash64(F.col(key)).alias("h"), F.xxhash64(F.col(text)).alias("t"))
     group = ["no_source", "source", "size"]
-    ranked = stored(ranked_within(narrow, group, ["h", "key"], "rank", "mix-rows"), "mix-ranked")
+    ranked = stored(ranked_within(narrow, group, ["h", "key", "t"], "rank", "mix-rows"), "mix-ranked")
     hist = stored(ranked.groupBy(*group).agg(F.count("*").alias("n")), "mix-sizes")
     sources = hist.groupBy("no_source", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     found = tilts(hist, source_targets(sources, weights))
@@ -189,21 +195,27 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), key: str =
     copies = F.expr("class_copies div n + if(rank < class_copies % n, 1, 0)").cast("long")
     return (ranked.join(quota, [F.col(c) == F.col(f"q_{c}") for c in group])
             .select(F.col("key").alias(key), F.when(~F.col("no_source"), F.col("source")).alias(source), "size",
-                    "source_size", "target", copies.alias("copies")))
+                    "source_size", "target", copies.alias("copies"), F.col("t").alias("_m_hash")))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The documents of the mix, each repeated by its copies, with the columns of ``docs``.
 
-    Rows that agree in doc_id, source and size share their copies evenly,
-    rounded down.
+    Rows that agree in doc_id, source and text share their copies evenly; what
+    is left over goes to the first of them, one copy each.
     """
-    copies = (mix_copies(docs, weights).groupBy("doc_id", "source", "size")
-              .agg((F.sum("copies") / F.count("*")).cast("int").alias("_m_copies")).where("_m_copies > 0")
-              .select(F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"),
-                      F.col("size").alias("_m_size"), "_m_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    by = ["_m_id", "_m_source", "_m_hash"]
+    shares = (_copies(docs, weights)
+              .groupBy(F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"), "_m_hash")
+              .agg(F.sum("copies").alias("_m_all"), F.count("*").alias("_m_rows")).where("_m_all > 0"))
+    shares = stored(shares, "mix-shares")
     on = (docs["doc_id"].eqNullSafe(F.col("_m_id")) & docs["source"].eqNullSafe(F.col("_m_source"))
-          & (size == F.col("_m_size")))
-    return (docs.join(copies, on).withColumn("_m_i", F.explode(F.sequence(F.lit(1), F.col("_m_copies"))))
+          & (F.xxhash64("text") == F.col("_m_hash")))
+    even, odd = shares.where("_m_all % _m_rows = 0"), shares.where("_m_all % _m_rows != 0")
+    taken = docs.join(even, on).withColumn("_m_copies", F.expr("_m_all div _m_rows")).select(*docs.columns, "_m_copies")
+    if odd.limit(1).count():
+        numbered = ranked_within(docs.join(odd, on), by, [], "_m_nth", "mix-alike")
+        more = numbered.withColumn("_m_copies", F.expr("_m_all div _m_rows + if(_m_nth < _m_all % _m_rows, 1, 0)"))
+        taken = taken.unionByName(more.where("_m_copies > 0").select(*docs.columns, "_m_copies"))
+    return (taken.withColumn("_m_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies"))))
             .select(*docs.columns))

@@ -83,3 +83,18 @@ def test_heavy_tailed_source_of_a_small_target(spark):
     target = next(r.target for r in rows if r.source == "a")
     assert 0.0005 < target / sum(sizes) < 0.002
     assert abs(sum(r.copies * r["size"] for r in rows if r.source == "a") - target) <= 10
+
+
+def test_rows_alike_lose_no_copies(spark):
+    """Rows without an id, of one text or of texts of one size, get between them all the copies they were given."""
+    docs = [(None, "a b", "a")] * 50 + [(None, f"a {i}", "a") for i in range(50)] + [(3, "c d e", "a")] * 7
+    docs += [(9, "w " * 80, "b")]
+    df = spark.createDataFrame([(*d, "", 0) for d in docs], SCHEMA)
+    copies = defaultdict(int)
+    for r in mix_copies(df, weights=(1, 10**7)).collect():
+        copies[r.doc_id, r.source, r["size"]] += r.copies
+    out = defaultdict(int)
+    for r in mixed(df, weights=(1, 10**7)).collect():
+        out[r.doc_id, r.source, len(r.text.split())] += 1
+    assert dict(out) == {k: n for k, n in copies.items() if n}
+    assert 0 < sum(n for k, n in copies.items() if k[0] is None) < 100
