@@ -152,20 +152,23 @@ def _featured(batches):
             text, weight = features(utf8(batch.column(0)))
             cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
             rows = [weight[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.binary())],
-                                             ["doc_id", "grade", "weights"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(rows, pa.binary())],
+                                             ["doc_id", "grade", "at", "weights"])
 
 
 def fit(docs: DataFrame, grades: DataFrame, max_train: int = MAX_TRAIN) -> OrdinalModel:
-    """Fit on the rated documents of ``docs`` (doc_id, text), at most ``max_train`` ids in hash order."""
+    """Fit on the rated documents of ``docs`` (doc_id, text), at most ``max_train`` ids in hash order.
+
+    Of rows that repeat an id only the first text in hash order counts, and reaches the driver.
+    """
     bounded_batches(docs.sparkSession)
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "grade").mapInArrow(
-        _featured, f"doc_id {kind}, grade int, weights binary")
-    rows = sample.toPandas().sort_values(["doc_id", "grade"], kind="stable")
-    # Rows that repeat an id cannot outgrow the bound.
-    rows = rows.drop_duplicates("doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+        "text", "doc_id", "grade", F.xxhash64("text").alias("at")).mapInArrow(
+        _featured, f"doc_id {kind}, grade int, at long, weights binary")
+    one = sample.groupBy("doc_id").agg(F.min(F.struct("grade", "at", "weights")).alias("row"))
+    rows = one.select("doc_id", "row.grade", "row.weights").toPandas().sort_values("doc_id", kind="stable")
     if not len(rows):
         return OrdinalModel(None, np.zeros(GRADES - 1))
     parts = [np.frombuffer(x, "<i4") for x in rows["weights"]]

@@ -96,3 +96,15 @@ def test_bounded_sample_generalises(spark):
     clean = np.mean([got[r.doc_id] for r in rest if r.quality == 1 and r.toxic == 0])
     toxic = np.mean([got[r.doc_id] for r in rest if r.toxic == 1])
     assert clean >= 0.95 and toxic <= 0.5
+
+
+def test_rows_of_one_id_reach_the_driver_once(spark, monkeypatch):
+    """A rated id of many texts is one document of the sample, the same whatever the order of rows."""
+    rows, labels = corpus(60, 4)
+    rows += [(1, f"{WORDS[i]} {WORDS[-i]}", "x", 0.5) for i in range(80)]
+    docs, grades = spark.createDataFrame(rows, SCHEMA), G.grades_of(spark.createDataFrame(labels, LABELS))
+    got, whole = [], type(docs).toPandas
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: got.append(whole(self)) or got[-1])
+    models = [G.fit(d, grades, 20_000) for d in (docs, spark.createDataFrame(rows[::-1], SCHEMA))]
+    assert [len(g) for g in got] == [60, 60]
+    assert np.array_equal(models[0].weights, models[1].weights)
