@@ -104,4 +104,14 @@ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY place, tur
   kind, call_id, CAST(level AS INTEGER) AS level, status, errors, json
 FROM record"""
 
-ORACLE_SQL: dict[str, str] = {"op1_tool_chat": _CHAT, "op4_jaccard_join": _JACCARD, "op5_decontaminate": _LEAKS, "op6_sharding": _SHARDS}
+_LINES = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+line AS (SELECT r, doc_id, text, i, x[i] AS line, translate(trim(x[i], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+  '{_UPPER}', '{_UPPER.lower()}') AS k FROM docs, generate_series(1, len(x)) g(i)),
+often AS (SELECT k FROM line WHERE k <> '' GROUP BY k HAVING count(DISTINCT (doc_id, text)) >= 10)
+SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines, count(o.k) AS n_dropped,
+  sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (o.k IS NULL), '')) AS kept_sha256
+FROM line l LEFT JOIN often o ON o.k = l.k GROUP BY l.r"""
+
+ORACLE_SQL: dict[str, str] = {"op1_tool_chat": _CHAT, "op4_jaccard_join": _JACCARD, "op5_decontaminate": _LEAKS,
+                              "op6_sharding": _SHARDS, "op13_line_dedup": _LINES}

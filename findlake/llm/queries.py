@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findlake.llm import decontaminate, grading, jaccard, mixing, qualityrules, secrets, sharding, tokenfiles, toolchat, urlmodel
+from findlake.llm import (decontaminate, grading, jaccard, linededup, mixing, qualityrules, secrets, sharding, tokenfiles,
+                          toolchat, urlmodel)
 from findlake.llm.common import table
 from findlake.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -56,4 +57,9 @@ def op10_quality_rules(spark, sf_dir):
         "posterior")
 
 
+def op13_line_dedup(spark, sf_dir):
+    kept = linededup.kept_texts(table(spark, sf_dir, "documents"), min_docs=10, keep_first=False)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)}
