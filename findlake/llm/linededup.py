@@ -91,7 +91,8 @@ def _with_runs(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _to_drops(df: DataFrame, drops: DataFrame) -> DataFrame:
-    lost = drops.select(F.col("id").alias("drop_id"), F.col("t").alias("drop_t"), "gone")
+    """Left join by document; a merge join at every size, since the drops grow with the documents."""
+    lost = drops.hint("merge").select(F.col("id").alias("drop_id"), F.col("t").alias("drop_t"), "gone")
     return df.join(lost, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("t") == F.col("drop_t")), "left")
 
 
