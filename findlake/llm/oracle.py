@@ -113,5 +113,27 @@ SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines, count(o.k) AS n_dropp
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (o.k IS NULL), '')) AS kept_sha256
 FROM line l LEFT JOIN often o ON o.k = l.k GROUP BY l.r"""
 
+_PHRASES = rf"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLDED}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+word AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+gram AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS s, w[i:i + k - 1] AS x
+  FROM word, (VALUES (1), (2), (3)) t(k), generate_series(1, len(w) - k + 1) g(i)),
+f AS MATERIALIZED (SELECT lang, k, s, any_value(x) AS x, count(*) AS n FROM gram GROUP BY lang, k, s),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE k > 1 AND n >= 10),
+part AS MATERIALIZED (SELECT c.lang, c.s, c.k, c.n AS a, j, array_to_string(c.x[1:j], ' ') AS u, array_to_string(c.x[j + 1:], ' ') AS v
+  FROM cand c, generate_series(1, c.k - 1) g(j)),
+head AS MATERIALIZED (SELECT p.*, f.n AS l FROM part p JOIN f ON f.lang = p.lang AND f.s = p.u),
+cut AS (SELECT p.*, f.n AS r, (CAST(1000000 AS HUGEINT) * p.a * p.a) // (CAST(p.l AS HUGEINT) * f.n) AS score
+  FROM head p JOIN f ON f.lang = p.lang AND f.s = p.v),
+worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, j) = 1),
+inside AS (SELECT lang, unnest([array_to_string(x[1:2], ' '), array_to_string(x[2:3], ' ')]) AS s, n FROM cand WHERE k = 3),
+most AS (SELECT lang, s, max(n) AS n FROM inside GROUP BY lang, s),
+kept AS (SELECT w.* FROM worst w LEFT JOIN most m ON m.lang = w.lang AND m.s = w.s AND w.k = 2
+  WHERE m.n IS NULL OR 100 * m.n < 50 * w.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY k.score DESC, k.a DESC, k.s) AS rank, k.s AS phrase, k.a, k.l, k.r,
+  CAST(t.n AS BIGINT) AS n, CAST(k.score AS BIGINT) AS score
+FROM kept k JOIN total t ON t.lang = k.lang QUALIFY rank <= 2000"""
+
 ORACLE_SQL: dict[str, str] = {"op1_tool_chat": _CHAT, "op4_jaccard_join": _JACCARD, "op5_decontaminate": _LEAKS,
-                              "op6_sharding": _SHARDS, "op13_line_dedup": _LINES}
+                              "op6_sharding": _SHARDS, "op11_collocations": _PHRASES, "op13_line_dedup": _LINES}
