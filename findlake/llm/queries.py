@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from findlake.llm import (collocations, decontaminate, grading, jaccard, linededup, mixing, qualityrules, secrets, sharding,
-                          tokenfiles, toolchat, urlmodel)
+from findlake.llm import (collocations, convrepair, decontaminate, grading, jaccard, linededup, mixing, qualityrules,
+                          secrets, sharding, tokenfiles, toolchat, urlmodel)
 from findlake.llm.common import table
 from findlake.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -61,6 +61,11 @@ def op11_collocations(spark, sf_dir):
     return collocations.top_collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    convs = table(spark, sf_dir, "conversations")
+    return convrepair.digest(convs, *convrepair.repaired(convrepair.damaged(convs)))
+
+
 def op13_line_dedup(spark, sf_dir):
     kept = linededup.kept_texts(table(spark, sf_dir, "documents"), min_docs=10, keep_first=False)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
