@@ -26,6 +26,8 @@ from findlake.llm.common import bounded_batches, slices, stored, utf8
 from findlake.operators.topn import top_n_per_group
 
 UNKNOWN = "und"
+#: A language's block closes at about so many bytes of texts; the open blocks of a task hold so many together.
+BLOCK_BYTES, OPEN_BYTES = 8 << 20, 24 << 20
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z to a-z, the ends of pieces to line feeds, tabs to spaces.
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + _ENDS + b"\t", bytes(range(97, 123)) + b"\n" * len(_ENDS) + b" ")
@@ -84,20 +86,31 @@ def _write_words(batches):
     block = TaskContext.get().partitionId() << 32
     schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("places", pa.binary()),
                         ("items", pa.binary()), ("words", pa.list_(pa.string()))])
+
+    def row(lang):
+        nonlocal block
+        places, items, words = occurrences(held.pop(lang)[0])
+        if len(places):
+            names = pa.array(words, pa.binary()).cast(pa.string())
+            listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), names)
+            block += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], kind) for x, kind in zip((block, lang, len(places), *_packed(places, items)),
+                                                       schema.types)] + [listed], schema=schema)
+
+    held: dict[str, tuple[list[bytes], int]] = {}  # the texts of each language's open block, and their bytes
     for whole in batches:
-        for batch in slices(whole, "text"):
-            by = defaultdict(list)
+        for batch in slices(whole, "text", 1 << 20):
             for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                by[lang].append(text)
-            for lang, texts in sorted(by.items()):
-                places, items, words = occurrences(texts)
-                if len(places):
-                    names = pa.array(words, pa.binary()).cast(pa.string())
-                    listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), names)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x], kind) for x, kind in zip((block, lang, len(places), *_packed(places, items)),
-                                                               schema.types)] + [listed], schema=schema)
-                    block += 1
+                texts, size = held.get(lang, ([], 0))
+                texts.append(text)
+                held[lang] = texts, size + len(text)
+            for lang in sorted(k for k, (_, size) in held.items() if size >= BLOCK_BYTES):
+                yield from row(lang)
+            while sum(size for _, size in held.values()) >= OPEN_BYTES:
+                yield from row(max(held, key=lambda k: (held[k][1], k)))
+    for lang in sorted(held):
+        yield from row(lang)
 
 
 def _word_groups(batches):
