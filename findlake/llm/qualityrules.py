@@ -9,6 +9,7 @@ probability of good quality replaces "every rule must pass".
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,11 @@ def _with_parts(df: DataFrame, rules: list[str], share: dict, p: dict) -> DataFr
     return out.select(*df.columns, *[(F.col(f"_e_{z}") / total).alias(f"part_{z}") for z in kinds])
 
 
+def _probability(x: float) -> float:
+    """``x`` to nine significant digits, away from 0 and 1, whose logarithms count for any number of votes."""
+    return min(max(float(f"{x:.9g}"), 1e-9), 1 - 1e-9)
+
+
 def fit_accuracies(votes: DataFrame, rules: list[str]) -> tuple[dict, dict]:
     """({kind: share of documents}, {(rule, kind): probability of a bad vote given that the rule votes}).
 
@@ -149,10 +155,10 @@ def fit_accuracies(votes: DataFrame, rules: list[str]) -> tuple[dict, dict]:
             break
         at = lambda k, v, z: sums[k, v][z] if (k, v) in sums else 0.0  # noqa: E731, B023
         size = {z: sum(at(0, v, z) for v in (-1, 0, 1)) + 1e-3 for z in kinds}
-        share = {z: round(size[z] / sum(size.values()), 12) for z in kinds}
+        share = {z: _probability(size[z] / sum(size.values())) for z in kinds}
         for k, r in enumerate(rules):
             for z in kinds:
-                p[r, z] = round((at(k, -1, z) + 0.05) / (at(k, -1, z) + at(k, 1, z) + 1), 9)
+                p[r, z] = _probability((at(k, -1, z) + 0.05) / (at(k, -1, z) + at(k, 1, z) + 1))
             p[r, r] = max(p[r, r], 0.5)
             for z in rules:
                 p[r, z] = max(p[r, z], p[r, GOOD])
@@ -161,6 +167,8 @@ def fit_accuracies(votes: DataFrame, rules: list[str]) -> tuple[dict, dict]:
         if last and max(abs(a - b) for a, b in zip(now, last)) < 1e-3:
             break
         last = now
+    else:
+        warnings.warn(f"expectation-maximisation still moves after {MAX_EM} steps", stacklevel=2)
     return share, p
 
 
