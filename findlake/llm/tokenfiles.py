@@ -12,7 +12,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findlake.llm import rangecoder
@@ -193,13 +193,18 @@ def _decoded(batch, kind):
             ["part", "segment", "key", "at", "n_tokens", "ids"])
 
 
-def read_files(spark, path: str, key: str = "doc_id") -> DataFrame:
+def read_files(spark, path: str, key: str = "doc_id", ids: Column | None = None) -> DataFrame:
     """One row per document of the files: key, start (ids of all documents before it), n_tokens (END included) and ids
-    (little-endian 32-bit words). A block that does not match its checksum raises ``CorruptBlock``."""
+    (little-endian 32-bit words). A block that does not match its checksum raises ``CorruptBlock``.
+
+    ``ids``, an expression over the ids that takes their place, is evaluated where the ids are read: they do not move then.
+    """
     segments = spark.read.parquet(path)
     kind = segments.schema["keys"].dataType.elementType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     docs = segments.mapInArrow(_read_segments(arrow), f"part int, segment int, key {kind}, at long, n_tokens long, ids binary")
+    own = F.col("ids") if ids is None else ids
+    docs = docs.select("part", "segment", "key", "at", "n_tokens", own)
     sizes = segments.select("part", "segment", "n_tokens")
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     files = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per file
@@ -208,12 +213,11 @@ def read_files(spark, path: str, key: str = "doc_id") -> DataFrame:
                           F.coalesce(F.sum("n_tokens").over(before("part", "segment")), F.lit(0)).alias("s0"))
     offsets = inside.join(files, F.col("sp") == F.col("fp")).select("sp", "ss", (F.col("s0") + F.col("f0")).alias("base"))
     return docs.join(offsets, (F.col("part") == F.col("sp")) & (F.col("segment") == F.col("ss"))).select(
-        F.col("key").alias(key), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+        F.col("key").alias(key), (F.col("base") + F.col("at")).alias("start"), "n_tokens", docs.columns[-1])
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row per document, from files just written: doc_id, start, n_tokens, ids_crc32 (unsigned)."""
     path = shared_path(docs.sparkSession, "token-files")
     write_files(docs, tokenizer, path)
-    back = read_files(docs.sparkSession, path)
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_files(docs.sparkSession, path, ids=F.crc32("ids").alias("ids_crc32"))
