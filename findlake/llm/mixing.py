@@ -88,7 +88,8 @@ def tilts(hist: DataFrame, targets: DataFrame) -> DataFrame:
             break
         reach = F.lit(2.0 ** min(nth, 1000))
         rate = _rate("lam", "size")
-        exact = lambda e: f"sum(cast(floor({e} * {_UNIT}) as decimal(38,0)))"
+        # Not by floor(), whose BIGINT would saturate from 8.8e12 words of a class.
+        exact = lambda e: f"sum(cast({e} * {_UNIT} as decimal(38,0)))"
         sums = (hist.join(state.select("no_source", "source", "lam", "mean", "done").where(~F.col("done")), on)
                 .groupBy("h_no", "h_source")
                 .agg(F.expr(exact(f"{rate} * size * n")).alias("g"),
@@ -169,53 +170,74 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), key: str =
     rows of their own; an empty table gives no rows. The per-source steps see
     one row per distinct size, never the documents.
     """
-    return _copies(docs, weights, key, text, source).drop("_m_hash")
+    ranked, quota = _classes(docs, weights, key, text, source)
+    quota = quota.select(*[F.col(c).alias(f"q_{c}") for c in _CLASS], "n", "source_size", "target", "class_copies")
+    copies = F.expr("class_copies div n + if(rank < class_copies % n, 1, 0)").cast("long")
+    return (ranked.join(quota, [F.col(c) == F.col(f"q_{c}") for c in _CLASS])
+            .select(F.col("key").alias(key), F.when(~F.col("no_source"), F.col("source")).alias(source), "size",
+                    "source_size", "target", copies.alias("copies")))
+
 
+_CLASS = ["no_source", "source", "size"]
 
-def _copies(docs: DataFrame, weights: tuple[int, ...], key: str = "doc_id", text: str = "text",
-            source: str = "source") -> DataFrame:
-    """``mix_copies`` plus ``_m_hash``, the text's hash."""
-    narrow = docs.select(
-        F.col(key).alias("key"), F.col(source).isNull().alias("no_source"),
-        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
+
+def _narrow(docs: DataFrame, key: str, text: str, source: str, *more) -> DataFrame:
+    """Each document's class (no_source, source, size) and ``u``, the hash that orders the documents of a class."""
+    return docs.select(
+        F.col(source).isNull().alias("no_source"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(key)).alias("h"), F.xxhash64(F.col(text)).alias("t"))
-    group = ["no_source", "source", "size"]
-    ranked = stored(ranked_within(narrow, group, ["h", "key", "t"], "rank", "mix-rows"), "mix-ranked")
-    hist = stored(ranked.groupBy(*group).agg(F.count("*").alias("n")), "mix-sizes")
+        F.xxhash64(F.col(key), F.col(text)).alias("u"), *more)
+
+
+def _classes(docs: DataFrame, weights: tuple[int, ...], key: str = "doc_id", text: str = "text",
+             source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(documents ranked within their class, one row per class with its n, source_size, target and class_copies)."""
+    narrow = stored(_narrow(docs, key, text, source, F.col(key).alias("key")), "mix-narrow")
+    ranked = stored(ranked_within(narrow, _CLASS, ["u"], "rank", "mix-rows"), "mix-ranked")
+    hist = stored(ranked.groupBy(*_CLASS).agg(F.count("*").alias("n")), "mix-sizes")
     sources = hist.groupBy("no_source", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     found = tilts(hist, source_targets(sources, weights))
     want = (hist.join(found, ["no_source", "source"])
             .withColumn("want", F.expr(f"if(size = 0, 0D, {_rate('lam', 'size')} * size * n)")))
-    quota = want.select(*group, "n", "source_size", "target", "want").groupBy("no_source", "source").applyInPandas(
+    quota = want.select(*_CLASS, "n", "source_size", "target", "want").groupBy("no_source", "source").applyInPandas(
         _copies_by_size, "no_source boolean, source string, size long, n long, source_size long, target double, "
                          "copies long")
-    quota = stored(quota, "mix-copies").select(*[F.col(c).alias(f"q_{c}") for c in group], "n", "source_size",
-                                              "target", F.col("copies").alias("class_copies"))
-    copies = F.expr("class_copies div n + if(rank < class_copies % n, 1, 0)").cast("long")
-    return (ranked.join(quota, [F.col(c) == F.col(f"q_{c}") for c in group])
-            .select(F.col("key").alias(key), F.when(~F.col("no_source"), F.col("source")).alias(source), "size",
-                    "source_size", "target", copies.alias("copies"), F.col("t").alias("_m_hash")))
+    return ranked, stored(quota.withColumnRenamed("copies", "class_copies"), "mix-copies")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """The documents of the mix, each repeated by its copies, with the columns of ``docs``.
+#: Most bytes of class rows that are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
-    Rows that agree in doc_id, source and text share their copies evenly; what
-    is left over goes to the first of them, one copy each.
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The documents of the mix, each repeated by its copies, with the columns of ``docs``, whatever their names.
+
+    A document's copies follow from its class (source and size) and its own
+    hash: the class's copies divided by its documents, and one more below the
+    hash at which the remainder ends. So documents meet one row per class,
+    broadcast within ``BROADCAST_BYTES``, and stay where they are. Rows that
+    agree in doc_id and text, where the remainder ends among them, are
+    numbered, and the first of them take what is left.
     """
-    by = ["_m_id", "_m_source", "_m_hash"]
-    shares = (_copies(docs, weights)
-              .groupBy(F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"), "_m_hash")
-              .agg(F.sum("copies").alias("_m_all"), F.count("*").alias("_m_rows")).where("_m_all > 0"))
-    shares = stored(shares, "mix-shares")
-    on = (docs["doc_id"].eqNullSafe(F.col("_m_id")) & docs["source"].eqNullSafe(F.col("_m_source"))
-          & (F.xxhash64("text") == F.col("_m_hash")))
-    even, odd = shares.where("_m_all % _m_rows = 0"), shares.where("_m_all % _m_rows != 0")
-    taken = docs.join(even, on).withColumn("_m_copies", F.expr("_m_all div _m_rows")).select(*docs.columns, "_m_copies")
-    if odd.limit(1).count():
-        numbered = ranked_within(docs.join(odd, on), by, [], "_m_nth", "mix-alike")
-        more = numbered.withColumn("_m_copies", F.expr("_m_all div _m_rows + if(_m_nth < _m_all % _m_rows, 1, 0)"))
-        taken = taken.unionByName(more.where("_m_copies > 0").select(*docs.columns, "_m_copies"))
-    return (taken.withColumn("_m_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies"))))
-            .select(*docs.columns))
+    ranked, quota = _classes(docs, weights)
+    quota = quota.withColumn("extra", F.expr("class_copies % n"))
+    last = ranked.join(quota.where("extra > 0").select(*_CLASS, "extra"), _CLASS).where("rank = extra")
+    ends = last.select(*_CLASS, F.col("u").alias("cut"), "extra")
+    # Where alike rows lie on both sides of the end: how many of them still take a copy.
+    alike = ranked.join(ends, _CLASS).where("u = cut").groupBy(*_CLASS).agg(
+        F.max("cut").alias("cut"), (F.max("extra") - F.min("rank")).alias("more"))
+    classes = stored(quota.join(alike, _CLASS, "left").select(
+        *[F.col(c).alias(f"q_{c}") for c in _CLASS], F.expr("class_copies div n").alias("base"), "cut",
+        F.coalesce("more", F.lit(0)).alias("more")), "mix-classes")
+    size = classes.agg(F.sum(F.octet_length("q_source") + 64)).first()[0] or 0
+    rows = _narrow(docs, "doc_id", "text", "source", F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    rows = rows.join(F.broadcast(classes) if size <= BROADCAST_BYTES else classes,
+                     [F.col(c) == F.col(f"q_{c}") for c in _CLASS])
+    below = F.coalesce((F.col("u") < F.col("cut")).cast("long"), F.lit(0))
+    tied = F.coalesce((F.col("u") == F.col("cut")) & (F.col("more") > 0), F.lit(False))
+    taken = rows.where(~tied).select("doc", (F.col("base") + below).alias("copies"))
+    if classes.where("more > 0").limit(1).count():
+        numbered = ranked_within(rows.where(tied).select("doc", "base", "more", *_CLASS), _CLASS, [], "nth", "mix-alike")
+        taken = taken.unionByName(numbered.select("doc", F.expr("base + if(nth < more, 1, 0)").alias("copies")))
+    return (taken.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+            .select("doc.*"))
