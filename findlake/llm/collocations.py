@@ -27,7 +27,7 @@ from findlake.operators.topn import top_n_per_group
 
 UNKNOWN = "und"
 #: A language's block closes at about so many bytes of texts; the open blocks of a task hold so many together.
-BLOCK_BYTES, OPEN_BYTES = 8 << 20, 24 << 20
+BLOCK_BYTES, OPEN_BYTES = 6 << 20, 16 << 20
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z to a-z, the ends of pieces to line feeds, tabs to spaces.
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + _ENDS + b"\t", bytes(range(97, 123)) + b"\n" * len(_ENDS) + b" ")

@@ -44,6 +44,14 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, all with as many underscores before them as it takes to be no columns of ``df``."""
+    taken, names = {c.lower() for c in df.columns}, list(names)
+    while taken & {n.lower() for n in names}:
+        names = [f"_{n}" for n in names]
+    return names
+
+
 def ranked_within(df: DataFrame, group: list[str], order: list[str], rank: str, name: str) -> DataFrame:
     """``df`` plus ``rank``: the row's 0-based place within its group, ordered by ``order``.
 

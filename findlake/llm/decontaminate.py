@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findlake.llm.common import bounded_batches, slices, stored, utf8
+from findlake.llm.common import bounded_batches, slices, stored, unused, utf8
 
 WINDOW = 10
 #: Most bytes of window text in one automaton (about thirty times that in a worker's memory).
@@ -31,11 +31,8 @@ _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _TO_WORDS = bytes(b if b >= 0x80 or b in _KEEP else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
-_FOUND = T.StructType([
-    T.StructField("_d_words", T.LongType()),
-    T.StructField("_d_ranges", T.ArrayType(T.LongType())),  # first and last hit word, in turn
-    T.StructField("_d_items", T.ArrayType(T.StringType())),
-])
+#: Words; first and last hit word, in turn; items.
+_FOUND = {"_d_words": T.LongType(), "_d_ranges": T.ArrayType(T.LongType()), "_d_items": T.ArrayType(T.StringType())}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -138,13 +135,17 @@ def _scanner(broadcast, text_at: int, names: list[str], first: bool):
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """All columns of ``docs`` plus ``_d_words``, ``_d_ranges`` and ``_d_items`` of each whole text (null: no words)."""
+    """All columns of ``docs`` plus ``_d_words``, ``_d_ranges`` and ``_d_items`` of each whole text (null: no words).
+
+    Where ``docs`` has columns of these names, the three get more underscores; they are the last ones in any case.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     windows = stored(benchmark_windows(benchmark), "bench-windows")
     size = windows.agg(F.sum(F.length("window"))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
-    out, schema = docs, T.StructType([*docs.schema.fields, *_FOUND.fields])
+    new = [T.StructField(n, t) for n, t in zip(unused(docs, *_FOUND), _FOUND.values())]
+    out, schema = docs, T.StructType([*docs.schema.fields, *new])
     for k in range(parts):
         own = windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k)
         broadcast = spark.sparkContext.broadcast((uuid.uuid4().hex, [(bytes(r[0]), r[1]) for r in own.collect()]))
@@ -197,5 +198,6 @@ def leak_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a window of the benchmark, with the columns of ``docs``."""
-    return scan(docs, benchmark).where(F.size("_d_ranges") == 0).select(*docs.columns)
+    """The documents without a window of the benchmark, with the columns of ``docs``, whatever their names."""
+    found = scan(docs, benchmark)
+    return found.where(F.size(found.columns[-2]) == 0).select(*docs.columns)

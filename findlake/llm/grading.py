@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findlake.llm.common import bounded_batches, slices, utf8
+from findlake.llm.common import bounded_batches, slices, unused, utf8
 
 DIM = 1 << 18
 #: Bound of the training sample (rated documents); about 1 KB of features each reach the driver.
@@ -179,13 +179,14 @@ def fit(docs: DataFrame, grades: DataFrame, max_train: int = MAX_TRAIN) -> Ordin
 def graded(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``_g_expected`` and ``_g_tail`` = P(grade >= GOOD) of each whole text.
 
-    Null texts count as empty; without a fitted model both are null.
+    Null texts count as empty; without a fitted model both are null. Where ``docs`` has columns of these names, the two
+    get more underscores; they are the last ones in any case.
     """
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_g_expected", T.DoubleType()),
-                           T.StructField("_g_tail", T.DoubleType())])
+    new = unused(docs, "_g_expected", "_g_tail")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in new]])
     if model.weights is None:
-        return docs.withColumn("_g_expected", F.lit(None).cast("double")).withColumn("_g_tail", F.lit(None).cast("double"))
+        return docs.select("*", *[F.lit(None).cast("double").alias(n) for n in new])
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -208,6 +209,6 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, with the columns of ``docs``."""
-    found = graded(docs, fit(docs, grades_of(labels)))
-    return found.where(F.coalesce("_g_tail", F.lit(1.0)) >= 0.5).select(*docs.columns)
+    """The documents that the classifier keeps, with the columns of ``docs``, whatever their names."""
+    found = graded(docs, fit(docs.select("doc_id", "text"), grades_of(labels)))
+    return found.where(F.coalesce(found.columns[-1], F.lit(1.0)) >= 0.5).select(*docs.columns)

@@ -300,11 +300,12 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the least doc_id, with the columns of ``docs``.
+    """One document of each component, that of the least doc_id, with the columns of ``docs``, whatever their names.
 
     Rows are dropped by an exact join that only rows which may be dropped, by a
-    filter of fixed size, take part in; the others are not shuffled. Documents
-    without words all stay.
+    filter of fixed size, take part in; the others are not shuffled. (With far
+    more copies than the filter has bits, most rows pass it and are shuffled.)
+    Documents without words all stay.
     """
     rows = _rows(docs, "doc_id", "text").where("n > 0")
     best = rows.groupBy("comp").agg(
@@ -312,10 +313,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     best = best.where("rows > 1").select(F.col("comp").alias("of"), F.col("best.key").alias("keep"))
     several = stored(rows.join(best, F.col("comp") == F.col("of")).select("key", (F.col("key") != F.col("keep")).alias("drop"))
                      .distinct(), "copies")
-    maybe, sure = split_by_filter(docs, F.xxhash64("doc_id", "text"), member_filter(several, "key"))
-    gone = several.where("drop").select(F.col("key").alias("_f_key"))
-    kept = maybe.join(gone, "_f_key", "left_anti")
-    repeated = several.where("not drop").select(F.col("key").alias("_f_key"))
-    once = kept.join(repeated, "_f_key", "left_semi").dropDuplicates(["_f_key"]).select(*docs.columns)
-    rest = kept.join(repeated, "_f_key", "left_anti").select(*docs.columns)
-    return sure.unionByName(once).unionByName(rest)
+    whole = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    maybe, sure = split_by_filter(whole, F.col("key"), member_filter(several, "key"))
+    maybe = maybe.select("key", "doc")
+    kept = maybe.join(several.where("drop").select("key"), "key", "left_anti")
+    repeated = several.where("not drop").select("key")
+    once = kept.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    rest = kept.join(repeated, "key", "left_anti")
+    return sure.unionByName(once).unionByName(rest).select("doc.*")

@@ -98,3 +98,30 @@ def test_rows_alike_lose_no_copies(spark):
         out[r.doc_id, r.source, len(r.text.split())] += 1
     assert dict(out) == {k: n for k, n in copies.items() if n}
     assert 0 < sum(n for k, n in copies.items() if k[0] is None) < 100
+
+
+def test_classes_beyond_64_bits(spark):
+    """Two sources of one class each, of 2e13 words: the tilts end and meet the targets."""
+    from findlake.llm.mixing import source_targets, tilts
+
+    hist = spark.createDataFrame([(False, "a", 2_000, 10**10), (False, "b", 2_000, 10**10)],
+                                 "no_source boolean, source string, size long, n long")
+    sources = hist.selectExpr("no_source", "source", "size * n as source_size")
+    rows = tilts(hist, source_targets(sources)).collect()
+    assert len(rows) == 2
+    for r in rows:
+        words = min(3.0, math.exp(r.lam * 2_000 / r["mean"])) * 2_000 * 10**10
+        assert math.isclose(words, r.target, rel_tol=1e-6)
+
+
+def test_alike_rows_share_the_remainder(spark):
+    """Rows that agree in everything: together they take their class's copies, however the remainder falls."""
+    rows = [(None, "one two three", "a", "s", 1)] * 7 + [(i, f"w{i} x", "b", "s", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {}
+    for r in mix_copies(df).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    have = defaultdict(int)
+    for r in mixed(df).collect():
+        have[r.doc_id] += 1
+    assert dict(have) == {k: v for k, v in want.items() if v}

@@ -60,3 +60,14 @@ def test_main_path_is_native(spark):
     df = op10_quality_rules(spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_more_votes_than_digits(spark):
+    """A rule that never votes bad among 120 million documents keeps finite parameters."""
+    from pyspark.sql import functions as F
+
+    from findlake.llm.qualityrules import fit_accuracies
+
+    votes = spark.range(120_000_000).select(F.lit(1).alias("v_a"), F.when(F.col("id") % 1000 == 0, -1).otherwise(1).alias("v_b"))
+    share, p = fit_accuracies(votes, ["v_a", "v_b"])
+    assert all(0 < x < 1 for x in [*share.values(), *p.values()])
