@@ -29,6 +29,7 @@ from findlake.operators import catalog as C  # noqa: E402
 from findlake.operators import changes as CH  # noqa: E402
 from findlake.operators import index as IX  # noqa: E402
 from findlake.operators import listing as L  # noqa: E402
+from findlake.operators import postings as PO  # noqa: E402
 from findlake.operators import search as S  # noqa: E402
 from findlake.operators import stats as ST  # noqa: E402
 from findlake.plans import search as SP  # noqa: E402
@@ -77,6 +78,20 @@ def _searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TB.read_catalog(spark, _STORED[key])
 
 
+def _index(spark: SparkSession, sf_dir: str) -> PO.SearchIndex:
+    """The stored search index of the indexed items, written once per session and source."""
+    key = (id(spark.sparkContext._jsc), "postings:" + os.path.abspath(sf_dir))
+    if key not in _STORED:
+        path = os.path.join(checkpoint_dir(spark), "findlake-postings", uuid.uuid4().hex)
+        PO.write_index(_searchable(spark, sf_dir), path)
+        _STORED[key] = path
+    return PO.open_index(spark, _STORED[key])
+
+
+def _batch(spark: SparkSession) -> PO.Batch:
+    return PO.Batch.of(_qn(spark))
+
+
 def _qn(spark: SparkSession) -> DataFrame:
     return S.prepare_queries(FX.query_batch(spark))
 
@@ -86,7 +101,7 @@ def _hits(spark, sf_dir):
 
 
 def _search(spark, sf_dir, k=K):
-    return SP.multi_strategy_search(_searchable(spark, sf_dir), FX.query_batch(spark), k)
+    return PO.search(_index(spark, sf_dir), FX.query_batch(spark), k)
 
 
 def _expanded(spark, sf_dir):
@@ -221,16 +236,17 @@ def q_exact_match(spark, sf_dir):
 
 
 def q_prefix_match(spark, sf_dir):
-    return S.prefix_match(_searchable(spark, sf_dir), _qn(spark), 2 * K).select(
+    hits = PO.prefix_hits(_index(spark, sf_dir), _batch(spark))
+    return PO.first_by_arrival(hits, 2 * K).select(
         "query_id", "ordinal", F.col("prefix_rank").cast("bigint").alias("prefix_rank"))
 
 
 def q_word_match(spark, sf_dir):
-    return S.word_match(_searchable(spark, sf_dir), _qn(spark)).select("query_id", "ordinal")
+    return PO.word_hits(_index(spark, sf_dir), _batch(spark)).select("query_id", "ordinal")
 
 
 def q_substring_match(spark, sf_dir):
-    return S.substring_match(_searchable(spark, sf_dir), _qn(spark)).select("query_id", "ordinal")
+    return PO.substring_hits(_index(spark, sf_dir), _batch(spark)).select("query_id", "ordinal")
 
 
 def q_already_indexed(spark, sf_dir):
@@ -284,8 +300,8 @@ def q_dedup_first_wins(spark, sf_dir):
 
 
 def q_prefix_truncate(spark, sf_dir):
-    return S.prefix_match(_searchable(spark, sf_dir), _qn(spark), 2 * S.DEFAULT_RESULTS).select(
-        "query_id", "ordinal")
+    hits = PO.prefix_hits(_index(spark, sf_dir), _batch(spark))
+    return PO.first_by_arrival(hits, 2 * S.DEFAULT_RESULTS).select("query_id", "ordinal")
 
 
 def q_display_page(spark, sf_dir):
@@ -315,7 +331,9 @@ def q_fallback_union(spark, sf_dir):
 
 
 def q_autocomplete(spark, sf_dir):
-    return SP.autocomplete(_searchable(spark, sf_dir), FX.query_batch(spark))
+    hits = PO.prefix_hits(_index(spark, sf_dir), _batch(spark))
+    return PO.first_by_arrival(hits, S.DEFAULT_RESULTS, "rank").select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "ordinal", "path")
 
 
 def q_multi_strategy_search(spark, sf_dir):
