@@ -44,11 +44,17 @@ def _first_come(rows: DataFrame) -> DataFrame:
     """``change_id`` of the rows that succeed when rows (change_id, src_key, tgt_key) are carried out in order of
     ``change_id``, each unless its source or its target was used by an earlier success.
 
-    In each round every row that is first among the undecided of both its
-    source and its target succeeds, and its rivals leave: the same outcome as
-    one after another, in as many rounds as the longest chain of rivals.
+    Rows without a rival succeed at once. Among the others, in each round every
+    row that is first among the undecided of both its source and its target
+    succeeds, and its rivals leave: the same outcome as one after another, in
+    as many rounds as the longest chain of rivals.
     """
-    left, done = staged(rows.select("change_id", "src_key", "tgt_key"), "rivals"), None
+    rows = rows.select("change_id", "src_key", "tgt_key")
+    several = lambda key: rows.groupBy(key).agg(F.count("*").alias(f"n_{key}"))
+    counted = staged(rows.join(several("src_key"), "src_key").join(several("tgt_key"), "tgt_key")
+                     .withColumn("alone", (F.col("n_src_key") == 1) & (F.col("n_tgt_key") == 1)), "rivals")
+    done = counted.where("alone").select("change_id")
+    left = staged(counted.where("not alone").select("change_id", "src_key", "tgt_key"), "rivals")
     while left.limit(1).count():
         first_src = left.groupBy("src_key").agg(F.min("change_id").alias("first_src"))
         first_tgt = left.groupBy("tgt_key").agg(F.min("change_id").alias("first_tgt"))
@@ -56,11 +62,11 @@ def _first_come(rows: DataFrame) -> DataFrame:
                         .withColumn("wins", (F.col("change_id") == F.col("first_src"))
                                     & (F.col("change_id") == F.col("first_tgt"))), "rivals")
         wins = marked.where("wins")
-        done = wins.select("change_id") if done is None else done.unionByName(wins.select("change_id"))
+        done = done.unionByName(wins.select("change_id"))
         left = staged(marked.where("not wins").select("change_id", "src_key", "tgt_key")
                       .join(wins.select("src_key"), "src_key", "left_anti")
                       .join(wins.select("tgt_key"), "tgt_key", "left_anti"), "rivals")
-    return rows.select("change_id").limit(0) if done is None else done
+    return done
 
 
 def rename_plan(catalog: DataFrame, renames: DataFrame) -> DataFrame:
@@ -73,16 +79,18 @@ def rename_plan(catalog: DataFrame, renames: DataFrame) -> DataFrame:
     earlier ok row), else ``ok``.
     Output: ``change_id, path, new_name, new_path, ordinal, is_dir, status``.
     """
-    items = catalog.select(F.col("path_key").alias("src_key"), "ordinal", "is_dir",
-                           F.col("parent").alias("item_parent"))
-    taken = catalog.select(F.col("path_key").alias("tgt_key")).withColumn("_taken", F.lit(True))
-    req = (renames.select(F.col("change_id").cast("bigint").alias("change_id"),
-                          P.normalise_path("path").alias("path"), "new_name")
-           .withColumn("src_key", F.lower("path")))
-    req = (_lookup(req, items, "src_key")
-           .withColumn("new_path", _join_path(F.coalesce("item_parent", P.parent_of("path")), "new_name"))
-           .withColumn("tgt_key", F.lower("new_path")))
-    req = _lookup(req, taken, "tgt_key")
+    # Both keys follow from the request alone (the catalog's parent differs in case at most), so that one pass over
+    # the catalog finds the items of all sources and targets.
+    req = staged(renames.select(F.col("change_id").cast("bigint").alias("change_id"),
+                                P.normalise_path("path").alias("path"), "new_name")
+                 .withColumn("src_key", F.lower("path"))
+                 .withColumn("tgt_key", F.lower(_join_path(P.parent_of("path"), "new_name"))), "rename-requests")
+    asked = req.select(F.explode(F.array("src_key", "tgt_key")).alias("path_key"))
+    found = staged(matching(catalog.select("path_key", "ordinal", "is_dir", "parent"), asked, "path_key"), "rename-items")
+    items = found.select(F.col("path_key").alias("src_key"), "ordinal", "is_dir", F.col("parent").alias("item_parent"))
+    taken = found.select(F.col("path_key").alias("tgt_key"), F.lit(True).alias("_taken"))
+    req = (req.join(items, "src_key", "left").join(taken, "tgt_key", "left")
+           .withColumn("new_path", _join_path(F.coalesce("item_parent", P.parent_of("path")), "new_name")))
     bad_name = (~X.is_safe_name("new_name")) | F.col("new_name").rlike(r"[/\\]")
     status = (F.when(F.col("new_name") == P.name_of("path"), F.lit("unchanged"))
               .when(bad_name, F.lit("invalid_name"))
