@@ -11,39 +11,104 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findlake.functions import paths as P
 from findlake.functions import text as X
+from findlake.operators.numbering import sequential_number
 
 CATALOG_COLUMNS = ["ordinal", "path", "path_key", "name", "name_lc", "parent", "parent_name",
                    "suffix", "is_dir", "drive"]
 
 
 # Ordinals of a catalog leave this many places per listed row: a file takes the last, the folders above it the places
-# of their depths. Deeper trees use a larger power of ten (``listing_stride``).
+# of their depths. Deeper trees use a larger power of ten (``stride_for``).
 ORDINAL_STRIDE = 100
+# The place of a listed row among the folders that its path implies: after all of them.
+LISTED_DEPTH = 2 ** 31 - 1
 
+_FAULTS = ("null_ordinal", "null_path", "blank_path", "unparsable_path", "relative_path", "no_name")
 
-def listing_stride(listing: DataFrame) -> int:
-    """A power of ten above the number of parts of the deepest path (one aggregation, 100 at least)."""
-    deepest = listing.select(F.max(F.size(F.split(P.normalise_path("path"), "/")))).first()[0] or 0
+
+def listing_fault() -> Column:
+    """Why a listing row cannot become an item (one of ``_FAULTS``), or null for a sound row."""
+    path = P.normalise_path("path")
+    return (F.when(F.col("ordinal").isNull(), F.lit("null_ordinal"))
+            .when(F.col("path").isNull(), F.lit("null_path"))
+            .when(F.trim("path") == "", F.lit("blank_path"))
+            .when(F.instr("path", "\0") > 0, F.lit("unparsable_path"))
+            .when(~path.rlike("(?s)^(?:[A-Za-z]:)?/"), F.lit("relative_path"))
+            .when(P.name_of(path) == "", F.lit("no_name")))
+
+
+def sound_listing(listing: DataFrame) -> DataFrame:
+    """The listing rows that become items."""
+    return listing.where(listing_fault().isNull())
+
+
+def set_aside_listing(listing: DataFrame) -> DataFrame:
+    """The other listing rows, with their ``reason``; both parts together are the listing."""
+    return listing.withColumn("reason", listing_fault()).where(F.col("reason").isNotNull())
+
+
+def stride_for(deepest: int) -> int:
+    """A power of ten above the number of parts of the deepest path, 100 at least."""
     return max(ORDINAL_STRIDE, 10 ** len(str(deepest + 1)))
 
 
+def listing_bounds(listing: DataFrame) -> tuple[int, int, int]:
+    """Parts of the deepest path, smallest and largest ordinal (one aggregation; zeros without rows)."""
+    row = listing.agg(F.max(F.size(F.split(P.normalise_path("path"), "/"))),
+                      F.min("ordinal").cast("bigint"), F.max("ordinal").cast("bigint")).first()
+    return row[0] or 0, row[1] or 0, row[2] or 0
+
+
+def fits(stride: int, low: int, high: int) -> bool:
+    """Whether all ordinals between ``low`` and ``high`` times ``stride`` are 64-bit numbers."""
+    return -2 ** 63 <= low * stride and (high + 1) * stride < 2 ** 63
+
+
+def dense_ordinals(rows: DataFrame) -> DataFrame:
+    """``rows`` with each ordinal replaced by its rank among the distinct ordinals, from 0 (same order, equal ones
+    stay equal)."""
+    ranks = sequential_number(rows.select("ordinal").distinct(), [], ["ordinal"], "_rank")
+    return (rows.join(ranks, "ordinal").withColumn("ordinal", F.col("_rank") - 1).select(*rows.columns))
+
+
+def spread_ordinals(items: DataFrame, stride: int, low: int, high: int) -> DataFrame:
+    """``(ordinal, depth)`` joined into one ``ordinal`` of the same order; ``low`` and ``high`` bound the ordinals."""
+    if not fits(stride, low, high):
+        items = dense_ordinals(items)
+    return items.withColumn("ordinal", F.col("ordinal") * stride + F.least(F.col("depth"), F.lit(stride - 1))).drop("depth")
+
+
 def normalise_listing(listing: DataFrame, stride: int = ORDINAL_STRIDE) -> DataFrame:
     """``ordinal, path, is_dir`` with '/'-only paths (see D3 in the survey).
 
-    Any listing ordinals will do: they are spread by ``stride``, which leaves
-    room for the folders that the paths imply. Equal ordinals stay equal; ties
-    are broken by path wherever order matters, and items are identified by path.
+    Ordinals are spread by ``stride``, which leaves room for the folders that
+    the paths imply; ``build_catalog`` first makes sure that they fit 64 bits.
+    Equal ordinals stay equal; ties are broken by path wherever order matters,
+    and items are identified by path.
     """
     return listing.select((F.col("ordinal").cast("bigint") * stride + (stride - 1)).alias("ordinal"),
                           P.normalise_path("path").alias("path"),
                           F.col("is_dir").cast("boolean").alias("is_dir"))
 
 
+def implied_items(listing: DataFrame) -> DataFrame:
+    """``ordinal, depth, path, is_dir`` of sound listing rows and of the folders above them, before de-duplication.
+
+    As ``normalise_listing`` and ``expand_ancestors``, with the ordinal of the
+    listing and the depth kept apart, so no deepest path has to be known.
+    """
+    listed = listing.select(F.col("ordinal").cast("bigint").alias("ordinal"), F.lit(LISTED_DEPTH).alias("depth"),
+                            P.normalise_path("path").alias("path"), F.col("is_dir").cast("boolean").alias("is_dir"))
+    folders = _folders_above(listed).select(F.col("min_ordinal").alias("ordinal"), "depth", "path",
+                                            F.lit(True).alias("is_dir"))
+    return listed.unionByName(folders)
+
+
 def expand_ancestors(listing: DataFrame, stride: int = ORDINAL_STRIDE) -> DataFrame:
     """Add the folder rows implied by the paths of a listing.
 
@@ -56,6 +121,14 @@ def expand_ancestors(listing: DataFrame, stride: int = ORDINAL_STRIDE) -> DataFr
     exploded; both aggregations are partial (map-side), so a common folder
     costs one row per map partition in the shuffle, not one per item below it.
     """
+    folders = _folders_above(listing).select(
+        (F.col("min_ordinal") - F.pmod("min_ordinal", F.lit(stride)) + F.col("depth")).cast("bigint").alias("ordinal"),
+        "path", F.lit(True).alias("is_dir"))
+    return listing.select("ordinal", "path", "is_dir").unionByName(folders)
+
+
+def _folders_above(listing: DataFrame) -> DataFrame:
+    """``path, min_ordinal, depth`` of every folder above the paths of ``listing(ordinal, path)``."""
     parts = F.split("path", "/")
     # Collapse rows to their distinct parent folders first (partial aggregation
     # map-side), so only distinct folders - not every file - are exploded.
@@ -67,13 +140,7 @@ def expand_ancestors(listing: DataFrame, stride: int = ORDINAL_STRIDE) -> DataFr
                  .select("ordinal", "parts", F.explode(F.sequence(F.lit(2), F.size("parts"))).alias("depth"))
                  .select("ordinal", "depth",
                          F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("path")))
-    folders = (ancestors.groupBy("path")
-               .agg(F.min("ordinal").alias("min_ordinal"), F.min("depth").alias("depth"))
-               .select((F.col("min_ordinal") - F.pmod("min_ordinal", F.lit(stride)) + F.col("depth"))
-                       .cast("bigint").alias("ordinal"),
-                       "path",
-                       F.lit(True).alias("is_dir")))
-    return listing.select("ordinal", "path", "is_dir").unionByName(folders)
+    return ancestors.groupBy("path").agg(F.min("ordinal").alias("min_ordinal"), F.min("depth").alias("depth"))
 
 
 def with_item_columns(items: DataFrame) -> DataFrame:
@@ -114,11 +181,18 @@ def dedup_first_wins(items: DataFrame, key: str = "path_key",
 def build_catalog(listing: DataFrame, stride: int | None = None) -> DataFrame:
     """Listing -> catalog: normalise, add folders, skip, de-duplicate, derive columns.
 
-    Only ``ordinal, path, is_dir`` travel through the de-duplication shuffle;
-    the derived columns are computed once, for the surviving rows. Without a
-    ``stride`` the deepest path is looked up first.
+    Rows that cannot become items are left out (``set_aside_listing`` returns
+    them). Only ``ordinal, path, is_dir`` travel through the de-duplication
+    shuffle; the derived columns are computed once, for the surviving rows.
+    Without a ``stride`` the deepest path and the range of ordinals are looked
+    up first; ordinals too large to be spread are replaced by their ranks.
     """
-    stride = stride or listing_stride(listing)
+    listing = sound_listing(listing)
+    if not stride:
+        deepest, low, high = listing_bounds(listing)
+        stride = stride_for(deepest)
+        if not fits(stride, low, high):
+            listing = dense_ordinals(listing)
     items = expand_ancestors(normalise_listing(listing, stride), stride)
     kept = items.where(~P.under_system_dir("path")).withColumn("path_key", X.case_fold("path"))
     return with_item_columns(dedup_first_wins(kept).select("ordinal", "path", "is_dir")).select(*CATALOG_COLUMNS)

@@ -8,12 +8,12 @@ catalog already has earlier; ``read_ingested`` merges the batches. Two forms:
   carry no event time, so no watermark can bound the state: fine for bounded
   inputs, not for endless ones.
 * ``ingest_foreach_batch`` (default): a stateless stream whose ``foreachBatch``
-  anti-joins the batch with the catalog *table* on shared storage; the table
-  is the state. Each batch writes its own folder ``batch=<id>`` with mode
-  overwrite, so a batch replayed after a failure rewrites the same rows
-  (idempotent), and batches read only the folders of earlier batches. Rows
-  are partitioned by a hash bucket of ``path_key``, and a batch reads only
-  the buckets its own keys fall in.
+  commits each batch to a store of runs (``streaming.store``): the store is the
+  state. Rows that cannot become items go to a second sink, ``set_aside``, one
+  folder per batch with mode overwrite; a batch that the store's snapshot
+  holds already is passed over, so a replay after a failure changes nothing.
+  Batches are merged into larger runs as they come, and the exact number of
+  items and a mergeable sketch of them are kept with every snapshot.
 """
 
 from __future__ import annotations
@@ -21,20 +21,18 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from findlake.operators.catalog import (CATALOG_COLUMNS, dedup_first_wins, expand_ancestors,
-                                        normalise_listing, skip_system_dirs, with_item_columns)
+from findlake.functions import paths as P
+from findlake.functions import text as X
+from findlake.operators.catalog import (dedup_first_wins, implied_items, listing_bounds, normalise_listing,
+                                        set_aside_listing, skip_system_dirs, sound_listing, with_item_columns)
+from findlake.session import staged
 from findlake.sources.fixtures import fixture_listing
+from findlake.streaming import store as ST
 
 LISTING_SCHEMA = "ordinal BIGINT, path STRING, is_dir BOOLEAN"
 
 
-def _items(batch: DataFrame) -> DataFrame:
-    items = expand_ancestors(normalise_listing(batch))
-    return skip_system_dirs(with_item_columns(items))
-
-
 def ingest_with_state(spark: SparkSession, source_dir: str) -> DataFrame:
     """Streaming DataFrame of new catalog rows, de-duplicated by ``path_key`` in state.
 
@@ -42,57 +40,48 @@ def ingest_with_state(spark: SparkSession, source_dir: str) -> DataFrame:
     belongs to the ``foreachBatch`` form); which copy of a duplicate survives
     is the first one to arrive.
     """
-    stream = spark.readStream.schema(LISTING_SCHEMA).parquet(source_dir)
+    stream = sound_listing(spark.readStream.schema(LISTING_SCHEMA).parquet(source_dir))
     items = skip_system_dirs(with_item_columns(normalise_listing(stream)))
     return items.dropDuplicates(["path_key"])
 
 
-def _batch_writer(catalog_dir: str, key_buckets: int):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = (dedup_first_wins(_items(batch))
-               .withColumn("key_bucket", F.pmod(F.xxhash64("path_key"), F.lit(key_buckets))))
-        if _has_parquet(spark, catalog_dir):
-            # Only the key buckets present in this micro-batch can hold a
-            # duplicate: at most ``key_buckets`` small ints come back to the
-            # driver and become a partition filter, so the anti-join reads
-            # those partitions of earlier batches, not the whole catalog.
-            buckets = [r[0] for r in new.select("key_bucket").distinct().collect()]
-            known = (spark.read.parquet(catalog_dir)
-                     .where((F.col("batch") < batch_id) & F.col("key_bucket").isin(buckets))
-                     .select("key_bucket", "path_key", F.col("ordinal").alias("known_ordinal"), F.col("path").alias("known_path")))
-            before = F.struct("known_ordinal", "known_path") <= F.struct("ordinal", "path")
-            new = new.alias("n").join(known.alias("k"), (F.col("n.key_bucket") == F.col("k.key_bucket"))
-                                      & (F.col("n.path_key") == F.col("k.path_key")) & before, "left_anti")
-        (new.select(*CATALOG_COLUMNS, "key_bucket")
-         .write.mode("overwrite").partitionBy("key_bucket")
-         .parquet(os.path.join(catalog_dir, f"batch={batch_id}")))
-    return write
-
-
-def _has_parquet(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return False
-    return any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(hpath))
+def ingest_batch(batch: DataFrame, batch_id: int, catalog_dir: str, fanout: int = 8) -> ST.Snapshot:
+    """Commit one batch of listing rows: sound rows to the store, the others to ``set_aside`` with a reason.
+
+    ``batch`` is read three times (bounds, bad rows, items), each time with the
+    columns it needs; its items are stored before they meet the catalog.
+    """
+    spark = batch.sparkSession
+    # A replay may follow a failure between the two sinks: the bad rows of the batch are written over.
+    (set_aside_listing(batch).write.mode("overwrite").parquet(f"{catalog_dir}/set_aside/batch={batch_id}"))
+    set_aside = spark.read.schema(LISTING_SCHEMA).parquet(f"{catalog_dir}/set_aside/batch={batch_id}").count()
+    sound = sound_listing(batch)
+    deepest, low, high = listing_bounds(sound)
+    kept = implied_items(sound).where(~P.under_system_dir("path")).withColumn("path_key", X.case_fold("path"))
+    items = staged(dedup_first_wins(kept, order=ST.ORDER), "ingest-batch")
+    return ST.commit_batch(spark, catalog_dir, batch_id, items, listed=batch.count(), set_aside=set_aside,
+                           deepest=deepest, low=low, high=high, fanout=fanout)
 
 
 def ingest_foreach_batch(spark: SparkSession, source_dir: str, catalog_dir: str, checkpoint: str,
-                         files_per_batch: int = 1, key_buckets: int = 64) -> None:
+                         files_per_batch: int = 1, fanout: int = 8) -> None:
     """Run the stream until the source folder is drained (``availableNow``)."""
+    ST.create(spark, catalog_dir)
     stream = (spark.readStream.schema(LISTING_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
               .parquet(source_dir))
-    query = (stream.writeStream.foreachBatch(_batch_writer(catalog_dir, key_buckets))
+    query = (stream.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, catalog_dir, fanout))
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
 
 
 def read_ingested(spark: SparkSession, catalog_dir: str) -> DataFrame:
-    """The catalog of all batches: each path's first row. A later batch may hold an earlier row of a path, or an
-    earlier item of a folder; with the smaller of both the rows equal those of one batch build."""
-    return dedup_first_wins(spark.read.parquet(catalog_dir).select(*CATALOG_COLUMNS))
+    """The catalog of all batches: the rows that one batch build of the whole listing gives."""
+    return ST.read_items(spark, catalog_dir)
+
+
+def read_set_aside(spark: SparkSession, catalog_dir: str) -> DataFrame:
+    """``ordinal, path, is_dir, reason, batch`` of the listing rows that became no items."""
+    return spark.read.schema(LISTING_SCHEMA + ", reason STRING, batch BIGINT").parquet(f"{catalog_dir}/set_aside")
 
 
 def ingest_fixture(spark: SparkSession, sf_dir: str, base_dir: str, n_files: int = 4) -> DataFrame:
