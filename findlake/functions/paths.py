@@ -17,8 +17,6 @@ COMMON_FOLDERS = ("documents", "desktop", "downloads")
 # Display labels of an item type.
 FOLDER_LABEL = "\U0001F4C1 Folder"
 FILE_LABEL = "\U0001F4C4 File"
-# Drive letters that are probed, in order.
-DRIVE_LETTERS = "CDEFGHIJKLMNOPQRSTUVWXYZ"
 # -----------------------------------------------------------------------------
 
 SKIP_RE = "|".join(re.escape(s) for s in SKIP_DIRECTORIES)

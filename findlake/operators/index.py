@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findlake.functions import text as X
+from findlake.operators.prefixes import prefix_counts
 
 
 def exact_index(catalog: DataFrame) -> DataFrame:
@@ -51,9 +52,8 @@ def prefix_postings(catalog: DataFrame) -> DataFrame:
 
 
 def prefix_index(catalog: DataFrame) -> DataFrame:
-    """``prefix, n_items, first_ordinal`` for every prefix."""
-    return (prefix_postings(catalog).groupBy("prefix")
-            .agg(F.count(F.lit(1)).alias("n_items"), F.min("ordinal").alias("first_ordinal")))
+    """``prefix, n_items, first_ordinal`` for every prefix (from sorted distinct names, ``operators.prefixes``)."""
+    return prefix_counts(catalog)
 
 
 def gram_index(catalog: DataFrame, n: int = 3) -> DataFrame:

@@ -43,5 +43,7 @@ def write_word_postings(catalog: DataFrame, path: str, mode: str = "overwrite")
 def write_created_files(file_plan: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Sink of a file-creation plan: one ``(path, content)`` row per file; the batch's last write of a path stays."""
     done = file_plan.where(F.col("status").isin("created", "overwritten")).withColumn("_key", F.lower("path"))
-    (done.groupBy("_key").agg(F.min_by("path", "change_id").alias("path"), F.max_by("content", "change_id").alias("content"))
+    # Rows of a nested request share its change_id; their place in it (``pos``) decides.
+    order = F.struct("change_id", "pos") if "pos" in file_plan.columns else F.struct("change_id")
+    (done.groupBy("_key").agg(F.min_by("path", order).alias("path"), F.max_by("content", order).alias("content"))
      .select("path", "content").write.mode(mode).parquet(path))
