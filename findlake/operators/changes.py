@@ -1,9 +1,9 @@
 """Change sets as bulk table jobs: rename, undo, create; statuses instead of messages.
 
 The reference changes one item at a time on a live disk. Here a batch of
-requests is planned against one catalog snapshot (order only decides between
-rival rows of the same batch), applied to produce a new catalog, and undone
-by applying the inverse plan.
+requests is planned against one catalog snapshot, applied to produce a new
+catalog, and undone by applying the inverse plan. Creations take effect one
+after another; renames see the snapshot, and order decides between rivals.
 
 Size rules: the catalog meets a batch's keys, broadcast within a bound in
 bytes, before anything is joined, so a small batch never shuffles it. Rival
@@ -202,91 +202,154 @@ def _ancestor_rows(targets: DataFrame, ids: list[str]) -> DataFrame:
             .withColumn("anc_key", F.lower("anc_path")))
 
 
-def create_folders(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Plan folder creation: ``change_id, path, role, status``.
-
-    Each ``kind = 'folder'`` row yields its target (role ``target``) and every
-    missing ancestor (role ``ancestor``, made as with ``parents=True``). An
-    existing folder is fine (``kept``); an existing *file* at the target or
-    at any ancestor is a ``conflict``.
+def _requested(manifest: DataFrame) -> DataFrame:
+    """Manifest rows with ``target``, ``content``, ``make_parents`` and the ``reason`` they are refused at once."""
+    parents = F.coalesce("make_parents", F.lit(True)) if "make_parents" in manifest.columns else F.lit(True)
+    is_file = F.col("kind") == "file"
+    return (manifest.where(F.col("kind").isin("file", "folder"))
+            .withColumn("change_id", F.col("change_id").cast("bigint"))
+            .withColumn("make_parents", parents | ~is_file)
+            .select(*_ids(manifest), "kind", _join_path("location", "name").alias("target"),
+                    (F.col("content") if "content" in manifest.columns else F.lit(None)).cast("string").alias("content"),
+                    "make_parents", _plan_name_reason("name").alias("reason"))
+            .withColumn("reason", F.when(F.coalesce(F.size(F.split("target", "/")), F.lit(0)) < 2, F.lit("no_location"))
+                        .otherwise(F.col("reason"))))
+
+
+def _first_claims(rows: DataFrame, prefix: str) -> DataFrame:
+    """Per key the first of ``rows`` (``anc_key, as_dir, o``) that wants it as a folder, and as a file."""
+    return rows.groupBy("anc_key").agg(F.min(F.when(F.col("as_dir"), F.col("o"))).alias(f"{prefix}_dir"),
+                                       F.min(F.when(~F.col("as_dir"), F.col("o"))).alias(f"{prefix}_file"))
+
+
+def _in_order(claims: DataFrame, ids: list[str]) -> DataFrame:
+    """``ids, outcome`` (``ok``, ``conflict``, ``missing``) of requests carried out one after another.
+
+    A path becomes a folder or a file by the first request that gets through,
+    and stays that. ``claims`` has a row per request and path on its way:
+    ``as_dir`` is what the request wants there, ``makes`` whether it would make
+    it, ``needed`` whether it must be a folder already, ``exists_dir`` what the
+    catalog has. Requests whose paths nobody wants otherwise get through at
+    once; among the rest, each round settles those before which no open
+    request wants one of their paths otherwise, or could make the folder that they need.
+    """
+    o = F.struct(*ids)
+    blocked = F.max(F.coalesce(F.col("exists_dir") != F.col("as_dir"), F.lit(False)))
+    base = claims.groupBy(*ids).agg(blocked.alias("blocked"))
+    open_rows = staged(claims.join(base.where(~F.col("blocked")).select(*ids), ids)
+                       .where(F.col("exists_dir").isNull()).select(*ids, "anc_key", "as_dir", "makes", "needed")
+                       .withColumn("o", o), "creation-claims")
+    made = open_rows.where("makes").groupBy("anc_key").agg(F.max("as_dir").alias("dirs"), F.min("as_dir").alias("all_dirs"))
+    # Paths wanted in two ways, by makers or by somebody who relies on them, and folders that must be there first.
+    kinds = (open_rows.groupBy("anc_key").agg(F.max("as_dir").alias("any_dir"), F.min("as_dir").alias("only_dir"),
+                                              F.max("needed").alias("any_needed"))
+             .where((F.col("any_dir") != F.col("only_dir")) | F.col("any_needed")).select("anc_key"))
+    contested = kinds.join(made.select("anc_key"), "anc_key", "left_semi")
+    lacking = open_rows.where("needed").join(contested, "anc_key", "left_anti").select(*ids).distinct()
+    waiting = staged(open_rows.join(contested, "anc_key", "left_semi"), "creation-open")
+    undecided = waiting.select(*ids).distinct()
+    outcomes = [base.select(*ids, F.when(F.col("blocked"), F.lit("conflict")).otherwise(F.lit("ok")).alias("outcome"))
+                .join(undecided, ids, "left_anti").join(lacking, ids, "left_anti"),
+                lacking.join(undecided, ids, "left_anti").withColumn("outcome", F.lit("missing"))]
+    lacking = staged(lacking, "creation-lacking")
+    # Requests on contested paths alone are settled in rounds, so nothing has got through on those paths before.
+    settled = staged(_first_claims(waiting.limit(0), "ok"), "creation-settled")
+    while waiting.limit(1).count():
+        firsts = _first_claims(waiting.where("makes"), "open").join(settled, "anc_key", "full")
+        other = lambda p: F.when(F.col("as_dir"), F.col(f"{p}_file")).otherwise(F.col(f"{p}_dir"))
+        earlier = lambda c: F.coalesce(c < F.col("o"), F.lit(False))
+        lacks = F.col("needed") & ~earlier(F.col("ok_dir"))
+        seen = (waiting.join(firsts, "anc_key", "left").groupBy(*ids)
+                .agg(F.max(earlier(other("ok"))).alias("refused"),
+                     F.max(earlier(other("open")) | (lacks & earlier(F.col("open_dir")))).alias("waits"),
+                     F.max(lacks).alias("lacks"))
+                .join(lacking.withColumn("lost", F.lit(True)), ids, "left"))
+        verdict = (F.when(F.col("refused"), F.lit("conflict")).when(F.col("waits"), F.lit(None))
+                   .when(F.col("lacks") | F.col("lost"), F.lit("missing")).otherwise(F.lit("ok")))
+        decided = staged(seen.select(*ids, verdict.alias("outcome")).where(F.col("outcome").isNotNull()), "creation-round")
+        outcomes.append(decided)
+        through = waiting.where("makes").join(decided.where(F.col("outcome") == "ok").select(*ids), ids, "left_semi")
+        both = _first_claims(through, "ok").unionByName(settled)
+        settled = staged(both.groupBy("anc_key").agg(F.min("ok_dir").alias("ok_dir"), F.min("ok_file").alias("ok_file")),
+                         "creation-settled")
+        waiting = staged(waiting.join(decided.select(*ids), ids, "left_anti"), "creation-open")
+    result = outcomes[0]
+    for part in outcomes[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _creations(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The rows of a creation plan, stored: ``ids, path, kind, role, content, status``.
+
+    Requests take effect one after another, in the order of ``change_id`` (and
+    ``pos``): a folder or file that an earlier one makes is there for the
+    later ones.
     """
     ids = _ids(manifest)
-    req = (manifest.where(F.col("kind") == "folder").withColumn("change_id", F.col("change_id").cast("bigint"))
-           .select(*ids, "location", "name",
-                   _plan_name_reason("name").alias("reason"))
-           .withColumn("target", _join_path("location", "name")))
-    invalid = req.where(F.col("reason").isNotNull()).select(
-        *ids, F.col("target").alias("path"), F.lit("target").alias("role"),
-        F.lit("invalid_name").alias("status"))
+    o = F.struct(*ids)
+    req = staged(_requested(manifest), "creation-requests")
     valid = req.where(F.col("reason").isNull())
     existing = catalog.select(F.col("path_key").alias("anc_key"), F.col("is_dir").alias("exists_dir"))
-    anc = staged(_lookup(_ancestor_rows(valid, ids), existing, "anc_key"), "folder-plan")  # read twice below
-    verdict = (anc.groupBy(*ids)
-               .agg(F.max(F.when(F.col("exists_dir") == F.lit(False), 1).otherwise(0)).alias("_file_in_way"),
-                    F.max("depth").alias("_target_depth")))
-    rows = anc.join(verdict, ids)
-    status = (F.when(F.col("_file_in_way") == 1, F.lit("conflict"))
-              .when(F.col("exists_dir") == F.lit(True), F.lit("kept"))
-              .otherwise(F.lit("created")))
-    role = F.when(F.col("depth") == F.col("_target_depth"), F.lit("target")).otherwise(F.lit("ancestor"))
-    planned = (rows.select(*ids, F.col("anc_path").alias("path"), role.alias("role"),
-                           status.alias("status"), "exists_dir")
-               .where((F.col("role") == "target") | (F.col("exists_dir").isNull() & (F.col("status") != "conflict")))
-               .drop("exists_dir"))
-    return planned.unionByName(invalid)
+    steps = staged(_ancestor_rows(valid, ids), "creation-steps")
+    tdepth = F.size(F.split("target", "/"))
+    claims = staged(_lookup(steps, existing, "anc_key").join(valid.select(*ids, "kind", "make_parents", tdepth.alias("tdepth")), ids)
+                    .withColumn("is_target", F.col("depth") == F.col("tdepth"))
+                    .withColumn("as_dir", ~F.col("is_target") | (F.col("kind") == "folder"))
+                    .withColumn("makes", F.col("is_target") | F.col("make_parents"))
+                    .withColumn("needed", (F.col("depth") == F.col("tdepth") - 1) & ~F.col("make_parents")), "creation-claims")
+    outcome = staged(_in_order(claims, ids), "creation-outcomes")
+    ok_rows = claims.join(outcome.where(F.col("outcome") == "ok").select(*ids), ids, "left_semi")
+    # A new path is made by the first request that gets through to it.
+    first = ok_rows.where(F.col("makes") & F.col("exists_dir").isNull()).groupBy("anc_key").agg(F.min(o).alias("first"))
+    marked = (claims.where(F.col("is_target") | (F.col("makes") & F.col("exists_dir").isNull()))
+              .join(outcome, ids).join(first, "anc_key", "left")
+              .withColumn("new", F.col("exists_dir").isNull() & (F.col("first") == o)))
+    status = (F.when(F.col("outcome") != "ok", F.col("outcome"))
+              .when(F.col("new"), F.lit("created"))
+              .when(F.col("kind") == "folder", F.lit("kept")).otherwise(F.lit("overwritten")))
+    made = (marked.where(F.col("is_target") | ((F.col("outcome") == "ok") & F.col("new")))
+            .select(*ids, F.col("anc_path").alias("path"), "kind",
+                    F.when(F.col("is_target"), F.lit("target")).otherwise(F.lit("ancestor")).alias("role"),
+                    status.alias("status")))
+    content = valid.where(F.col("kind") == "file").select(*ids, F.coalesce("content", F.lit("")).alias("content"))
+    planned = made.join(content, ids, "left")
+    refused = req.where(F.col("reason").isNotNull()).select(
+        *ids, F.col("target").alias("path"), "kind", F.lit("target").alias("role"), F.lit("invalid_name").alias("status"),
+        F.when(F.col("kind") == "file", F.coalesce("content", F.lit(""))).alias("content"))
+    return staged(planned.unionByName(refused), "creation-plan")
+
+
+def _folder_rows(plan: DataFrame, ids: list[str]) -> DataFrame:
+    return plan.where(F.col("kind") == "folder").select(*ids, "path", "role", "status")
+
+
+def _file_rows(plan: DataFrame, ids: list[str]) -> DataFrame:
+    return plan.where((F.col("kind") == "file") & (F.col("role") == "target")).select(*ids, "path", "content", "status")
+
+
+def create_folders(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The folder rows of a creation plan: ``change_id, path, role, status``.
+
+    Each ``kind = 'folder'`` row yields its target (role ``target``) and every
+    ancestor that it makes (role ``ancestor``, made as with ``parents=True``).
+    A folder that is there is fine (``kept``); a *file* at the target or at any
+    ancestor is a ``conflict``. What earlier rows of the manifest made, files
+    included, is there.
+    """
+    return _folder_rows(_creations(catalog, manifest), _ids(manifest))
 
 
 def create_files(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Plan file writes: ``change_id, path, content, status``.
+    """The file rows of a creation plan: ``change_id, path, content, status``.
 
-    ``created`` (new), ``overwritten`` (an existing file is replaced, as the
-    reference does; also the batch's later writes of one path), ``conflict``
-    (a folder at the target, there or made by the same manifest, or a file at an
+    ``created`` (new), ``overwritten`` (a file that is there is replaced, as the
+    reference does), ``conflict`` (a folder at the target, or a file at an
     ancestor), ``missing`` (parent absent and ``make_parents`` false - files
-    added to an existing folder), ``invalid_name``.
+    added to an existing folder), ``invalid_name``. What earlier rows of the
+    manifest made, folders included, is there.
     """
-    cols, ids = manifest.columns, _ids(manifest)
-    made = create_folders(catalog, manifest).where(F.col("status") == "created").select(
-        F.lower("path").alias("file_key"), F.lit(True).alias("_made")).distinct()
-    req = (manifest.where(F.col("kind") == "file").withColumn("change_id", F.col("change_id").cast("bigint"))
-           .select(*ids, "location", "name",
-                   F.coalesce(F.col("content"), F.lit("")).alias("content"),
-                   (F.col("make_parents") if "make_parents" in cols else F.lit(True)).alias("make_parents"),
-                   _plan_name_reason("name").alias("reason"))
-           .withColumn("target", _join_path("location", "name")))
-    invalid = req.where(F.col("reason").isNotNull()).select(
-        *ids, F.col("target").alias("path"), "content", F.lit("invalid_name").alias("status"))
-    valid = req.where(F.col("reason").isNull())
-    existing = catalog.select(F.col("path_key").alias("anc_key"), F.col("is_dir").alias("exists_dir"))
-    anc = _lookup(_ancestor_rows(valid, ids), existing, "anc_key")
-    depth = F.size(F.split("target", "/"))
-    verdict = (anc.join(valid.select(*ids, depth.alias("_tdepth")), ids)
-               .groupBy(*ids)
-               .agg(F.max(F.when((F.col("depth") < F.col("_tdepth")) & (F.col("exists_dir") == F.lit(False)), 1)
-                          .otherwise(0)).alias("_file_above"),
-                    F.max(F.when(F.col("depth") == F.col("_tdepth"), F.col("exists_dir").cast("int"))).alias("_target"),
-                    F.max(F.when(F.col("depth") == F.col("_tdepth") - 1,
-                                 F.col("exists_dir").cast("int"))).alias("_parent"),
-                    F.max(F.when(F.col("depth") == F.col("_tdepth") - 1, 1).otherwise(0)).alias("_has_parent_row")))
-    parent_ok = ((F.coalesce(F.col("_parent"), F.lit(0)) == 1) | (F.col("_has_parent_row") == 0)
-                 | F.col("make_parents"))
-    status = (F.when((F.col("_file_above") == 1) | (F.col("_target") == 1), F.lit("conflict"))
-              .when(~parent_ok, F.lit("missing"))
-              .when(F.col("_target") == 0, F.lit("overwritten"))
-              .otherwise(F.lit("created")))
-    planned = valid.join(verdict, ids).withColumn("status", status).withColumn("file_key", F.lower("target"))
-    planned = planned.join(made, "file_key", "left").withColumn(
-        "status", F.when(F.col("_made") & F.col("status").isin("created", "overwritten"), F.lit("conflict"))
-        .otherwise(F.col("status")))
-    planned = staged(planned.select(*ids, "file_key", F.col("target").alias("path"), "content", "status"), "file-plan")
-    # Only the first write of a path creates it.
-    order = F.struct(*ids)
-    first = (planned.where(F.col("status") == "created").groupBy("file_key")
-             .agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
-    planned = planned.join(first, "file_key", "left").withColumn(
-        "status", F.when((F.col("status") == "created") & (order > F.col("_first")), F.lit("overwritten"))
-        .otherwise(F.col("status")))
-    return planned.select(*ids, "path", "content", "status").unionByName(invalid)
+    return _file_rows(_creations(catalog, manifest), _ids(manifest))
 
 
 def flatten_nested_manifest(nested: DataFrame) -> DataFrame:
@@ -320,19 +383,12 @@ def flatten_nested_manifest(nested: DataFrame) -> DataFrame:
 def create_folder_with_files(catalog: DataFrame, nested: DataFrame) -> DataFrame:
     """Plan a folder with files and subfolders: ``change_id, path, kind, status``.
 
-    Folders planned in the same manifest count as existing for the files
-    inside them (they are made first), so those files are not ``missing``.
+    Folders come before the files inside them in the manifest's order, so
+    those files are not ``missing``.
     """
-    flat = flatten_nested_manifest(nested)
-    folders = create_folders(catalog, flat)
-    made = (folders.where(F.col("status").isin("created", "kept"))
-            .select(F.lower("path").alias("path_key"), F.lit(True).alias("is_dir")).distinct())
-    # A folder that is kept is in the catalog already; one row per path is what the lookups rely on.
-    view = catalog.select("path_key", "is_dir").unionByName(
-        made.join(matching(catalog.select("path_key"), made, "path_key"), "path_key", "left_anti"))
-    files = create_files(view, flat)
-    return (folders.select("change_id", "path", F.lit("folder").alias("kind"), "status")
-            .unionByName(files.select("change_id", "path", F.lit("file").alias("kind"), "status")))
+    plan = _creations(catalog, flatten_nested_manifest(nested))
+    return (plan.where((F.col("kind") == "folder") | (F.col("role") == "target"))
+            .select("change_id", "path", "kind", "status"))
 
 
 def resolve_location(requests: DataFrame, locations: DataFrame) -> DataFrame:

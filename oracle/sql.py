@@ -175,12 +175,16 @@ def _create_sql(p: str, man: str, cat: str) -> str:
 {p}_fj AS (SELECT a.*, c.is_dir AS exists_dir FROM {p}_fa a LEFT JOIN {cat} c ON c.path_key = lower(a.anc_path)),
 {p}_fv AS (SELECT change_id, max(CASE WHEN exists_dir = false THEN 1 ELSE 0 END) AS fiw, max(depth) AS td
   FROM {p}_fj GROUP BY change_id),
-{p}_folders AS (
+{p}_fall AS (
   SELECT j.change_id, j.anc_path AS path, CASE WHEN j.depth = v.td THEN 'target' ELSE 'ancestor' END AS role,
     CASE WHEN v.fiw = 1 THEN 'conflict' WHEN j.exists_dir THEN 'kept' ELSE 'created' END AS status
   FROM {p}_fj j JOIN {p}_fv v ON v.change_id = j.change_id
   WHERE j.depth = v.td OR (j.exists_dir IS NULL AND v.fiw <> 1)
   UNION ALL SELECT change_id, target, 'target', 'invalid_name' FROM {p}_fr WHERE reason IS NOT NULL),
+{p}_fn AS (SELECT *, row_number() OVER (PARTITION BY lower(path), status ORDER BY change_id) AS nth FROM {p}_fall),
+{p}_folders AS (  -- a path is created by the first request that makes it and is there for the later ones
+  SELECT change_id, path, role, CASE WHEN status = 'created' AND nth > 1 THEN 'kept' ELSE status END AS status
+  FROM {p}_fn WHERE nth = 1 OR role = 'target' OR status <> 'created'),
 {p}_gr AS (SELECT change_id, coalesce(content, '') AS content, make_parents, {_plan_reason('name')} AS reason,
   {target} AS target FROM {man} WHERE kind = 'file'),
 {p}_ga AS (SELECT r.change_id, g.d AS depth, len(r.s) AS td, array_to_string(r.s[1:g.d], '/') AS anc_path

@@ -64,6 +64,62 @@ def test_later_write_of_a_path_wins(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("D:/x/n.txt", "two")]
 
 
+def creations_in_order(existing, batch):
+    """Rows of a creation plan when the requests are carried out in order on a dict of paths (True: a folder)."""
+    disk, folders, files = {p.lower(): d for p, d in existing}, [], {}
+    for cid, location, name, kind, _, make_parents in batch:
+        parts = f"{location}/{name}".split("/")
+        way = ["/".join(parts[:d]) for d in range(2, len(parts) + 1)]
+        above, target = way[:-1], way[-1]
+        state = disk.get(target.lower())
+        if any(disk.get(p.lower()) is False for p in above) or (state is not None and state != (kind == "folder")):
+            status = "conflict"
+        elif kind == "file" and not make_parents and above and above[-1].lower() not in disk:
+            status = "missing"
+        elif state is not None:
+            status = "kept" if kind == "folder" else "overwritten"
+        else:
+            status = "created"
+        if status in ("created", "kept", "overwritten"):
+            new = [p for p in above if p.lower() not in disk]
+            disk.update({p.lower(): True for p in new})
+            disk[target.lower()] = kind == "folder"
+            if kind == "folder":
+                folders += [(cid, p, "ancestor", "created") for p in new]
+        if kind == "folder":
+            folders.append((cid, target, "target", status))
+        else:
+            files[cid] = status
+    return sorted(folders), files
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_creations_as_one_after_another(spark, seed):
+    rng = random.Random(seed)
+    existing = [("D:/x", True), ("D:/x/a", False), ("D:/x/b", True)]
+    batch = [(i, "D:/x" + rng.choice(["", "/n", "/N", "/m", "/n/p", "/b", "/q"]),
+              rng.choice(["a", "b", "n", "p", "m", "Q", "n/m", "p/r"]), rng.choice(["file", "folder"]), "",
+              rng.random() < 0.6) for i in range(70)]
+    cat = catalog_from_paths(spark, existing)
+    manifest = spark.createDataFrame(batch, MANIFEST).repartition(3)
+    folders, files = creations_in_order(existing, batch)
+    assert sorted(map(tuple, CH.create_folders(cat, manifest).collect())) == folders
+    assert {r.change_id: r.status for r in CH.create_files(cat, manifest).collect()} == files
+
+
+@pytest.mark.parametrize("batch,folder,file", [
+    ([(1, "D:/x", "n", "file", "", True), (2, "D:/x", "n", "folder", None, True)], {2: "conflict"}, {1: "created"}),
+    ([(3, "D:/x", "f", "file", "", True), (4, "D:/x/f", "g", "file", "", True)], {}, {3: "created", 4: "conflict"}),
+    ([(5, "D:/x", "k", "folder", None, True), (6, "D:/x", "K", "folder", None, True)], {5: "created", 6: "kept"}, {}),
+    ([(7, "D:/x/k", "f", "file", "", False), (8, "D:/x", "k", "folder", None, True), (9, "D:/x/k", "f", "file", "", False)],
+     {8: "created"}, {7: "missing", 9: "created"})])
+def test_order_inside_a_creation_batch(spark, batch, folder, file):
+    cat = catalog_from_paths(spark, [("D:/x/a", False)])
+    manifest = spark.createDataFrame(batch, MANIFEST)
+    assert {r.change_id: r.status for r in CH.create_folders(cat, manifest).where("role = 'target'").collect()} == folder
+    assert {r.change_id: r.status for r in CH.create_files(cat, manifest).collect()} == file
+
+
 def test_large_nested_request(spark):
     cat = catalog_from_paths(spark, [("D:/x/a.txt", False)])
     nested = [(9 * 10**15, "D:/x", "pack", [(f"f{i}", "") for i in range(1200)], [("sub", [(f"s{i}", "") for i in range(3)])])]
