@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from findlake.functions import paths as P
 from findlake.functions import text as X
+from findlake.session import staged
 from findlake.operators.topn import top_n_per_group
 
 # --- fixed values that must match the reference's behaviour -------------------
@@ -323,13 +324,16 @@ def member_counts(members: DataFrame) -> DataFrame:
 
 
 def union_strategies(hits: DataFrame, k: int) -> DataFrame:
-    """Set union of the hits of strategies 1-3 (prefix cut at ``2k``)."""
-    return with_membership(hits, k).where("is_member")
+    """Set union of the hits of strategies 1-3 (prefix cut at ``2k``); the hits are found once and stored."""
+    return with_membership(staged(hits, "hits"), k).where("is_member")
 
 
 def fallback_union(hits: DataFrame, k: int) -> DataFrame:
-    """Strategies 1-3, plus every substring hit for queries with fewer than ``k`` of them."""
-    members = with_membership(hits, k)
+    """Strategies 1-3, plus every substring hit for queries with fewer than ``k`` of them.
+
+    The hits are found once and stored: the prefix cut, the counts and the result read the stored pairs.
+    """
+    members = with_membership(staged(hits, "hits"), k)
     counts = member_counts(members)
     return (members.join(counts, "query_id", "left")
             .withColumn("n_members", F.coalesce("n_members", F.lit(0)))
@@ -337,21 +341,25 @@ def fallback_union(hits: DataFrame, k: int) -> DataFrame:
 
 
 def rank_results(candidates: DataFrame, bucket_bits: int = 16) -> DataFrame:
-    """Exact rank of every candidate by ``score DESC, ordinal ASC``, without a per-query window.
-
-    rank = (#candidates of the query with a higher score)
-         + (#same score in lower ordinal buckets) + (row number inside the bucket).
-    The two counts are aggregations (combined map-side) and the window runs
-    over ``(query, score, ordinal bucket)`` groups of at most ``2^bucket_bits``
-    ordinals, so no query, however hot, lands in one task.
+    """Exact rank of every candidate by ``score DESC, ordinal ASC``, without a per-query window over its hits.
+
+    rank = (#candidates of the query with a higher score or, at the same score, in a lower block of ordinals)
+         + (#in lower ordinal buckets of the block) + (row number inside the bucket).
+    Buckets hold ``2^bucket_bits`` ordinals, blocks ``2^bucket_bits`` buckets. The
+    counts are aggregations (combined map-side): one window sees a query's
+    blocks, one a block's buckets, one a bucket's rows, so no query, however
+    hot, lands in one task. The candidates are stored once and read twice.
     """
-    c = candidates.withColumn("_bucket", F.shiftright("ordinal", bucket_bits))
-    per_bucket = c.groupBy("query_id", "score", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("query_id").orderBy(F.desc("score"), "_bucket") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("query_id", "score", "_bucket",
-                                F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inner = Window.partitionBy("query_id", "score", "_bucket").orderBy("ordinal", "path")
-    return (c.join(offsets, ["query_id", "score", "_bucket"], "inner")
-            .withColumn("rank", (F.col("_offset") + F.row_number().over(inner)).cast("bigint"))
-            .drop("_bucket", "_offset"))
+    c = (staged(candidates, "candidates").withColumn("_bucket", F.shiftright("ordinal", bucket_bits))
+         .withColumn("_block", F.shiftright("_bucket", bucket_bits)))
+    group = ["query_id", "score", "_block"]
+    per_bucket = c.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    per_block = per_bucket.groupBy(*group).agg(F.sum("_n").alias("_n"))
+    below = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = per_block.select(*group, below(Window.partitionBy("query_id").orderBy(F.desc("score"), "_block")).alias("_above"))
+    offsets = (per_bucket.select(*group, "_bucket", below(Window.partitionBy(*group).orderBy("_bucket")).alias("_offset"))
+               .join(blocks, group))
+    inner = Window.partitionBy(*group, "_bucket").orderBy("ordinal", "path")
+    return (c.join(offsets, [*group, "_bucket"], "inner")
+            .withColumn("rank", (F.col("_above") + F.col("_offset") + F.row_number().over(inner)).cast("bigint"))
+            .drop("_bucket", "_block", "_above", "_offset"))

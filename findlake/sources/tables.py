@@ -21,12 +21,19 @@ def write_catalog(catalog: DataFrame, path: str, mode: str = "overwrite",
     pass (range partitioning would run the whole upstream build twice). Inside
     each file rows are sorted by ``name_lc``, so row-group min/max statistics
     let pushed-down ``In`` / ``StringStartsWith`` filters skip most row
-    groups; ``drive`` folders prune whole drives.
+    groups; ``drive`` folders prune whole drives. A folder's items lie in as
+    many files as there are items, at most: where the names of folders are too
+    many for a dictionary, Bloom filters on ``parent_key`` let a listing skip
+    the other row groups (``operators.listing.list_directory``).
     """
     named = catalog.withColumn("drive", F.when(F.col("drive") == "", F.lit(_NO_DRIVE)).otherwise(F.col("drive")))
     # Without a number of files, adaptive execution sizes them from the measured shuffle.
     dealt = named.repartition(num_files, "path_key") if num_files else named.repartition("path_key")
-    (dealt.sortWithinPartitions("drive", "name_lc", "ordinal").write.mode(mode).partitionBy("drive").parquet(path))
+    writer = dealt.sortWithinPartitions("drive", "name_lc", "ordinal").write.mode(mode).partitionBy("drive")
+    if "parent_key" in catalog.columns:
+        writer = (writer.option("parquet.bloom.filter.enabled#parent_key", "true")
+                  .option("parquet.bloom.filter.adaptive.enabled", "true"))
+    writer.parquet(path)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pytest
 from conftest import catalog_from_paths
 from findlake.operators import catalog as C
 from findlake.operators import changes as CH
+from findlake.operators import listing as L
+from findlake.operators import search as S
 from findlake.operators.prefixes import prefix_counts
 from findlake.sources import tables as TB
 from findlake.sources import tree as TR
@@ -93,3 +95,46 @@ def test_last_write_inside_a_nested_request_stays(spark, tmp_path):
     plan = CH.create_files(catalog_from_paths(spark, [("D:/x/pack", True)]), flat)
     TB.write_created_files(plan, str(tmp_path / "out"))
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("D:/x/pack/n.txt", "text 29")]
+
+
+def _rows_scanned(df):
+    """Rows that the file scan of a query without shuffles handed on."""
+    df.collect()
+    plan, rows = df._jdf.queryExecution().executedPlan(), 0
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        if "FileSourceScan" in node.getClass().getName():
+            rows += node.metrics().get("numOutputRows").get().value()
+        waiting.extend(node.children().apply(i) for i in range(node.children().size()))
+    return rows
+
+
+@pytest.mark.parametrize("dictionary", ["true", "false"])
+def test_listing_skips_row_groups(spark, tmp_path, dictionary):
+    """One folder's items are found without reading the row groups that hold none of them."""
+    rows = [(f"D:/r/folder{i:04d}/file{i}", False) for i in range(3000)]
+    old = spark.conf.get("parquet.enable.dictionary", None)
+    try:
+        spark.conf.set("parquet.enable.dictionary", dictionary)
+        TB.write_catalog(catalog_from_paths(spark, rows), str(tmp_path / "cat"), num_files=20)
+    finally:
+        spark.conf.unset("parquet.enable.dictionary") if old is None else spark.conf.set("parquet.enable.dictionary", old)
+    cat = TB.read_catalog(spark, str(tmp_path / "cat"))
+    assert cat.count() == 6001
+    listing = L.list_directory(cat, "D:/R/folder0777")
+    assert [r.path for r in listing.collect()] == ["D:/r/folder0777/file777"]
+    assert _rows_scanned(listing) <= 3 * 6001 / 20  # a file in 20, with room for a false positive
+
+
+def test_ranks_over_blocks_of_buckets(spark):
+    rng = random.Random(3)
+    rows = [(q, rng.choice([10, 80, 110]), rng.randrange(2 ** rng.choice([4, 12, 40])), f"p{i}")
+            for i in range(400) for q in (1, 2)] + [(3, 80, 7, f"t{i}") for i in range(5)]
+    cands = spark.createDataFrame(rows, "query_id int, score int, ordinal bigint, path string")
+    expected = {}
+    for q in (1, 2, 3):
+        ordered = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[1], r[2], r[3]))
+        expected.update({(q, r[3]): n for n, r in enumerate(ordered, 1)})
+    for bits in (2, 6, 16):
+        assert {(r.query_id, r.path): r["rank"] for r in S.rank_results(cands, bits).collect()} == expected
