@@ -32,13 +32,17 @@ _FAULTS = ("null_ordinal", "null_path", "blank_path", "unparsable_path", "relati
 
 
 def listing_fault() -> Column:
-    """Why a listing row cannot become an item (one of ``_FAULTS``), or null for a sound row."""
+    """Why a listing row cannot become an item (one of ``_FAULTS``), or null for a sound row.
+
+    The first part of a path is its drive or walk root; a path without one, or
+    with a '.' or '..' part, is relative to something that the listing does not say.
+    """
     path = P.normalise_path("path")
     return (F.when(F.col("ordinal").isNull(), F.lit("null_ordinal"))
             .when(F.col("path").isNull(), F.lit("null_path"))
             .when(F.trim("path") == "", F.lit("blank_path"))
             .when(F.instr("path", "\0") > 0, F.lit("unparsable_path"))
-            .when(~path.rlike("(?s)^(?:[A-Za-z]:)?/"), F.lit("relative_path"))
+            .when(~path.contains("/") | path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.lit("relative_path"))
             .when(P.name_of(path) == "", F.lit("no_name")))
 
 

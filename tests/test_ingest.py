@@ -74,7 +74,7 @@ def test_earlier_row_in_a_later_batch(spark, tmp_path):
 
 def test_bad_rows_go_to_a_sink_with_a_reason(spark, tmp_path):
     bad = [(None, "D:/a/x", False, "null_ordinal"), (1, None, False, "null_path"), (2, "  ", False, "blank_path"),
-           (3, "D:/a/\0", False, "unparsable_path"), (4, "a/b", False, "relative_path"), (5, "D:", True, "relative_path"),
+           (3, "D:/a/\0", False, "unparsable_path"), (4, "../b", False, "relative_path"), (5, "D:", True, "relative_path"),
            (6, "C:\\", True, "no_name"), (7, "/", True, "no_name")]
     good = [(8, "D:/a/b", False), (9, "/home/c", None)]
     listing = spark.createDataFrame([r[:3] for r in bad] + good, LISTING)
