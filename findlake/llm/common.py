@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -119,6 +120,25 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_BYTES))
 
 
+def tidy(run):
+    """``run`` (batches to batches) that leaves no unused memory with its worker.
+
+    Spark keeps Python workers for later tasks, also those of later queries;
+    what the allocators hold back would count against the executor until then.
+    """
+    def task(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+    return task
+
+
 #: A worker takes a batch's texts in slices of about this many bytes, whatever Spark's batch size.
 SLICE_BYTES = 8 << 20
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findlake.llm.common import bounded_batches, slices, unused, utf8
+from findlake.llm.common import bounded_batches, slices, tidy, unused, utf8
 
 DIM = 1 << 18
 #: Bound of the training sample (rated documents); about 1 KB of features each reach the driver.
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, grades: DataFrame, max_train: int = MAX_TRAIN) -> Ordin
     kind = docs.schema["doc_id"].dataType.simpleString()
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         "text", "doc_id", "grade", F.xxhash64("text").alias("at")).mapInArrow(
-        _featured, f"doc_id {kind}, grade int, at long, weights binary")
+        tidy(_featured), f"doc_id {kind}, grade int, at long, weights binary")
     one = sample.groupBy("doc_id").agg(F.min(F.struct("grade", "at", "weights")).alias("row"))
     rows = one.select("doc_id", "row.grade", "row.weights").toPandas().sort_values("doc_id", kind="stable")
     if not len(rows):
@@ -197,7 +197,7 @@ def graded(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array((1 - below).sum(1)), pa.array(1 - below[:, GOOD - 1])], schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:

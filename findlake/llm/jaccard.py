@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findlake.llm.common import bounded_batches, member_filter, slices, split_by_filter, stored, utf8
+from findlake.llm.common import bounded_batches, member_filter, slices, split_by_filter, stored, tidy, utf8
 
 N = 5
 FRAGMENTS = 4
@@ -206,7 +206,7 @@ def _class_components(sets: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     reps, _ = split_by_filter(docs.select(F.col(text).alias("text"), "_j_key"), F.col("_j_key"),
                               member_filter(near, "rep"))
     kinds = ", ".join(f"f{f} array<long>" for f in range(FRAGMENTS))
-    full = stored(reps.select("text").mapInArrow(_full_sets, f"sig long, n long, {kinds}"), "near-sets")
+    full = stored(reps.select("text").mapInArrow(tidy(_full_sets), f"sig long, n long, {kinds}"), "near-sets")
     # The other fragments: a class leaves once its lonely shingles in all fragments so far are too many. A filter
     # chooses the sets that still count; a class that it lets through by mistake only makes shingles less lonely.
     for f in range(1, FRAGMENTS):
@@ -278,7 +278,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     keyed = docs.select(F.col(key).alias("id"), F.col(text).alias("text"),
                         F.xxhash64(F.col(key), F.col(text)).alias("_j_key"))
     sets = stored(keyed.select("id", F.col("_j_key").alias("key"), "text").mapInArrow(
-        _first_pass, f"id {kind}, key long, n long, sig long, f0 array<long>"), "shingles")
+        tidy(_first_pass), f"id {kind}, key long, n long, sig long, f0 array<long>"), "shingles")
     comp = _class_components(sets, keyed, "text")
     narrow = sets.select("id", "key", "n", "sig")
     return stored(narrow.join(comp, "sig", "left").select(

@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findlake.llm import rangecoder
-from findlake.llm.common import bounded_batches, shared_path, slices, utf8
+from findlake.llm.common import bounded_batches, shared_path, slices, tidy, utf8
 
 END = 1
 #: Ids in a segment, at least (a document stays in one segment).
 SEGMENT = 1 << 18
 #: Segments are coded together up to so many ids, so that many blocks run side by side.
 GATHER = rangecoder.LANES * rangecoder.BLOCK
-#: A worker keeps the ids of about so many pieces of text, and as many that it has used before these.
+#: A task keeps the ids of about so many pieces of text, and as many that it has used before these.
 CACHE = 200_000
 
 
@@ -81,15 +81,6 @@ def _splits_at_spaces(spec: dict) -> bool:
             and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"]))
 
 
-_WORKER: dict[str, Tokenize] = {}
-
-
-def _tokenizer(path: str) -> Tokenize:
-    if path not in _WORKER:
-        _WORKER[path] = Tokenize(path)
-    return _WORKER[path]
-
-
 _SEGMENT_SCHEMA = ("part int, segment int, n_tokens long, keys array<{key}>, sizes array<long>, "
                    "block_bytes array<int>, block_checks array<long>, payload binary")
 
@@ -99,7 +90,7 @@ def _write_segments(path: str, kind):
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        tokenize = _tokenizer(path)
+        tokenize = Tokenize(path)  # goes with the task, with the pieces that it keeps
 
         def rows(segments):
             nonlocal number
@@ -154,7 +145,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id",
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     parts = rows.repartitionByRange("key", "row").sortWithinPartitions("key", "row").select("key", "text")
-    segments = parts.mapInArrow(_write_segments(tokenizer, arrow), _SEGMENT_SCHEMA.format(key=kind.simpleString()))
+    segments = parts.mapInArrow(tidy(_write_segments(tokenizer, arrow)), _SEGMENT_SCHEMA.format(key=kind.simpleString()))
     segments.write.option("compression", "none").parquet(path)
 
 
@@ -202,7 +193,8 @@ def read_files(spark, path: str, key: str = "doc_id", ids: Column | None = None)
     segments = spark.read.parquet(path)
     kind = segments.schema["keys"].dataType.elementType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    docs = segments.mapInArrow(_read_segments(arrow), f"part int, segment int, key {kind}, at long, n_tokens long, ids binary")
+    docs = segments.mapInArrow(tidy(_read_segments(arrow)),
+                               f"part int, segment int, key {kind}, at long, n_tokens long, ids binary")
     own = F.col("ids") if ids is None else ids
     docs = docs.select("part", "segment", "key", "at", "n_tokens", own)
     sizes = segments.select("part", "segment", "n_tokens")

@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from findlake.llm import rangecoder as R
 from findlake.llm import tokenfiles as TF
+from findlake.llm.common import tidy
 from findlake.llm.queries import op2_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -83,3 +84,9 @@ def test_query_matches_whole_text_encoding(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, op2_token_files(spark, sf).collect())) == sorted(brute(rows))
+
+
+def test_tidy_passes_batches_and_errors_through():
+    assert list(tidy(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3]
+    with pytest.raises(ZeroDivisionError):
+        list(tidy(lambda batches: (1 // b for b in batches))([1, 0]))
