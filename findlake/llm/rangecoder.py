@@ -19,8 +19,8 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-#: Blocks that are coded side by side; about 200 KB of state each.
-LANES = 640
+#: Blocks that are coded side by side; about 230 KB each while they are coded.
+LANES = 512
 
 _SLOTS = 4096
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)

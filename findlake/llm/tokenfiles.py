@@ -24,7 +24,9 @@ SEGMENT = 1 << 18
 #: Segments are coded together up to so many ids, so that many blocks run side by side.
 GATHER = rangecoder.LANES * rangecoder.BLOCK
 #: A task keeps the ids of about so many pieces of text, and as many that it has used before these.
-CACHE = 200_000
+CACHE = 50_000
+#: The library takes so many pieces (or texts) at a time; what it returns for one is some hundred bytes and more.
+AT_ONCE = 2048
 
 
 class Tokenize:
@@ -46,8 +48,11 @@ class Tokenize:
         self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u2").tobytes() for e in found]
+        out = []
+        for at in range(0, len(texts), AT_ONCE):
+            found = self.tokenizer.encode_batch_fast(texts[at:at + AT_ONCE], add_special_tokens=False)
+            out += [np.array(e.ids, "<u2").tobytes() for e in found]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as 16-bit words, END appended."""
