@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from findlake.functions import paths as P
 from findlake.functions import text as X
 from findlake.operators.catalog import (dedup_first_wins, implied_items, listing_bounds, normalise_listing,
-                                        set_aside_listing, skip_system_dirs, sound_listing, with_item_columns)
+                                        normalised_paths, set_aside_listing, skip_system_dirs, sound_listing, with_item_columns)
 from findlake.session import staged
 from findlake.sources.fixtures import fixture_listing
 from findlake.streaming import store as ST
@@ -48,18 +48,20 @@ def ingest_with_state(spark: SparkSession, source_dir: str) -> DataFrame:
 def ingest_batch(batch: DataFrame, batch_id: int, catalog_dir: str, fanout: int = 8) -> ST.Snapshot:
     """Commit one batch of listing rows: sound rows to the store, the others to ``set_aside`` with a reason.
 
-    ``batch`` is read three times (bounds, bad rows, items), each time with the
-    columns it needs; its items are stored before they meet the catalog.
+    ``batch`` is read twice (bad rows; normalised paths); its normalised rows and
+    its items are stored before they are used again.
     """
     spark = batch.sparkSession
     # A replay may follow a failure between the two sinks: the bad rows of the batch are written over.
     (set_aside_listing(batch).write.mode("overwrite").parquet(f"{catalog_dir}/set_aside/batch={batch_id}"))
     set_aside = spark.read.schema(LISTING_SCHEMA).parquet(f"{catalog_dir}/set_aside/batch={batch_id}").count()
-    sound = sound_listing(batch)
-    deepest, low, high = listing_bounds(sound)
-    kept = implied_items(sound).where(~P.under_system_dir("path")).withColumn("path_key", X.case_fold("path"))
+    # Paths are normalised once; bounds, items and folders read the stored rows.
+    read = normalised_paths(batch)
+    sound = sound_listing(read, normalised=True)
+    deepest, low, high = listing_bounds(sound, normalised=True)
+    kept = implied_items(sound, normalised=True).where(~P.under_system_dir("path")).withColumn("path_key", X.case_fold("path"))
     items = staged(dedup_first_wins(kept, order=ST.ORDER), "ingest-batch")
-    return ST.commit_batch(spark, catalog_dir, batch_id, items, listed=batch.count(), set_aside=set_aside,
+    return ST.commit_batch(spark, catalog_dir, batch_id, items, listed=read.count(), set_aside=set_aside,
                            deepest=deepest, low=low, high=high, fanout=fanout)
 
 
@@ -84,13 +86,19 @@ def read_set_aside(spark: SparkSession, catalog_dir: str) -> DataFrame:
     return spark.read.schema(LISTING_SCHEMA + ", reason STRING, batch BIGINT").parquet(f"{catalog_dir}/set_aside")
 
 
-def ingest_fixture(spark: SparkSession, sf_dir: str, base_dir: str, n_files: int = 4) -> DataFrame:
-    """Stream the fixture listing (split into ``n_files`` files) into a catalog; return the catalog."""
+def ingest_fixture(spark: SparkSession, sf_dir: str, base_dir: str, n_files: int = 4,
+                   batch_files: int | None = None) -> DataFrame:
+    """Stream the fixture listing (split into ``n_files`` arrivals) into a catalog; return the catalog.
+
+    An arrival is one micro-batch of ``batch_files`` files (as many as the session runs tasks at once unless given),
+    so that every core has a part of it.
+    """
     import uuid
     run = os.path.join(base_dir, uuid.uuid4().hex)
     source = os.path.join(run, "listing")
-    (fixture_listing(spark, sf_dir).repartition(n_files, "ordinal")
+    batch_files = batch_files or max(1, spark.sparkContext.defaultParallelism)
+    (fixture_listing(spark, sf_dir).repartition(n_files * batch_files, "ordinal")
      .write.mode("overwrite").parquet(source))
     catalog_dir = os.path.join(run, "catalog")
-    ingest_foreach_batch(spark, source, catalog_dir, os.path.join(run, "checkpoint"))
+    ingest_foreach_batch(spark, source, catalog_dir, os.path.join(run, "checkpoint"), files_per_batch=batch_files)
     return read_ingested(spark, catalog_dir)

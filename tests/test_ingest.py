@@ -122,3 +122,30 @@ def test_empty_store(spark, tmp_path):
     ST.create(spark, root)
     assert IN.read_ingested(spark, root).count() == 0 and ST.running_total(spark, root).first()[0] == 0
     assert ST.approximate_total(spark, [root]).first()[0] == 0
+
+
+def test_a_fixture_arrival_has_a_part_for_every_core(spark, tmp_path):
+    from glob import glob
+
+    from findlake.sources.fixtures import fixture_listing
+    from findlake.streaming.ingest import ingest_fixture
+
+    got = ingest_fixture(spark, "/root/testdata/sf0.001", str(tmp_path), n_files=2, batch_files=3)
+    files = glob(str(tmp_path / "*" / "listing" / "*.parquet"))
+    assert len(files) == 6
+    store = glob(str(tmp_path / "*" / "catalog"))[0]
+    assert ST.snapshot(spark, store).batch_id == 1  # two arrivals, of three files each
+    want = C.build_catalog(fixture_listing(spark, "/root/testdata/sf0.001"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_normalised_once_equals_normalised_per_step(spark):
+    from findlake.operators.catalog import listing_fault, normalised_paths
+    from findlake.functions import paths as P
+    from pyspark.sql import functions as F
+
+    raw = ["a\\b//c/", "C:/x/\n", "a/\n/", " ", "", "C:/", "/", "x/../y", "x\0/y", None, "C:\\", "a/./b", "one", "r/ü"]
+    listing = spark.createDataFrame([(i, p, False) for i, p in enumerate(raw)], "ordinal bigint, path string, is_dir boolean")
+    want = {r[0]: r[1:] for r in listing.select("ordinal", P.normalise_path("path"), listing_fault()).collect()}
+    got = normalised_paths(listing).select("ordinal", "path", listing_fault(normalised=True))
+    assert {r[0]: r[1:] for r in got.collect()} == want
