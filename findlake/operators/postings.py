@@ -7,8 +7,10 @@ search looks up:
 * ``names``  (head, name_lc, item, ...): sorted by name; ``head`` is a name's
   first three characters, so a prefix query meets one run of names;
 * ``words``  (word, item, ...): one row per indexed word of an item;
-* ``grams``  (gram, item): one row per distinct three characters of a name,
-  whose end is padded, so that every character starts a gram;
+* ``grams``  (gram, bucket): one row per distinct three characters of the names
+  in a bucket of ``2^BUCKET_BITS`` items; a name's end is padded, so that every
+  character starts a gram. Names that arrive together share most grams, which
+  are one row there before anything is shuffled;
 * ``heads`` and ``gram_counts``: the distinct heads and grams with their
   numbers of rows; a query of one or two characters stands for those that
   start with it.
@@ -16,8 +18,8 @@ search looks up:
 Nothing here compares every item with every query. A batch of few queries
 becomes literals, which the scans filter by; a larger one is joined, broadcast
 while its bytes are bounded and shuffled beyond. Substrings intersect
-the postings of a query's rarest grams; only the candidates are looked up
-among the items, in the blocks that hold them, and verified.
+the postings of a query's rarest grams; only the buckets that hold all of
+them are looked up among the items, in their blocks, and their names verified.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ GRAM = 3
 RAREST = 3
 #: Items in a block (a folder of the items table) are 2 to this power.
 BLOCK_BITS = 20
+#: Items in a bucket (what a gram's postings name) are 2 to this power; a bucket lies in one block.
+BUCKET_BITS = 8
 #: Keys, and blocks, that become literal filters of a scan.
 MAX_LITERALS = 512
 _PAD = "\u0000" * (GRAM - 1)
@@ -66,6 +70,10 @@ def _grams(text: Column, count: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, GRAM))))
 
 
+def _bucket() -> Column:
+    return F.shiftright("item", min(BUCKET_BITS, BLOCK_BITS)).alias("bucket")
+
+
 def write_index(catalog: DataFrame, path: str) -> SearchIndex:
     """Write the index of ``catalog`` below ``path`` (a new folder) and open it."""
     spark, base = catalog.sparkSession, S.searchable(catalog).withColumn("points", S.item_points())
@@ -75,14 +83,16 @@ def write_index(catalog: DataFrame, path: str) -> SearchIndex:
     items = spark.read.schema(_ITEMS).parquet(f"{path}/items")
     carried = ["item", "ordinal", "path", "name_lc", "points"]
 
-    def sorted_by(df: DataFrame, key: str, name: str) -> None:
-        # A key of many rows spreads over files: the item is part of the range.
-        df.repartitionByRange(key, "item").sortWithinPartitions(key, "item").write.parquet(f"{path}/{name}")
+    def sorted_by(df: DataFrame, key: str, name: str, place: str = "item") -> None:
+        # A key of many rows spreads over files: the item (or bucket) is part of the range.
+        df.repartitionByRange(key, place).sortWithinPartitions(key, place).write.parquet(f"{path}/{name}")
 
     sorted_by(items.select(F.substring("name_lc", 1, GRAM).alias("head"), *carried), "name_lc", "names")
     sorted_by(items.select(F.explode(F.array_distinct("tokens")).alias("word"), *carried), "word", "words")
     padded = F.concat("name_lc", F.lit(_PAD))
-    sorted_by(items.select(F.explode(_grams(padded, F.length("name_lc"))).alias("gram"), "item"), "gram", "grams")
+    # Items are read in order, so the grams of a bucket meet in the task that reads it.
+    sorted_by(items.select(F.explode(_grams(padded, F.length("name_lc"))).alias("gram"), _bucket()).distinct(),
+              "gram", "grams", "bucket")
     for source, key, name in (("names", "head", "heads"), ("grams", "gram", "gram_counts")):
         (spark.read.parquet(f"{path}/{source}").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
          .write.parquet(f"{path}/{name}"))
@@ -200,7 +210,7 @@ def _probes(index: SearchIndex, qn: DataFrame) -> DataFrame:
 
 
 def _gram_hits(index: SearchIndex, batch: Batch) -> DataFrame:
-    """(query_id, q, item, need) of the postings of each query's probes."""
+    """(query_id, q, bucket, need) of the postings of each query's probes."""
     if batch.rows is None:
         return _many(index.grams, staged(_probes(index, batch.df), "gram-probes"), "gram")
     own = [(r, sorted({r.q[i:i + GRAM] for i in range(len(r.q) - GRAM + 1)})) for r in batch.rows]
@@ -215,23 +225,46 @@ def _gram_hits(index: SearchIndex, batch: Batch) -> DataFrame:
     return _few(index.grams, "gram", _grouped(wanted), short, "gram", _ASKED + ", need: int")
 
 
+def _items_in(index: SearchIndex, hits: DataFrame, block: Column) -> DataFrame:
+    """The items of the blocks that ``hits``, a stored table, name; all of them if these are many."""
+    if index.blocks > 1:
+        blocks = [r[0] for r in hits.select(block).distinct().limit(MAX_LITERALS + 1).collect()]
+        if len(blocks) <= MAX_LITERALS:
+            return index.items.where(F.col("block").isin(blocks) if blocks else F.lit(False))
+    return index.items
+
+
 def items_of(index: SearchIndex, hits: DataFrame, *columns: str) -> DataFrame:
     """``hits`` (with ``item``) and ``columns`` of their items. With several blocks, only those that hold them are read."""
-    items = index.items
     if index.blocks > 1:
         hits = staged(hits, "hit-items")
-        blocks = [r[0] for r in hits.select(F.shiftright("item", BLOCK_BITS)).distinct().limit(MAX_LITERALS + 1).collect()]
-        if len(blocks) <= MAX_LITERALS:
-            items = items.where(F.col("block").isin(blocks) if blocks else F.lit(False))
+    items = _items_in(index, hits, F.shiftright("item", BLOCK_BITS))
     return hits.join(items.select("item", *columns), "item")
 
 
 def substring_hits(index: SearchIndex, batch: Batch) -> DataFrame:
-    """The same columns for names that contain the query: postings intersected, then verified."""
-    found = (_gram_hits(index, batch).groupBy("query_id", "q", "item")
+    """The same columns for names that contain the query: postings intersected, then verified.
+
+    The buckets that hold all probes of a query are found first; their items pass
+    once, and each name is compared with the queries of its bucket alone.
+    """
+    found = (_gram_hits(index, batch).groupBy("query_id", "q", "bucket")
              .agg(F.count(F.lit(1)).alias("have"), F.max("need").alias("need")).where("have >= need"))
-    return (items_of(index, found.select("query_id", "q", "item"), "ordinal", "path", "name_lc", "points")
-            .where(F.col("name_lc").contains(F.col("q"))).select(*_HIT))
+    if batch.rows is None:
+        found = staged(found.select("query_id", "q", "bucket"), "hit-buckets")
+        size = F.octet_length("q") + 32
+    else:  # at most MAX_LITERALS queries a bucket
+        found = staged(found.groupBy("bucket").agg(F.collect_list(F.struct("query_id", "q")).alias("asked")), "hit-buckets")
+        size = F.aggregate("asked", F.lit(32), lambda n, a: n + F.octet_length(a["q"]) + 32)
+    bits = min(BUCKET_BITS, BLOCK_BITS)
+    items = (_items_in(index, found, F.shiftright("bucket", BLOCK_BITS - bits))
+             .select("item", "ordinal", "path", "name_lc", "points", _bucket()))
+    small = (found.agg(F.sum(size)).first()[0] or 0) <= MAX_BROADCAST_KEY_BYTES
+    met = items.join(F.broadcast(found) if small else found, "bucket")
+    if batch.rows is None:
+        return met.where(F.col("name_lc").contains(F.col("q"))).select(*_HIT)
+    hit = F.explode(F.filter("asked", lambda a: F.col("name_lc").contains(a["q"])))
+    return met.withColumn("asked", hit).select("*", "asked.*").select(*_HIT)
 
 
 def all_hits(index: SearchIndex, batch: Batch) -> DataFrame:

@@ -81,3 +81,15 @@ def test_empty_catalog_and_batch(spark, tmp_path, index):
     assert PO.search(ix, none).count() == 0
     empty = PO.write_index(cat.limit(0), str(tmp_path / "empty"))
     assert PO.search(empty, spark.createDataFrame([(0, "a")], "query_id int, raw string")).count() == 0
+
+
+def test_grams_are_stored_per_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(PO, "BLOCK_BITS", 20)
+    cat = catalog_from_paths(spark, [(f"D:/many/order_{i:05d}.pdf", False) for i in range(600)])
+    ix = PO.write_index(cat, str(tmp_path / "index"))
+    items = ix.items.count()
+    # "ord" is in every name: one row a bucket, not one a name.
+    assert ix.grams.where("gram = 'ord'").count() <= items / 2 ** PO.BUCKET_BITS + 1
+    qn = S.prepare_queries(spark.createDataFrame([(0, "order_003"), (1, "9.p"), (2, "9"), (3, "der_00599.pdf")], "query_id int, raw string"))
+    for batch in (PO.Batch.of(qn), PO.Batch(qn, None)):
+        assert pairs(PO.substring_hits(ix, batch)) == pairs(S.substring_match(cat, qn))
