@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from findlake.functions import paths as P
 from findlake.functions import text as X
+from findlake.operators.catalog import broadcast_within
 from findlake.session import staged
 from findlake.operators.topn import top_n_per_group
 
@@ -49,6 +50,8 @@ PUSHDOWN_LITERALS = 64
 # grow linearly with the catalog, so the crossover holds at larger scales.
 SCAN_PLAN_MAX_QUERIES = 1_000
 
+# What the candidate sets and the ranking need of a hit.
+MEMBER_COLUMNS = ["query_id", "ordinal", "path", "is_exact", "is_prefix", "is_word", "score"]
 HIT_COLUMNS = ["ordinal", "path", "name", "name_lc", "parent", "parent_name", "is_dir", "tokens"]
 
 
@@ -304,14 +307,14 @@ def substring_match(cat: DataFrame, qn: DataFrame, max_broadcast: int = MAX_BROA
 def with_membership(hits: DataFrame, k: int) -> DataFrame:
     """Flag strategy 1-3 members: exact, word, or among the first ``2k`` prefix hits.
 
-    The prefix cut is a skew-safe top-n with at most ``n_queries * 2k`` rows;
-    no broadcast is forced, so AQE broadcasts it from its measured size and
-    falls back to a shuffle join for very large query batches.
+    The prefix cut is a skew-safe top-n with at most ``n_queries * 2k`` rows.
+    It is stored and measured before the hits meet it, and broadcast within a
+    bound: the hits are neither shuffled nor sorted unless the query batch is very large.
     """
     first_prefix = (top_n_per_group(hits.where("is_prefix").select("query_id", "ordinal", "path"),
                                     ["query_id"], [F.col("ordinal"), F.col("path")], 2 * k)
                     .select("query_id", "path", F.lit(True).alias("in_prefix_cut")))
-    return (hits.join(first_prefix, ["query_id", "path"], "left")
+    return (hits.join(broadcast_within(first_prefix, "prefix-cut"), ["query_id", "path"], "left")
             .withColumn("is_member", F.col("is_exact") | F.col("is_word")
                         | F.coalesce(F.col("in_prefix_cut"), F.lit(False)))
             .drop("in_prefix_cut"))
@@ -332,9 +335,10 @@ def fallback_union(hits: DataFrame, k: int) -> DataFrame:
     """Strategies 1-3, plus every substring hit for queries with fewer than ``k`` of them.
 
     The hits are found once and stored: the prefix cut, the counts and the result read the stored pairs.
+    The counts are one row per query, broadcast like the cut.
     """
     members = with_membership(staged(hits, "hits"), k)
-    counts = member_counts(members)
+    counts = broadcast_within(member_counts(members), "member-counts")
     return (members.join(counts, "query_id", "left")
             .withColumn("n_members", F.coalesce("n_members", F.lit(0)))
             .where(F.col("is_member") | (F.col("n_members") < k)))
