@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -90,3 +91,76 @@ def test_tidy_passes_batches_and_errors_through():
     assert list(tidy(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3]
     with pytest.raises(ZeroDivisionError):
         list(tidy(lambda batches: (1 // b for b in batches))([1, 0]))
+
+
+def test_words_go_to_the_library_together():
+    tokenize, handed = TF.Tokenize(PATH), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **how):
+            handed.append(len(texts))
+            return library.encode_batch_fast(texts, **how)
+
+    library, tokenize.tokenizer = tokenize.tokenizer, Counting()
+    words = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}ü"[:3 + i % 2] for i in range(1000)]
+    text = ", ".join(words) + " " + " ".join(w.title() + "." for w in words)
+    assert np.frombuffer(tokenize([text])[0], "<u2").tolist() == library.encode(text).ids + [1]
+    assert sum(handed) < 100  # 1,000 words and more before
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.text("aAbZsStTéÉßİΣσǰ\u030c'’.,-<|>019² \n\t\x0b\x1c\x1f\x7f\x85\u2028", max_size=40),
+                          st.sampled_from(["<|EndOfText|>", "x<|endoftext|>,", "I'LL", "don't's", "J\u030c", "\u1e9e", "ⅷ", "한글", "ᄒ", "각"])),
+                min_size=1, max_size=8))
+def test_any_text_has_the_ids_of_the_whole_text(texts):
+    own = Tokenizer.from_file(PATH)
+    got = _shared().__call__([*texts, " ".join(texts), "".join(texts)])
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == \
+        [own.encode(t, add_special_tokens=False).ids + [1] for t in [*texts, " ".join(texts), "".join(texts)]]
+
+
+def _shared(kept=[]):
+    if not kept:
+        kept.append(TF.Tokenize(PATH))
+    return kept[0]
+
+
+def test_words_alone_where_ends_do_not_count_them(monkeypatch):
+    tokenize = TF.Tokenize(PATH)
+    monkeypatch.setattr(tokenize, "closes", np.ones(1 << 16, bool))
+    assert np.frombuffer(tokenize(["unbelievably longish words"])[0], "<u2").tolist() == \
+        Tokenizer.from_file(PATH).encode("unbelievably longish words").ids + [1]
+
+
+def test_memory_of_coding_is_small():
+    rng = np.random.default_rng(1)
+    blocks = [(rng.zipf(1.3, R.BLOCK) % 49_408).astype(np.uint16) for _ in range(256)]
+    tracemalloc.start()
+    coded = R.encode(blocks)
+    back = R.decode(coded, [R.BLOCK] * len(blocks))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(back, blocks))
+    assert most / len(blocks) < 90_000  # 200,000 and more before
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=400), st.randoms(use_true_random=False))
+def test_any_damage_is_a_corrupt_block(ids, rnd):
+    block = np.array(ids, np.uint16)
+    (payload, check), = R.encode([block])
+    bad = bytearray(payload)
+    for _ in range(3):
+        bad[rnd.randrange(len(bad))] = rnd.randrange(256)
+    try:
+        ids, = R.decode([(bytes(bad), check)], [len(block)])
+    except R.CorruptBlock:
+        return
+    assert (ids == block).all()
+
+
+def test_blocks_of_many_lengths():
+    rng = np.random.default_rng(2)
+    blocks = [np.arange(R.BLOCK, dtype=np.uint16)[::-1]]
+    blocks += [(rng.zipf(1.2, n) % 65_535).astype(np.uint16) for n in [1, 2, 15, 16, 17, 64, 513, 1024, 2049, 4095, 4096, 4096]]
+    assert all((a == b).all() for a, b in zip(R.decode(R.encode(blocks), [len(b) for b in blocks]), blocks))
