@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from findlake.llm import jaccard as J
@@ -107,3 +109,14 @@ def test_query_matches_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got(op4_jaccard_join(spark, sf)) == sorted(brute(docs), key=repr)
+
+
+def test_memory_of_shingling_does_not_grow_with_the_batch():
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(500)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(range(1000)), pa.array(texts)], ["id", "key", "text"])
+    tracemalloc.start()
+    assert sum(r.num_rows for r in J._first_pass(iter([batch]))) == 1000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6  # 37 MB before
