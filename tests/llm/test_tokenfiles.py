@@ -164,3 +164,20 @@ def test_blocks_of_many_lengths():
     blocks = [np.arange(R.BLOCK, dtype=np.uint16)[::-1]]
     blocks += [(rng.zipf(1.2, n) % 65_535).astype(np.uint16) for n in [1, 2, 15, 16, 17, 64, 513, 1024, 2049, 4095, 4096, 4096]]
     assert all((a == b).all() for a, b in zip(R.decode(R.encode(blocks), [len(b) for b in blocks]), blocks))
+
+
+def test_a_word_is_kept_once_whatever_its_case_and_marks():
+    tokenize = TF.Tokenize(PATH)
+    words = [f"{a}{w}{b}" for w in ("word", "Word", "WORD", "größe") for a in ("", "(", "'") for b in (".", ",", "?!", "1", ";-", "...", "'")]
+    text = " ".join(words)
+    assert np.frombuffer(tokenize([text])[0], "<u2").tolist() == Tokenizer.from_file(PATH).encode(text).ids + [1]
+    assert len(tokenize.known) < 20  # 94 before
+
+
+def test_characters_between_letters_and_alone():
+    own, tokenize = Tokenizer.from_file(PATH), TF.Tokenize(PATH)
+    chars = [chr(c) for c in [*range(1, 0x1200), *range(0x2000, 0x2200), *range(0xAC00, 0xAC20), *range(0xFB00, 0xFB50), 0x10400, 0x1D4B3, 0x1F600]]
+    texts = [f"a{c}b {c} 1{c}É, {c}. {c}{c}'s" for c in chars]
+    expected = [e.ids + [1] for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(g, "<u2").tolist() for g in tokenize(texts)] == expected
+    assert "ü" in tokenize.steady and "Ü" in tokenize.letters - tokenize.steady and not {"́", "·", "İ"} & tokenize.letters
